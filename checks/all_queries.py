@@ -1,4 +1,4 @@
 """Import every group of queries so that the registry is complete."""
 
-from checks import mart_queries  # noqa: F401
+from checks import mart_queries, view_queries  # noqa: F401
 from checks.registry import ORACLE, QUERIES  # noqa: F401
