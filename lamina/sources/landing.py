@@ -6,9 +6,10 @@ does not fit keeps its text in ``_rescued_data`` and whatever could be read.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Literal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.contracts import RESCUED, SOURCE_FILE, Entity
@@ -21,12 +22,11 @@ class NewColumnsFound(ValueError):
 
 
 def csv_options() -> dict[str, str]:
-    """Keep padding, and parse whole rows so rescue does not depend on the columns read."""
+    """Padding is kept; the cleaners trim it."""
     return {
         "header": "true",
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": RESCUED,
-        "columnPruning": "false",
         "ignoreLeadingWhiteSpace": "false",
         "ignoreTrailingWhiteSpace": "false",
         "timestampFormat": "yyyy-MM-dd HH:mm:ss",
@@ -44,8 +44,18 @@ def json_options(multi_line: bool = True) -> dict[str, str]:
     }
 
 
-def _located(df: DataFrame) -> DataFrame:
-    return df.withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
+def located(df: DataFrame) -> DataFrame:
+    """Add the file name, and make rescue independent of what is read from the scan.
+
+    Spark parses only the columns a query needs, so a bad value in another column
+    would go unnoticed.  Tying the rescue column to all of them keeps them in the
+    scan whenever rescue is looked at, and only then.
+    """
+    values = [c for c in df.columns if c != RESCUED]
+    nulls = reduce(Column.__add__, [F.col(f"`{c}`").isNull().cast("int") for c in values])
+    return df.withColumns(
+        {RESCUED: F.when(nulls >= 0, F.col(RESCUED)), SOURCE_FILE: F.col("_metadata.file_path")}
+    )
 
 
 def _complete(df: DataFrame, spec: Entity) -> DataFrame:
@@ -76,7 +86,7 @@ def scan_csv(spark: SparkSession, path: str | list[str], spec: Entity, evolution
     header = spark.read.options(header="true", inferSchema="false").csv(path).columns
     declared = ", ".join(f"`{c}` {spec.columns.get(c, 'string')}" for c in header)
     raw = spark.read.options(**csv_options()).schema(f"{declared}, `{RESCUED}` string").csv(path)
-    return evolve(_complete(_located(raw), spec), spec.columns, evolution)
+    return evolve(_complete(located(raw), spec), spec.columns, evolution)
 
 
 def scan_json(
@@ -98,7 +108,7 @@ def scan_json(
         extra = [c for c in found if c not in spec.columns and c != RESCUED]
     declared = ", ".join([spec.ddl(), *[f"`{c}` string" for c in extra], f"`{RESCUED}` string"])
     raw = spark.read.options(**options).schema(declared).json(path)
-    return evolve(_located(raw), spec.columns, evolution)
+    return evolve(located(raw), spec.columns, evolution)
 
 
 def scan(spark: SparkSession, path: str | list[str], spec: Entity, fmt: str, **options: object) -> DataFrame:

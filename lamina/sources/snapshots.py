@@ -9,25 +9,21 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.contracts import CURRENT
 from lamina.operators.history import is_current
 from lamina.operators.merge import ACTION
+from lamina.session import path_exists
 
 COMMITS = "version int, committed_at timestamp, operation string, rows bigint, inserted bigint, updated bigint, deleted bigint"
 
 
 def commits(spark: SparkSession, base: str) -> DataFrame:
     """Version log of a table; empty if nothing was committed."""
-    try:
-        return spark.read.schema(COMMITS).parquet(f"{base}/_commits")
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], COMMITS)
+    log = f"{base}/_commits"
+    return spark.read.schema(COMMITS).parquet(log) if path_exists(spark, log) else spark.createDataFrame([], COMMITS)
 
 
 def version_log(spark: SparkSession, base: str, limit: int = 20) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.session import path_exists
+
 
 def write_table(
     df: DataFrame, path: str, mode: str = "append", partition_by: Sequence[str] = (), rebalance: bool = False
@@ -42,6 +44,9 @@ def register_layer(spark: SparkSession, tables: Mapping[str, str], database: str
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     report = {}
     for name, path in tables.items():
+        if not path_exists(spark, path):
+            report[name] = "SKIPPED"
+            continue
         try:
             if database:
                 full = f"`{database}`.`{name}`"
@@ -56,8 +61,7 @@ def register_layer(spark: SparkSession, tables: Mapping[str, str], database: str
                 spark.read.parquet(path).createOrReplaceTempView(name)
             report[name] = "SUCCESS"
         except PySparkException as problem:
-            missing = (problem.getCondition() or "").startswith(("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"))
-            report[name] = "SKIPPED" if missing else f"FAILED: {problem.getCondition()}"
+            report[name] = f"FAILED: {problem.getCondition()}"
     return report
 
 
