@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.oracle_ctes import AS_OF, age, d, first_per_key, ts
+from checks.oracle_ctes import AS_OF, age, d, ts
 from checks.registry import AS_OF_DATE, query
 from checks.silver import silver
 from lamina.contracts import ENTITIES
@@ -87,12 +87,8 @@ def _(spark, sf):
 
 @query(
     "c08_dedupe_latest",
-    first_per_key("SELECT_EVENTS", "UserID", "ts DESC NULLS LAST, event_id, event_type, value").replace(
-        "SELECT * FROM SELECT_EVENTS",
-        "SELECT user_id AS UserID, event_id AS EventID, event_type AS Kind, value AS Amount, "
-        + ts("CAST(ts AS TIMESTAMP)")
-        + " AS SeenAt FROM events",
-    ).replace("PARTITION BY UserID", "PARTITION BY user_id"),
+    f"""SELECT user_id AS UserID, event_id AS EventID, event_type AS Kind, value AS Amount, {ts('CAST(ts AS TIMESTAMP)')} AS SeenAt
+        FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id, event_type, value) = 1""",
 )
 def _(spark, sf):
     seen = table(spark, sf, "events").select(

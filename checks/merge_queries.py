@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 
 from checks.oracle_ctes import ts
 from checks.registry import query
-from checks.silver import silver
+from checks.silver import silver, stored
 from lamina.contracts import ENTITIES
 from lamina.operators import history as h
 from lamina.operators import layout
 from lamina.operators.joins import broadcast_join
 from lamina.operators.merge import merge, merge_changed
-from lamina.session import work_dir
 from lamina.sources.startables import customer_state, read_entity, status_changes
 
 CUT = "1998-01-01"
@@ -170,9 +169,7 @@ def _(spark, sf):
 
 @query("d10_current_snapshot", f"SELECT CustomerID, Status, VersionNumber FROM ({_HISTORY}) WHERE IsCurrent", **_PAIRS)
 def _(spark, sf):
-    base = work_dir(spark, "current")
-    h.filter_current(two_loads(spark, sf)).select(KEY, "Status", "VersionNumber").write.parquet(base)
-    return spark.read.parquet(base)
+    return stored(h.filter_current(two_loads(spark, sf)).select(KEY, "Status", "VersionNumber"), "current")
 
 
 _LOG = """SELECT Key, State, ChangedAt AS start_at, lead(ChangedAt) OVER w AS end_at, row_number() OVER w AS n
@@ -242,9 +239,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Rewritten along the curve and read back: the same rows, in narrower files."""
-    base = work_dir(spark, "clustered")
-    layout.cluster(silver(spark, sf, "billing"), ENTITIES["billing"].cluster_by, files=8).write.parquet(base)
-    return spark.read.parquet(base)
+    bills = stored(silver(spark, sf, "billing"), "billing")
+    return stored(layout.cluster(bills, ENTITIES["billing"].cluster_by, files=8), "clustered")
 
 
 @query(

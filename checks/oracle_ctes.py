@@ -93,10 +93,6 @@ RAW: dict[str, str] = {
 }
 
 
-def first_per_key(source: str, key: str, order: str) -> str:
-    return f"SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {order}) = 1"
-
-
 def _asc(*columns: str) -> str:
     return ", ".join(f"{c} ASC NULLS FIRST" for c in columns)
 

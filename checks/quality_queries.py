@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.oracle_ctes import AS_OF, r2, ts
 from checks.registry import AS_OF_DATE, AS_OF_TIME, query
-from checks.silver import silver
+from checks.silver import SilverTables, silver
 from lamina.contracts import APPOINTMENT_STATUSES, CLAIM_STATUSES, EMAIL_PATTERN, GENDERS, PAYMENT_STATUSES
 from lamina.operators import monitoring as m
 from lamina.operators import quality as q
@@ -266,21 +266,10 @@ SUITE_SQL: dict[str, tuple[str, list[tuple[str, str, str]]]] = {
         ],
     ),
 }
-_REFERENCES = {"appointments": ["patients", "doctors"], "billing": ["patients", "appointments"]}
-
-
-class _Silver(dict):
-    def __init__(self, spark, sf):
-        super().__init__()
-        self.spark, self.sf = spark, sf
-
-    def __missing__(self, name):
-        self[name] = silver(self.spark, self.sf, name)
-        return self[name]
 
 
 def suite_results(spark, sf, entity):
-    tables = _Silver(spark, sf)
+    tables = SilverTables(spark, sf)
     return results(tables[entity], suites.all_suites(tables, AS_OF_DATE)[entity], entity)
 
 
@@ -328,7 +317,7 @@ _ALL_RESULTS = " UNION ALL ".join(f"({rule_sql(e, e, r)})" for e, r in SUITE_SQL
 
 
 def all_results(spark, sf):
-    tables = _Silver(spark, sf)
+    tables = SilverTables(spark, sf)
     out = None
     for entity, rules in suites.all_suites(tables, AS_OF_DATE).items():
         part = results(tables[entity], rules, entity)

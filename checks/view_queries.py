@@ -2,43 +2,50 @@
 
 from __future__ import annotations
 
-from checks.mart_queries import dbl, performance, revenue, summary
+from pyspark.sql import functions as F
+
+from checks.mart_queries import dbl, revenue
 from checks.oracle_ctes import mean2, r2
-from checks.registry import query
-from checks.silver import silver
+from checks.registry import AS_OF_DATE, query
+from checks.silver import SilverTables, silver, stored
 from lamina.plans import marts, views
 
 
 class LazyMarts(dict):
-    """Marts built the first time a view asks for one, so a view pays for no other."""
+    """Marts built the first time a view asks for one, so a view pays for no other.
+
+    With ``keep`` the silver tables are stored once, for views that read several
+    marts over the same ones.
+    """
 
-    def __init__(self, spark, sf):
+    def __init__(self, spark, sf, keep=False):
         super().__init__()
-        self.spark, self.sf = spark, sf
+        tables = SilverTables(spark, sf) if keep else None
+        self.silver = tables.__getitem__ if keep else lambda name: silver(spark, sf, name)
+
+    def _from_silver(self, build, *names, **options):
+        return build(*[self.silver(n) for n in names], **options)
 
     def __missing__(self, name):
-        spark, sf = self.spark, self.sf
-        if name == "patient_summary":
-            df = summary(spark, sf)
-        elif name == "doctor_performance":
-            df = performance(spark, sf)
-        elif name == "revenue_analytics":
-            df = revenue(spark, sf)
-        elif name == "patients_current":
-            df = silver(spark, sf, "patients")
-        elif name in marts.FROM_REVENUE:
+        if name in marts.FROM_REVENUE:
             df = marts.FROM_REVENUE[name](self["revenue_analytics"])
         elif name in marts.FROM_PERFORMANCE:
             df = marts.FROM_PERFORMANCE[name](self["doctor_performance"])
+        elif name == "patients_current":
+            df = self.silver("patients")
         else:
             sources = {
+                "patient_summary": ["patients", "appointments", "billing", "insurance_claims"],
+                "doctor_performance": ["doctors", "appointments", "billing"],
+                "revenue_analytics": ["billing", "appointments", "doctors"],
                 "insurance_analytics": ["insurance_claims"],
                 "appointment_analytics": ["appointments", "doctors"],
                 "laboratory_trends": ["laboratory_results"],
                 "pharmacy_sales": ["pharmacy_orders"],
                 "top_diseases": ["appointments"],
             }[name]
-            df = getattr(marts, name)(*[silver(spark, sf, s) for s in sources])
+            options = {"as_of": AS_OF_DATE} if name == "patient_summary" else {}
+            df = self._from_silver(getattr(marts, name), *sources, **options)
         self[name] = df
         return df
 
@@ -168,20 +175,15 @@ for _key, (_build, _sql) in VIEW_SQL.items():
 
 @query("v11_executive_kpis", VIEW_SQL["v11_executive_kpis"][1])
 def _(spark, sf):
-    from pyspark.sql import functions as F
-
-    row = views.executive_kpis(LazyMarts(spark, sf))
+    row = views.executive_kpis(LazyMarts(spark, sf, keep=True))
     return row.withColumn("AvgInsuranceApprovalPct", F.round("AvgInsuranceApprovalPct", 6))
 
 
 @query("v08_average_billing", _BILLING_SQL)
 def _(spark, sf):
     """Exact median, so read the mart from a stored copy rather than planning it anew per pass."""
-    from lamina.session import work_dir
-
-    path = work_dir(spark, "revenue")
-    revenue(spark, sf).select("TotalAmount").write.parquet(path)
-    return views.average_billing_exact({"revenue_analytics": spark.read.parquet(path)})
+    amounts = stored(revenue(spark, sf).select("TotalAmount"), "revenue")
+    return views.average_billing_exact({"revenue_analytics": amounts})
 
 
 @query(

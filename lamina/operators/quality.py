@@ -76,7 +76,7 @@ def unique(columns: Sequence[str], severity: str = "CRITICAL") -> list[Rule]:
 
 def values_in(column: str, allowed: Iterable[str], severity: str = "WARNING") -> list[Rule]:
     allowed = sorted(allowed)
-    text = f"{column} must be one of {', '.join(allowed)}"
+    text = f"{column} must be one of {', '.join(map(str, allowed))}"
     return [RowRule(f"valid_values_{column}", text, severity, (column,), ~F.col(column).isin(*allowed))]
 
 

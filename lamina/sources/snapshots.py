@@ -11,6 +11,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from lamina.contracts import CURRENT
 from lamina.operators.history import is_current
@@ -107,6 +108,9 @@ def read_history(
         version = last_version(spark, base, at)
     if version is None:
         return None
-    stored = spark.read.option("mergeSchema", "true").parquet(base)
+    # Columns are only ever added, so the newest folder knows them all.
+    newest = spark.read.parquet(f"{base}/version={version}").schema
+    stored = spark.read.schema(newest.add("version", IntegerType())).parquet(base)
     upto, now = F.col("version") <= version, F.col("version") == version
-    return stored.where((now & is_current()) | (upto & ~is_current())).drop("version")
+    held = stored.where((now & is_current()) | (upto & ~is_current())).drop("version")
+    return held.withColumn(CURRENT, is_current())  # a folder name holds the flag as text
