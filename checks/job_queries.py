@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
-from checks.oracle_ctes import AS_OF
-from checks.quality_queries import _ALL_RESULTS
+from checks.quality_queries import ALL_RESULTS
 from checks.registry import AS_OF_TIME, query
 from checks.source_queries import land_all
 from lamina.contracts import ENTITIES
-from lamina.operators.quality import trend
+from lamina.operators.quality import failed_rules, run_summary, trend
 from lamina.plans import jobs
 from lamina.session import work_dir
 
-STAGES = ("bronze", "silver", "gold", "quality", "monitoring")
 RUN = jobs.Run("LOAD_20250630000000_checks", AS_OF_TIME)
 _LAKES: dict[tuple[str, str], dict] = {}
 
@@ -24,20 +20,21 @@ def lake_at(spark, sf, stage):
     """The lake of this session and folder, brought up to a stage; later stages build on it."""
     state = _LAKES.setdefault((spark.sparkContext.applicationId, sf), {"done": {}})
     if "lake" not in state:
-        state["lake"] = jobs.Lake(work_dir(spark, "lake"))
-        land_all(spark, sf, state["lake"])
-    lake, done = state["lake"], state["done"]
-    steps = {
-        "bronze": lambda: jobs.bronze_job(spark, lake, RUN),
-        "silver": lambda: jobs.silver_job(spark, lake, RUN),
-        "gold": lambda: jobs.gold_job(spark, lake, RUN),
-        "quality": lambda: jobs.quality_job(spark, lake, RUN),
-        "monitoring": lambda: jobs.monitoring_job(spark, lake, RUN),
-    }
-    for name in STAGES[: STAGES.index(stage) + 1]:
-        if name not in done:
-            done[name] = steps[name]()
-    return lake, done
+        lake = jobs.Lake(work_dir(spark, "lake"))
+        land_all(spark, sf, lake)
+        state["lake"] = lake
+    names = list(jobs.STAGES)
+    for name in names[: names.index(stage) + 1]:
+        if name not in state["done"]:
+            state["done"] |= jobs.full_run(spark, state["lake"], RUN, [name])
+    return state["lake"], state["done"]
+
+
+def stored_results(spark, sf):
+    """Quality results as the quality job stored them."""
+    lake, _ = lake_at(spark, sf, "quality")
+    kept = spark.read.parquet(lake.path("ops", "dq_results")).where(F.col("RunID") == RUN.run_id)
+    return kept.select("Entity", "RuleName", "Severity", "FailedCount", "TotalCount", "PassRate", "Status")
 
 
 def _rows(names, prefix=""):
@@ -76,28 +73,49 @@ def _(spark, sf):
     return jobs.read_mart(spark, lake, "hospital_revenue")
 
 
-@query("j05_quality", "SELECT * FROM r", r=_ALL_RESULTS)
+@query("j05_quality", "SELECT * FROM r", r=ALL_RESULTS)
 def _(spark, sf):
     _, done = lake_at(spark, sf, "quality")
     return done["quality"].select("Entity", "RuleName", "Severity", "FailedCount", "TotalCount", "PassRate", "Status")
 
 
-@query("j06_monitoring")
+@query("e21_run_summary", "SELECT * FROM r", r=ALL_RESULTS)
 def _(spark, sf):
-    """Audit summary the jobs themselves left; run times differ from run to run."""
-    _, done = lake_at(spark, sf, "monitoring")
-    return done["monitoring"]["audit_summary"]
+    return run_summary(stored_results(spark, sf))
+
+
+@query("e21_failed_rules", "SELECT count(*) AS FailedRules FROM r WHERE Status = 'FAILED'", r=ALL_RESULTS)
+def _(spark, sf):
+    return failed_rules(stored_results(spark, sf))
 
 
 @query(
-    "j06_quality_trend",
-    """SELECT Entity, Status, count(*) AS RuleExecutions, CAST(sum(FailedCount) AS BIGINT) AS FailedRows FROM r GROUP BY 1, 2""",
-    r=_ALL_RESULTS,
+    "e22_trend",
+    """SELECT Entity, Status, count(*) AS RuleExecutions, CAST(sum(FailedCount) AS BIGINT) AS FailedRows
+       FROM r GROUP BY 1, 2""",
+    r=ALL_RESULTS,
 )
 def _(spark, sf):
+    return trend(stored_results(spark, sf))
+
+
+@query(
+    "j05_quarantined_rows",
+    """SELECT Entity, RuleName, FailedCount AS Rows FROM r WHERE FailedCount > 0""",
+    r=ALL_RESULTS,
+)
+def _(spark, sf):
+    """Failing rows put aside by the quality job: as many as each rule counted."""
     lake, _ = lake_at(spark, sf, "quality")
-    stored = spark.read.parquet(lake.path("ops", "dq_results")).where(F.col("RunID") == RUN.run_id)
-    return trend(stored)
+    bad = spark.read.parquet(lake.path("ops", "dq_failed")).where(F.col("RunID") == RUN.run_id)
+    return bad.groupBy("Entity", "RuleName").agg(F.count("*").alias("Rows"))
+
+
+@query("j06_monitoring")
+def _(spark, sf):
+    """Audit summary the jobs themselves left; run times differ from run to run."""
+    _, done = lake_at(spark, sf, "monitoring")
+    return done["monitoring"]["audit_summary"]
 
 
 @query("o01_step_counts", _rows(jobs.MART_NAMES).replace("AS Entity", "AS TableName").replace("AS Rows", "AS RowsInserted"))
@@ -114,25 +132,19 @@ def _(spark, sf):
         UNION ALL SELECT 'silver', CAST(sum(Rows) AS BIGINT) FROM ({_rows(ENTITIES)})
         UNION ALL SELECT 'gold', CAST(sum(Rows) AS BIGINT) FROM ({_rows(jobs.MART_NAMES)})
         UNION ALL SELECT 'quality', count(*) FROM r""",
-    r=_ALL_RESULTS,
+    r=ALL_RESULTS,
 )
 def _(spark, sf):
-    """Everything again under a second run id, hours later: counts stay what they were."""
+    """All stages in order; rows per layer at the end."""
     lake, _ = lake_at(spark, sf, "monitoring")
-    run = jobs.Run("LOAD_20250630060000_checks", AS_OF_TIME + dt.timedelta(hours=6))
-    jobs.full_run(spark, lake, run)
     bronze = jobs.bronze_report(spark, lake).agg(F.lit("bronze").alias("Layer"), F.sum("Rows").alias("Rows"))
     silver = None
     for name in ENTITIES:
         part = jobs.read_silver(spark, lake, name).agg(F.count("*").alias("Rows"))
         silver = part if silver is None else silver.unionByName(part)
     gold = jobs.mart_versions(spark, lake)
-    results = spark.read.parquet(lake.path("ops", "dq_results")).where(F.col("RunID") == run.run_id)
     return (
         bronze.unionByName(silver.agg(F.lit("silver").alias("Layer"), F.sum("Rows").alias("Rows")))
         .unionByName(gold.agg(F.lit("gold").alias("Layer"), F.sum("Rows").alias("Rows")))
-        .unionByName(results.agg(F.lit("quality").alias("Layer"), F.count("*").alias("Rows")))
+        .unionByName(stored_results(spark, sf).agg(F.lit("quality").alias("Layer"), F.count("*").alias("Rows")))
     )
-
-
-assert AS_OF == AS_OF_TIME.date().isoformat()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.oracle_ctes import AS_OF, r2, ts
 from checks.registry import AS_OF_DATE, AS_OF_TIME, query
-from checks.silver import SilverTables, silver
+from checks.silver import silver, stored
 from lamina.contracts import APPOINTMENT_STATUSES, CLAIM_STATUSES, EMAIL_PATTERN, GENDERS, PAYMENT_STATUSES
 from lamina.operators import monitoring as m
 from lamina.operators import quality as q
@@ -268,9 +268,20 @@ SUITE_SQL: dict[str, tuple[str, list[tuple[str, str, str]]]] = {
 }
 
 
+class _Plans(dict):
+    """Cleaned entities as plans, for the references a suite reads once."""
+
+    def __init__(self, spark, sf):
+        super().__init__()
+        self.spark, self.sf = spark, sf
+
+    def __missing__(self, name):
+        return silver(self.spark, self.sf, name)
+
+
 def suite_results(spark, sf, entity):
-    tables = SilverTables(spark, sf)
-    return results(tables[entity], suites.all_suites(tables, AS_OF_DATE)[entity], entity)
+    checked = stored(silver(spark, sf, entity), entity)
+    return results(checked, suites.SUITES[entity](_Plans(spark, sf), AS_OF_DATE), entity)
 
 
 for _key, (_entity, _rules) in SUITE_SQL.items():
@@ -313,40 +324,7 @@ def _(spark, sf):
     return results(read_entity(spark, sf, "appointments"), rules, "appointments")
 
 
-_ALL_RESULTS = " UNION ALL ".join(f"({rule_sql(e, e, r)})" for e, r in SUITE_SQL.values())
-
-
-def all_results(spark, sf):
-    tables = SilverTables(spark, sf)
-    out = None
-    for entity, rules in suites.all_suites(tables, AS_OF_DATE).items():
-        part = results(tables[entity], rules, entity)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-@query("e21_run_summary", "SELECT * FROM r", r=_ALL_RESULTS)
-def _(spark, sf):
-    return q.run_summary(all_results(spark, sf))
-
-
-@query(
-    "e21_failed_rules",
-    "SELECT count(*) AS FailedRules FROM r WHERE Status = 'FAILED'",
-    r=_ALL_RESULTS,
-)
-def _(spark, sf):
-    return q.failed_rules(all_results(spark, sf))
-
-
-@query(
-    "e22_trend",
-    """SELECT Entity, Status, count(*) AS RuleExecutions, CAST(sum(FailedCount) AS BIGINT) AS FailedRows
-       FROM r GROUP BY 1, 2""",
-    r=_ALL_RESULTS,
-)
-def _(spark, sf):
-    return q.trend(all_results(spark, sf))
+ALL_RESULTS = " UNION ALL ".join(f"({rule_sql(e, e, r)})" for e, r in SUITE_SQL.values())
 
 
 @query(

@@ -71,7 +71,7 @@ class Run:
     run_id: str
     at: dt.datetime
     clock: Clock = utc_now
-    workers: int = 4
+    workers: int = 8
 
 
 class Ledger:
@@ -384,15 +384,18 @@ MART_NAMES = (
 )
 
 
-def full_run(spark: SparkSession, lake: Lake, run: Run, fmt: str = "csv") -> dict[str, object]:
-    """Bronze, silver, gold, quality and monitoring, in that order."""
-    return {
-        "bronze": bronze_job(spark, lake, run, fmt),
-        "silver": silver_job(spark, lake, run),
-        "gold": gold_job(spark, lake, run),
-        "quality": quality_job(spark, lake, run),
-        "monitoring": monitoring_job(spark, lake, run),
-    }
+STAGES: dict[str, Callable[[SparkSession, Lake, Run], object]] = {
+    "bronze": bronze_job,
+    "silver": silver_job,
+    "gold": gold_job,
+    "quality": quality_job,
+    "monitoring": monitoring_job,
+}
+
+
+def full_run(spark: SparkSession, lake: Lake, run: Run, stages: Sequence[str] = tuple(STAGES)) -> dict[str, object]:
+    """The stages in their order, or those named, such as the rest of a run that stopped."""
+    return {name: job(spark, lake, run) for name, job in STAGES.items() if name in stages}
 
 
 def mart_versions(spark: SparkSession, lake: Lake) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,15 +124,17 @@ def labs_suite(patients: DataFrame) -> list[Rule]:
     )
 
 
+SUITES: dict[str, Callable[[Mapping[str, DataFrame], dt.date], list[Rule]]] = {
+    "patients": lambda silver, as_of: patients_suite(as_of),
+    "doctors": lambda silver, as_of: doctors_suite(),
+    "appointments": lambda silver, as_of: appointments_suite(silver["patients"], silver["doctors"]),
+    "insurance_claims": lambda silver, as_of: claims_suite(silver["patients"]),
+    "billing": lambda silver, as_of: billing_suite(silver["patients"], silver["appointments"]),
+    "pharmacy_orders": lambda silver, as_of: pharmacy_suite(silver["patients"]),
+    "laboratory_results": lambda silver, as_of: labs_suite(silver["patients"]),
+}
+
+
 def all_suites(silver: Mapping[str, DataFrame], as_of: dt.date) -> dict[str, list[Rule]]:
     """The full suite of every entity; ``patients`` holds current rows."""
-    patients, doctors, visits = silver["patients"], silver["doctors"], silver["appointments"]
-    return {
-        "patients": patients_suite(as_of),
-        "doctors": doctors_suite(),
-        "appointments": appointments_suite(patients, doctors),
-        "insurance_claims": claims_suite(patients),
-        "billing": billing_suite(patients, visits),
-        "pharmacy_orders": pharmacy_suite(patients),
-        "laboratory_results": labs_suite(patients),
-    }
+    return {name: suite(silver, as_of) for name, suite in SUITES.items()}
