@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.contracts import CURRENT, END, HISTORY, START, VERSION
-from lamina.operators.merge import as_list, check_source, differs
+from lamina.operators.merge import as_list, check_source, differs, not_older
 
 # Texts that count as "current" besides a true boolean.
 TRUE_TEXTS = ("true", "True", "1", "yes", "Y")
@@ -66,12 +66,14 @@ def advance(
     tracked: Sequence[str],
     as_of: dt.datetime,
     close_missing: bool = False,
+    newest_by: str | None = None,
 ) -> DataFrame:
     """Rows the load touches or keeps current: current versions and those it closes.
 
     Versions closed earlier are not among them, so a writer that stores closed
     rows apart leaves those files alone.  One full join of current rows with the
-    source decides everything; each pair yields up to two rows.
+    source decides everything; each pair yields up to two rows.  With ``newest_by``
+    a row that arrives late does not follow a newer version.
     """
     keys = as_list(keys)
     rows = history.withColumn(CURRENT, is_current())
@@ -83,6 +85,8 @@ def advance(
 
     held, arrived = F.col("t").isNotNull(), F.col("s").isNotNull()
     changed = held & arrived & differs(tracked)
+    if newest_by:
+        changed = changed & not_older(newest_by)
     closing = changed | (held & ~arrived) if close_missing else changed
     opening = arrived & (~held | changed)
     now = F.lit(as_of).cast(HISTORY[START])

@@ -47,6 +47,12 @@ def differs(columns: Sequence[str], left: str = "t", right: str = "s") -> Column
     return reduce(Column.__or__, parts)
 
 
+def not_older(column: str) -> Column:
+    """The source row is at least as new as the target row; no time counts as oldest."""
+    held, sent = F.col(f"t.`{column}`"), F.col(f"s.`{column}`")
+    return F.coalesce(sent >= held, held.isNull())
+
+
 @dataclass(frozen=True)
 class MergeResult:
     """Rows of both sides with the action taken: kept, inserted, updated or deleted."""
@@ -135,13 +141,21 @@ def merge(
 
 
 def merge_changed(
-    target: DataFrame | None, source: DataFrame, keys: str | Sequence[str], compared: Sequence[str] | None = None
+    target: DataFrame | None,
+    source: DataFrame,
+    keys: str | Sequence[str],
+    compared: Sequence[str] | None = None,
+    newest_by: str | None = None,
 ) -> MergeResult:
-    """Keep only the present state per key (type 1): update where a compared column differs."""
+    """Keep only the present state per key (type 1): update where a compared column differs.
+
+    With ``newest_by`` a row that arrives late does not replace a newer one.
+    """
     shared = [c for c in compared or () if c in source.columns]
     if target is not None and shared:
         added = [c for c in shared if c not in target.columns]
         for name in added:  # a column new to the target counts as null before
             target = target.withColumn(name, F.lit(None).cast(source.schema[name].dataType))
-        return merge(target, source, keys, update_when=differs(shared))
-    return merge(target, source, keys)
+        guard = not_older(newest_by) if newest_by else F.lit(True)
+        return merge(target, source, keys, update_when=differs(shared) & guard)
+    return merge(target, source, keys, update_when=not_older(newest_by) if newest_by and target is not None else None)

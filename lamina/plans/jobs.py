@@ -17,7 +17,7 @@ from typing import TypeVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.contracts import ENTITIES, entity
+from lamina.contracts import ENTITIES, INGESTION_DATE, entity
 from lamina.operators import monitoring, quality
 from lamina.operators.cleaning import clean
 from lamina.operators.history import advance, filter_current, open_versions
@@ -125,8 +125,10 @@ def stored(df: DataFrame, path: str, seen: dict, key: str) -> DataFrame:
 
 
 # --- bronze -----------------------------------------------------------------
-def read_bronze(spark: SparkSession, lake: Lake, name: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(lake.path("bronze", name))
+def read_bronze(spark: SparkSession, lake: Lake, name: str, since: dt.date | None = None) -> DataFrame:
+    """Bronze rows, all of them or those ingested from a day on; other days are not read."""
+    rows = spark.read.option("mergeSchema", "true").parquet(lake.path("bronze", name))
+    return rows.where(F.col(INGESTION_DATE) >= F.lit(since)) if since else rows
 
 
 def _bring_in(spark: SparkSession, lake: Lake, run: Run, name: str, fmt: str, incremental: bool) -> None:
@@ -201,23 +203,29 @@ def _merge_in(spark: SparkSession, lake: Lake, run: Run, name: str, rows: DataFr
     """Bring cleaned rows into the silver table of an entity; returns the commit."""
     spec, base = ENTITIES[name], lake.path("silver", name)
     if name != HISTORY_ENTITY:
-        merged = merge_changed(read_snapshot(spark, base), rows, spec.key, spec.compared)
+        merged = merge_changed(read_snapshot(spark, base), rows, spec.key, spec.compared, spec.latest_by)
         return write_snapshot(merged.actions, base, run.at, "scd1")
     check_source(rows, [spec.key])
     held = read_history(spark, base)
     if held is None:
         return write_history(open_versions(rows, run.at), base, run.at)
-    return write_history(advance(held, rows, spec.key, spec.tracked, run.at), base, run.at)
+    step = advance(held, rows, spec.key, spec.tracked, run.at, newest_by=spec.latest_by)
+    return write_history(step, base, run.at)
 
 
-def silver_job(spark: SparkSession, lake: Lake, run: Run) -> dict[str, dict]:
-    """Clean every entity, check two of them, and merge all into silver."""
+def silver_job(spark: SparkSession, lake: Lake, run: Run, since: dt.date | None = None) -> dict[str, dict]:
+    """Clean every entity, check two of them, and merge all into silver.
+
+    By default all of bronze is read again.  With ``since`` only later ingestion
+    days are, and what they bring is merged into what silver holds; rows of an
+    entity with a modification time do not replace newer ones.
+    """
     staged: dict[str, DataFrame] = {}
     report: dict[str, dict] = {}
 
     def clean_one(name: str) -> None:
         with ledger.step(f"clean_{name}") as seen:
-            rows = clean(name, read_bronze(spark, lake, name))
+            rows = clean(name, read_bronze(spark, lake, name, since))
             staged[name] = stored(rows, lake.path(f"staging/{run.run_id}", name), seen, "inserted")
             report[f"clean_{name}"] = seen
 

@@ -45,7 +45,8 @@ def test_second_run_takes_only_new_files_and_keeps_versions(spark, lake, done):
     late.write.mode("append").options(**options).csv(lake.path("landing", "patients"))
     report = jobs.bronze_job(spark, lake, jobs.Run("run2", AT + dt.timedelta(days=1)))
     assert set(report.values()) == {"SUCCESS"}
-    jobs.silver_job(spark, lake, jobs.Run("run2", AT + dt.timedelta(days=1)))
+    report = jobs.silver_job(spark, lake, jobs.Run("run2", AT + dt.timedelta(days=1)), since=AT.date() + dt.timedelta(days=1))
+    assert report["clean_patients"]["inserted"] == 1 and report["clean_billing"]["inserted"] == 0
     after = {n: jobs.read_silver(spark, lake, n).count() for n in ENTITIES}
     assert after == before | {"patients": before["patients"] + 1}
     rows = jobs.read_silver(spark, lake, "patients").where("PatientID = 'PAT1'").orderBy("VersionNumber").collect()

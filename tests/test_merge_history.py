@@ -67,6 +67,19 @@ def test_type_one_updates_only_on_change(spark):
     assert rows == [("1", "A", 1), ("2", "B", 20), ("3", "C", 30)]
 
 
+def test_late_rows_do_not_replace_newer_ones(spark):
+    schema = "id string, val string, at timestamp"
+    held = frame(spark, [("1", "A", day(5)), ("2", "B", None), ("3", "C", day(5)), ("4", "D", day(5))], schema)
+    sent = frame(spark, [("1", "old", day(1)), ("2", "b", day(1)), ("3", "c", day(6)), ("4", "none", None)], schema)
+    rows = {r["id"]: r["val"] for r in m.merge_changed(held, sent, "id", ["val"], "at").snapshot.collect()}
+    assert rows == {"1": "A", "2": "b", "3": "c", "4": "D"}
+    whole = {r["id"]: r["val"] for r in m.merge_changed(held, sent, "id", None, "at").snapshot.collect()}
+    assert whole == rows
+    state = h.apply_history(None, held, "id", ["val"], day(7))
+    step = h.filter_current(h.advance(state, sent, "id", ["val"], day(8), newest_by="at"))
+    assert {r["id"]: r["val"] for r in step.collect()} == rows
+
+
 def test_type_two_versions(spark):
     first = h.apply_history(None, frame(spark, [("1", "A")]), "id", ["val"], day(0))
     second = h.apply_history(first, frame(spark, [("1", "B"), ("2", "C")]), "id", ["val"], day(1))
