@@ -55,7 +55,7 @@ def _register(key, build, sql):
 
 
 _BILLING_SQL = f"""SELECT {mean2('TotalAmount')} AS AvgInvoiceAmount,
-    CAST(quantile_cont(TotalAmount, 0.5) AS DOUBLE) AS MedianInvoiceAmount,
+    quantile_cont(CAST(TotalAmount AS DOUBLE), 0.5) AS MedianInvoiceAmount,
     CAST(min(TotalAmount) AS DOUBLE) AS MinInvoiceAmount, CAST(max(TotalAmount) AS DOUBLE) AS MaxInvoiceAmount,
     count(*) AS InvoiceCount, CAST(sum(TotalAmount) AS DOUBLE) AS TotalBilled FROM revenue_analytics"""
 

@@ -22,9 +22,13 @@ def exact_median(df: DataFrame, column: str, scale: int = 2, slots: int = 4096)
     total, low, high = whole.agg(F.count("*"), F.min("_u"), F.max("_u")).first()
     if not total:
         return None
-    middle = sorted({(total - 1) // 2, total // 2})
-    found = [_value_at_rank(whole, rank, low, high, slots) for rank in middle]
-    return Decimal(sum(found)) / (len(found) * unit)
+    lower = upper = _value_at_rank(whole, (total - 1) // 2, low, high, slots)
+    if total % 2 == 0:
+        upto, following = whole.agg(
+            F.count_if(F.col("_u") <= lower), F.min(F.when(F.col("_u") > lower, F.col("_u")))
+        ).first()
+        upper = lower if upto > total // 2 else following
+    return Decimal(lower + upper) / (2 * unit)
 
 
 def _value_at_rank(whole: DataFrame, rank: int, low: int, high: int, slots: int) -> int:

@@ -120,7 +120,7 @@ def stored(df: DataFrame, path: str, seen: dict, key: str) -> DataFrame:
     """Write a frame and read it back, counting its rows on the way."""
     counted, measure = monitoring.counting(df)
     counted.write.mode("overwrite").parquet(path)
-    seen[key] = measure.get["rows"]
+    seen[key] = measure.get.get("rows", 0)
     return df.sparkSession.read.parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,16 +11,22 @@ from pyspark.sql import SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for intermediate tables, under the shared checkpoint folder.
 
     The cluster names that folder in ``spark.checkpoint.dir``.  Only where it is
-    unset (a local test session) is a temporary folder made and recorded there.
+    unset, and Spark runs on this machine alone, is a temporary folder used.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 

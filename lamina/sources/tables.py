@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +59,8 @@ def register_layer(spark: SparkSession, tables: Mapping[str, str], database: str
             else:
                 spark.read.parquet(path).createOrReplaceTempView(name)
             report[name] = "SUCCESS"
-        except PySparkException as problem:
-            report[name] = f"FAILED: {problem.getCondition()}"
+        except Exception as problem:  # reported per table; the others go on
+            report[name] = f"FAILED: {str(problem).splitlines()[0]}"
     return report
 
 

@@ -140,3 +140,17 @@ def test_dead_letters_hold_every_row(spark):
     rows = tables.dead_letters(df, "e", "run", "Kind", "why", AT).collect()
     assert sorted(r["Payload"] for r in rows) == ['{"id":"a","n":1}', '{"id":"b"}']
     assert len({r["DLQ_ID"] for r in rows}) == 2
+
+
+def test_work_folder_follows_the_session(spark, monkeypatch):
+    from lamina import session
+
+    monkeypatch.setattr(session, "CHECKPOINT_DIR", "spark.lamina.unset")
+    first, second = session.work_dir(spark, "x"), session.work_dir(spark, "x")
+    assert first.startswith("/tmp/spark-") and first != second and Path(first).parent == Path(second).parent
+    spark.conf.set("spark.lamina.unset", "/shared/place/")
+    try:
+        assert session.work_dir(spark, "x").startswith("/shared/place/x-")
+    finally:
+        spark.conf.unset("spark.lamina.unset")
+    assert not session.path_exists(spark, "/no/such/folder") and session.path_exists(spark, "/tmp")
