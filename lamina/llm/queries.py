@@ -58,3 +58,23 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.urls import filter_urls
 
     return filter_urls(table(spark, sf_dir, "pages"), _url_rules())
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op1_best_fit_packing")
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.language import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
