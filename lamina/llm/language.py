@@ -20,7 +20,7 @@ DIMENSIONS = 1 << 13
 SAMPLE_PER_LANGUAGE = 500
 CENTROIDS = 4
 #: A text is rejected where its cosine is under this share of the lowest one in the fitting sample.
-REJECT_SHARE = 0.5
+REJECT_SHARE = 0.3
 
 _LETTER = re.compile(r"[^\W\d_]")
 _KEPT = np.full(256, 32, np.uint8)

@@ -78,3 +78,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.language import identify_languages
 
     return identify_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op10_benchmark_decontamination")
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
