@@ -85,3 +85,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     from lamina.llm.decontamination import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_jaccard_join")
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.jaccard import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
