@@ -92,3 +92,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.jaccard import similar_documents
 
     return similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_substring_dedup")
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.substrings import repeated_words
+
+    return repeated_words(table(spark, sf_dir, "documents")).drop("kept_text")
