@@ -99,3 +99,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.substrings import repeated_words
 
     return repeated_words(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.suffixes import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.packed import PACKED, KeyFilter, batch_of, bucket_of, buckets_for, records, repeated_bits, runs, short_keys, split
 from lamina.llm.staging import doc_text, stage
-from lamina.llm.unique_texts import beside, identified, later_copies, row_key, without
+from lamina.llm.unique_texts import beside, copies, identified, row_key, without
 from lamina.llm.words import mixed, windows, word_hashes
 
 WINDOW = 20
@@ -147,12 +147,12 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = identified(doc_text(docs, id_col, text_col))
     words = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    copies = later_copies(rows, words)
-    single = without(rows, copies)
+    later = copies(rows, words).where("not first")
+    single = without(rows, later)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = buckets_for(size // 2)
     found = later_windows(single, anchors(single, buckets), buckets)
-    whole = copies.select("doc", "crc", "key", F.lit(b"").alias("ranges"))
+    whole = later.select("doc", "crc", "key", F.lit(b"").alias("ranges"))
     marked = beside(rows, found.unionByName(whole))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,15 +20,18 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
 
-def later_copies(rows: DataFrame, content: Column) -> DataFrame:
-    """Stored (doc, crc, key) of the rows whose content an earlier row (smaller doc) has too.
+def copies(rows: DataFrame, content: Column) -> DataFrame:
+    """Stored (doc, crc, key, first) of the documents whose content another document has too; ``first`` marks
+    the one with the smallest doc.
 
-    Rows that repeat both doc and text are one document and stay together.
+    Rows that repeat both doc and text are one document.  Both sides of the join are stored tables, so Spark can
+    split one very large group.
     """
     named = stage(rows.select("doc", "crc", F.sha2(content, 256).alias("sha")), "text-names")
-    first = stage(named.groupBy("sha").agg(F.min(F.struct("doc", "crc")).alias("first")), "first-copies")
-    met = named.join(first, "sha").where((F.col("doc") != F.col("first.doc")) | (F.col("crc") != F.col("first.crc")))
-    return stage(met.select("doc", "crc", row_key("doc", "crc").alias("key")).distinct(), "later-copies")
+    ends = named.groupBy("sha").agg(F.min(F.struct("doc", "crc")).alias("low"), F.max(F.struct("doc", "crc")).alias("high"))
+    several = stage(ends.where("low <> high").select("sha", "low"), "copied-texts")
+    met = named.join(several, "sha").select("doc", "crc", row_key("doc", "crc").alias("key"), (F.struct("doc", "crc") == F.col("low")).alias("first"))
+    return stage(met.distinct(), "copied-documents")
 
 
 def without(rows: DataFrame, lost: DataFrame) -> DataFrame:
