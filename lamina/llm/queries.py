@@ -106,3 +106,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.suffixes import repeated_bytes
 
     return repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op6_personal_data")
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents")).drop("found")
