@@ -156,19 +156,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return docs.sparkSession.createDataFrame([], FINDINGS) if out is None else out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that contain a benchmark item; nothing is shuffled."""
-    for index in benchmark_blocks(benchmark):
+def _clean(index: BenchmarkIndex):
+    @F.pandas_udf("boolean")
+    def clean(texts):
+        import pandas as pd
+
+        out = []
+        for _, part in _texts(pa.array(texts, pa.string(), from_pandas=True)):
+            h, at = word_hashes(part)
+            out += [not index.find(h[at[i] : at[i + 1]]) for i in range(len(part))]
+        return pd.Series(out, dtype=bool)
 
-        @F.pandas_udf("boolean")
-        def clean(texts, index: BenchmarkIndex = index):
-            import pandas as pd
+    return clean
 
-            out = []
-            for _, part in _texts(pa.array(texts, pa.string(), from_pandas=True)):
-                h, at = word_hashes(part)
-                out += [not index.find(h[at[i] : at[i + 1]]) for i in range(len(part))]
-            return pd.Series(out, dtype=bool)
 
-        docs = docs.where(clean(col(text_col)))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that contain a benchmark item; nothing is shuffled."""
+    for index in benchmark_blocks(benchmark):
+        docs = docs.where(_clean(index)(col(text_col)))
     return docs

@@ -113,3 +113,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.pii import personal_data
 
     return personal_data(table(spark, sf_dir, "documents")).drop("found")
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.secret_scan import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
