@@ -240,7 +240,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Rewritten along the curve and read back: the same rows, in narrower files."""
     bills = stored(silver(spark, sf, "billing"), "billing")
-    return stored(layout.cluster(bills, ENTITIES["billing"].cluster_by, files=8), "clustered")
+    return stored(layout.cluster(bills, ENTITIES["billing"].cluster_by, file_bytes=1 << 20), "clustered")
 
 
 @query(

@@ -68,6 +68,58 @@ def _(spark, sf):
     return drop_lineage(spark.read.parquet(bronze))
 
 
+def land_arrays(spark, df, path):
+    """JSON files that each hold one array of rows."""
+    whole = df.repartition(4).groupBy(F.spark_partition_id()).agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
+    whole.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query("s02_json_array", _CLAIMS)
+def _(spark, sf):
+    """Array files through the stream into bronze."""
+    spec, bronze = ENTITIES["insurance_claims"], work_dir(spark, "bronze")
+    path = land_arrays(spark, read_entity(spark, sf, spec.name), work_dir(spark, "arrays"))
+    ingest(spark, path, spec, bronze, work_dir(spark, "checkpoint"), LOAD, lambda: AS_OF_TIME, "json").awaitTermination()
+    return drop_lineage(spark.read.parquet(bronze))
+
+
+def _two_orders(spark, sf):
+    """Doctors in two halves whose files have their columns in opposite order."""
+    path, doctors = work_dir(spark, "orders"), read_entity(spark, sf, "doctors")
+    half = F.pmod(F.xxhash64("DoctorID"), F.lit(2))
+    land(spark, sf, "doctors", path=f"{path}/a", df=doctors.where(half == 0))
+    land(spark, sf, "doctors", path=f"{path}/b", df=doctors.where(half == 1).select(*reversed(doctors.columns)))
+    return [f"{path}/a", f"{path}/b"]
+
+
+@query("s01_mixed_headers", "SELECT * FROM raw_doctors")
+def _(spark, sf):
+    return landing.scan_csv(spark, _two_orders(spark, sf), ENTITIES["doctors"]).drop("_rescued_data", "_source_file")
+
+
+@query("s08_stream_new_column", "SELECT *, NULL AS Pager FROM raw_doctors UNION ALL SELECT *, 'P' || DoctorID FROM raw_doctors")
+def _(spark, sf):
+    """Files that come later have a column more; the stream goes on from its checkpoint."""
+    spec = ENTITIES["doctors"]
+    path, bronze, checkpoint = work_dir(spark, "landing"), work_dir(spark, "bronze"), work_dir(spark, "checkpoint")
+    for k, df in enumerate((read_entity(spark, sf, "doctors"), _widened(spark, sf))):
+        options = {"header": "true", **PADDED}
+        df.write.mode("append").options(**options).csv(path)
+        ingest(spark, path, spec, bronze, checkpoint, f"{LOAD}{k}", lambda: AS_OF_TIME).awaitTermination()
+    return drop_lineage(spark.read.option("mergeSchema", "true").parquet(bronze))
+
+
+@query("s04_new_checkpoint_keeps_rows", "SELECT * FROM raw_doctors UNION ALL SELECT * FROM raw_doctors")
+def _(spark, sf):
+    """The same entity loaded again by a stream that begins anew: both loads are in bronze."""
+    spec, bronze = ENTITIES["doctors"], work_dir(spark, "bronze")
+    for _ in range(2):
+        path = land(spark, sf, "doctors")
+        ingest(spark, path, spec, bronze, work_dir(spark, "checkpoint"), LOAD, lambda: AS_OF_TIME).awaitTermination()
+    return drop_lineage(spark.read.parquet(bronze))
+
+
 def damaged_billing(spark, sf):
     """Invoices whose amount or date is not readable for some statuses."""
     bills = read_entity(spark, sf, "billing")
@@ -156,6 +208,18 @@ def _(spark, sf):
     return spark.sql(f"SELECT Hospital, count(*) AS Doctors, '{status}' AS Status FROM layer_doctors GROUP BY Hospital")
 
 
+@query("s12_register_again", "SELECT Hospital, count(*) AS Doctors, 'P' || max(DoctorID) AS Pager FROM raw_doctors GROUP BY 1")
+def _(spark, sf):
+    """A catalog entry follows its table to the next version, with the column that this brings."""
+    base, database = work_dir(spark, "layer"), "lamina_checks"
+    for version, df in enumerate((read_entity(spark, sf, "doctors").limit(1), _widened(spark, sf)), 1):
+        tables.write_table(df, f"{base}/version={version}")
+        report = tables.register_layer(spark, {"doctors_again": f"{base}/version={version}"}, database)
+        if report != {"doctors_again": "SUCCESS"}:
+            raise RuntimeError(report["doctors_again"])
+    return spark.sql(f"SELECT Hospital, count(*) AS Doctors, max_by(Pager, DoctorID) AS Pager FROM {database}.doctors_again GROUP BY Hospital")
+
+
 @query(
     "s14_dead_letters",
     f"""SELECT InvoiceID, 'billing' AS Entity, 'run-1' AS RunID, 'NegativeAmount' AS ErrorType,

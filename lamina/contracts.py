@@ -15,7 +15,6 @@ GENDERS = ("Male", "Female", "Other", "Unknown")
 APPOINTMENT_STATUSES = ("Scheduled", "Completed", "Cancelled", "NoShow", "Rescheduled")
 CLAIM_STATUSES = ("Pending", "Approved", "Denied", "Partial", "Appealed")
 PAYMENT_STATUSES = ("Paid", "Pending", "Partial", "Overdue", "WrittenOff")
-SEVERITIES = ("INFO", "WARNING", "CRITICAL")
 PROBLEM_LEVELS = ("ERROR", "WARNING", "CRITICAL")
 EMAIL_PATTERN = r"^[^@]+@[^@]+\.[^@]+$"
 NULL_TOKEN = "∅"
@@ -60,6 +59,7 @@ class Entity:
     key: str
     columns: dict[str, str]
     latest_by: str | None = None
+    modified_by: str | None = None
     domains: dict[str, Domain] = field(default_factory=dict)
     phones: tuple[str, ...] = ()
     emails: tuple[str, ...] = ()
@@ -106,6 +106,7 @@ ENTITIES: dict[str, Entity] = {
                 "ModifiedDate": "timestamp",
             },
             latest_by="ModifiedDate",
+            modified_by="ModifiedDate",
             domains={"Gender": Domain(GENDERS, "Unknown", fold_case=True)},
             phones=("Phone",),
             emails=("Email",),

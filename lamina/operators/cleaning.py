@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.contracts import LINEAGE, Entity, entity
+from lamina.contracts import BATCH_ID, INGESTION_TIME, LINEAGE, Entity, entity
 from lamina.functions.text import email_canonical, fit_domain, outside_range, phone_digits
 
 
@@ -47,18 +47,18 @@ def fill_nulls(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     return df.fillna(dict(values))
 
 
-def keep_latest(df: DataFrame, keys: Sequence[str], latest_by: str | None = None) -> DataFrame:
+def keep_latest(df: DataFrame, keys: Sequence[str], latest_by: str | Sequence[str] | None = None) -> DataFrame:
     """One row per key: the newest by ``latest_by``, or the smallest if not given.
 
-    Ties are settled by the remaining columns in order, so the survivor depends
-    only on the data and reruns agree.
+    Several columns count one after the other.  Ties are settled by the remaining columns in order, bookkeeping
+    left out, so the survivor depends only on the data and reruns agree.
     """
-    rest = [c for c in df.columns if c not in keys and c != latest_by]
-    order = [F.col(f"`{c}`").asc_nulls_first() for c in rest]
-    if latest_by:
-        order.insert(0, F.col(latest_by).desc_nulls_last())
+    newest = [latest_by] if isinstance(latest_by, str) else list(latest_by or ())
+    rest = [c for c in df.columns if c not in keys and c not in newest and c not in LINEAGE]
+    order = [F.col(f"`{c}`").desc_nulls_last() for c in newest]
+    order += [F.col(f"`{c}`").asc_nulls_first() for c in rest]
     if not order:
-        return df.select(*keys).distinct()
+        return df.dropDuplicates(list(keys))
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where("_rank = 1").drop("_rank")
 
@@ -111,10 +111,25 @@ def standardise(df: DataFrame, spec: Entity) -> DataFrame:
     )
 
 
+def newest_first(spec: Entity, columns: Sequence[str]) -> list[str]:
+    """What makes one row of a key newer than another, most telling first.
+
+    A modification time says it itself.  Else the row that arrived later is newer, where arrival is
+    known; an event time such as that of a visit, which a correction may move either way, only decides
+    within one arrival.
+    """
+    arrival = [c for c in (INGESTION_TIME, BATCH_ID) if c in columns]
+    order = [spec.modified_by, *arrival, spec.latest_by]
+    return list(dict.fromkeys(c for c in order if c))
+
+
 def clean(name: str, df: DataFrame, keep_lineage: bool = False) -> DataFrame:
-    """Silver form of one entity; raises ``ValueError`` for an unknown entity."""
+    """Silver form of one entity; raises ``ValueError`` for an unknown entity.
+
+    Lineage columns, where present, decide which row of a key is the newest before they are dropped.
+    """
     spec = entity(name)
-    rows = df if keep_lineage else drop_lineage(df)
-    rows = standardise(rows, spec).where(valid_rows(spec))
-    rows = keep_latest(rows, [spec.key], spec.latest_by)
+    rows = standardise(df, spec).where(valid_rows(spec))
+    rows = keep_latest(rows, [spec.key], newest_first(spec, df.columns))
+    rows = rows if keep_lineage else drop_lineage(rows)
     return rows.withColumns(derived_columns(spec)) if derived_columns(spec) else rows

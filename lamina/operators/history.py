@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.contracts import CURRENT, END, HISTORY, START, VERSION
+from lamina.functions.times import moment
 from lamina.operators.merge import as_list, check_source, differs, not_older
 
 # Texts that count as "current" besides a true boolean.
@@ -37,7 +38,7 @@ def open_versions(source: DataFrame, as_of: dt.datetime | Column, version: Colum
     """First state of a history: every source row current from ``as_of``."""
     return source.withColumns(
         {
-            START: (as_of if isinstance(as_of, Column) else F.lit(as_of)).cast(HISTORY[START]),
+            START: moment(as_of).cast(HISTORY[START]),
             END: F.lit(None).cast(HISTORY[END]),
             CURRENT: F.lit(True),
             VERSION: (version if isinstance(version, Column) else F.lit(version)).cast(HISTORY[VERSION]),
@@ -89,7 +90,7 @@ def advance(
         changed = changed & not_older(newest_by)
     closing = changed | (held & ~arrived) if close_missing else changed
     opening = arrived & (~held | changed)
-    now = F.lit(as_of).cast(HISTORY[START])
+    now = moment(as_of).cast(HISTORY[START])
     last = F.coalesce(F.col(f"t.{VERSION}"), F.col("_before"), F.lit(0))
 
     kinds = {f.name: f.dataType for f in source.schema.fields} | {f.name: f.dataType for f in rows.schema.fields}
@@ -211,10 +212,10 @@ def history_from_log(
     )
 
 
-def valid_at(history: DataFrame, moment: dt.datetime | Column) -> DataFrame:
+def valid_at(history: DataFrame, at: dt.datetime | Column) -> DataFrame:
     """Rows of the history that held at a moment."""
-    moment = moment if isinstance(moment, Column) else F.lit(moment)
-    return history.where((F.col(START) <= moment) & (F.col(END).isNull() | (F.col(END) > moment)))
+    at = moment(at)
+    return history.where((F.col(START) <= at) & (F.col(END).isNull() | (F.col(END) > at)))
 
 
 def version_counts(history: DataFrame, limit: int = 20) -> DataFrame:

@@ -9,24 +9,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-SAMPLED_VALUES = 1_000_000
+#: Text bytes of rows that go to one file, about; as parquet they are a few times smaller.
+FILE_BYTES = 512 * 1024 * 1024
 
 
-def range_splits(df: DataFrame, column: str, buckets: int, rows: int | None = None) -> list[object]:
+def range_splits(df: DataFrame, column: str, buckets: int) -> list[object]:
     """Lower bounds of ``buckets`` ranges holding about equally many distinct values.
 
-    Spark's own range partitioning finds the bounds for any orderable type, from
-    a sample once the table is large; at most ``buckets`` values come to the
-    driver.  Bounds only decide where rows are placed, never which rows.
+    Spark's own range partitioning finds the bounds for any orderable type; at most ``buckets`` values
+    come to the driver.  Bounds only decide where rows are placed, never which rows.
     """
-    values = df.select(F.col(column).alias("v")).where("v IS NOT NULL")
-    if rows and rows > SAMPLED_VALUES:
-        values = values.sample(fraction=SAMPLED_VALUES / rows, seed=7)
-    values = values.distinct()
+    values = df.select(F.col(column).alias("v")).where("v IS NOT NULL").distinct()
     bounds = values.repartitionByRange(buckets, "v").groupBy(F.spark_partition_id()).agg(F.min("v").alias("v"))
     return sorted(row["v"] for row in bounds.collect())[1:]
 
 
+def files_for(df: DataFrame, file_bytes: int = FILE_BYTES) -> int:
+    """How many files the rows fill, measured as JSON text."""
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(1, -(-size // file_bytes))
+
+
 def _bucket(column: Column, splits: Sequence[object]) -> Column:
     above = [(column >= F.lit(s)).cast("int") for s in splits]
     return F.coalesce(reduce(Column.__add__, above, F.lit(0)), F.lit(0))
@@ -42,9 +46,11 @@ def z_value(columns: Sequence[str], splits: Sequence[Sequence[object]], bits: in
     return value
 
 
-def cluster(df: DataFrame, columns: Sequence[str], files: int, bits: int = 4) -> DataFrame:
+def cluster(df: DataFrame, columns: Sequence[str], files: int | None = None, bits: int = 4, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Rows arranged along a space-filling curve over ``columns``, in ``files`` ranges.
 
+    By default the number of ranges follows from the size of the table.
+
     Reads the table once per column before it is rewritten, so pass a stored
     table.  The columns themselves and a row hash follow the curve value in the range
     key, so a value shared by many rows is still divided over files.
@@ -52,13 +58,7 @@ def cluster(df: DataFrame, columns: Sequence[str], files: int, bits: int = 4) ->
     present = [c for c in columns if c in df.columns]
     if not present:
         raise ValueError("no clustering column is in the table")
-    rows = df.count()
-    splits = [range_splits(df, c, 2**bits, rows) for c in present]
+    splits = [range_splits(df, c, 2**bits) for c in present]
     placed = df.withColumns({"_z": z_value(present, splits, bits), "_h": F.xxhash64(*df.columns)})
     order = ["_z", *present, "_h"]
-    return placed.repartitionByRange(files, *order).sortWithinPartitions(*order).drop("_z", "_h")
-
-
-def compact(df: DataFrame, files: int) -> DataFrame:
-    """Same rows in ``files`` even files, without an ordering."""
-    return df.repartition(files)
+    return placed.repartitionByRange(files or files_for(df, file_bytes), *order).sortWithinPartitions(*order).drop("_z", "_h")

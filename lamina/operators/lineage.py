@@ -18,15 +18,11 @@ from lamina.contracts import (
     SOURCE_FILE,
 )
 from lamina.functions.text import record_hash
+from lamina.functions.times import moment
 
 REQUIRED = (INGESTION_TIME, SOURCE_FILE, LOAD_ID, BATCH_ID, RECORD_HASH)
 
 
-def new_load_id(at: dt.datetime, suffix: str) -> str:
-    """``LOAD_<utc time>_<suffix>``; the caller supplies both parts."""
-    return f"LOAD_{at:%Y%m%d%H%M%S}_{suffix}"
-
-
 def batch_id(stem: str, number: int | None = None) -> str:
     return f"BATCH_{stem}" if number is None else f"BATCH_{stem}_{number}"
 
@@ -51,7 +47,7 @@ def add_lineage(
     digest = record_hash(columns, length_prefixed) if columns else F.lit(None).cast("string")
     stamped = df.withColumns(
         {
-            INGESTION_TIME: F.lit(at).cast("timestamp"),
+            INGESTION_TIME: moment(at),
             SOURCE_FILE: source,
             LOAD_ID: F.lit(load_id),
             BATCH_ID: F.lit(batch),

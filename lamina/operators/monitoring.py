@@ -8,16 +8,14 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.contracts import PROBLEM_LEVELS
+from lamina.functions.times import utc
 
+# The columns of the audit table.
 AUDIT_SCHEMA = (
     "AuditID string, PipelineName string, TableName string, RunID string, StartTime timestamp, EndTime timestamp, "
     "Status string, RowsRead bigint, RowsInserted bigint, RowsUpdated bigint, RowsDeleted bigint, "
     "ExecutionTimeSeconds double, ErrorMessage string, Environment string"
 )
-LOG_SCHEMA = (
-    "LogID string, RunID string, PipelineName string, Module string, LogLevel string, Message string, "
-    "Details string, ExceptionType string, StackTrace string, LoggedAt timestamp"
-)
 
 # How many rows the monitoring page shows.
 AUDIT_SHOWN = 50
@@ -54,8 +52,8 @@ def audit_row(
         pipeline,
         table,
         run_id,
-        start,
-        end,
+        utc(start),
+        utc(end),
         status,
         rows_read,
         inserted,

@@ -17,10 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RESULT_SCHEMA = (
-    "ResultID string, RunID string, Entity string, RuleName string, Description string, Severity string, "
-    "FailedCount bigint, TotalCount bigint, PassRate string, Status string, ValidatedAt timestamp"
-)
+from lamina.functions.times import moment
 
 
 class CriticalFailures(ValueError):
@@ -191,7 +188,7 @@ def evaluate(df: DataFrame, rules: Sequence[Rule], entity: str, run_id: str, at:
         total.alias("TotalCount"),
         rate.cast("string").alias("PassRate"),
         F.when(failed == 0, "PASSED").otherwise("FAILED").alias("Status"),
-        F.lit(at).cast("timestamp").alias("ValidatedAt"),
+        moment(at).alias("ValidatedAt"),
     )
 
 
@@ -239,7 +236,7 @@ def quarantine(df: DataFrame, rules: Sequence[Rule], entity: str, run_id: str, a
         "Severity",
         "RuleColumns",
         "Payload",
-        F.lit(at).cast("timestamp").alias("DetectedAt"),
+        moment(at).alias("DetectedAt"),
     )
 
 
@@ -255,7 +252,7 @@ def failures_by_severity(results: DataFrame) -> DataFrame:
 def require_no_critical(results: DataFrame) -> None:
     """Raise if any row failed a CRITICAL rule; call it on stored results."""
     critical = results.where((F.col("Severity") == "CRITICAL") & (F.col("FailedCount") > 0))
-    found = critical.groupBy("Entity").agg(F.sum("FailedCount").alias("n")).orderBy("Entity").limit(20).collect()
+    found = critical.groupBy("Entity").agg(F.sum("FailedCount").alias("n")).orderBy("Entity").collect()
     if found:
         raise CriticalFailures("; ".join(f"{r['Entity']}: {r['n']} rows" for r in found))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 from functools import reduce
 from typing import TypeVar
@@ -17,15 +17,15 @@ from typing import TypeVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.contracts import ENTITIES, INGESTION_DATE, entity
+from lamina.contracts import BATCH_ID, ENTITIES, INGESTION_DATE, entity
 from lamina.operators import monitoring, quality
 from lamina.operators.cleaning import clean
 from lamina.operators.history import advance, filter_current, open_versions
 from lamina.operators.layout import cluster
 from lamina.operators.lineage import add_lineage, batch_id, lineage_report
 from lamina.operators.merge import check_source, merge_changed
-from lamina.plans import marts, suites
-from lamina.sources.landing import rescued_rows, scan
+from lamina.plans import marts, suites, views
+from lamina.sources.landing import rescued_rows, scan, split_bad_records
 from lamina.sources.snapshots import (
     commits,
     last_version,
@@ -116,12 +116,11 @@ def together(run: Run, tasks: Mapping[str, Callable[[], T]]) -> dict[str, T]:
         return {name: future.result() for name, future in futures.items()}
 
 
-def stored(df: DataFrame, path: str, seen: dict, key: str) -> DataFrame:
-    """Write a frame and read it back, counting its rows on the way."""
+def write_counted(df: DataFrame, path: str) -> int:
+    """Write a frame and return its rows, counted on the way."""
     counted, measure = monitoring.counting(df)
     counted.write.mode("overwrite").parquet(path)
-    seen[key] = measure.get.get("rows", 0)
-    return df.sparkSession.read.parquet(path)
+    return measure.get.get("rows") or 0
 
 
 # --- bronze -----------------------------------------------------------------
@@ -131,15 +130,27 @@ def read_bronze(spark: SparkSession, lake: Lake, name: str, since: dt.date | Non
     return rows.where(F.col(INGESTION_DATE) >= F.lit(since)) if since else rows
 
 
-def _bring_in(spark: SparkSession, lake: Lake, run: Run, name: str, fmt: str, incremental: bool) -> None:
+def _bring_in(
+    spark: SparkSession, lake: Lake, run: Run, name: str, fmt: str, incremental: bool, bad_records: bool, seen: dict, options: Mapping[str, object]
+) -> None:
     spec = entity(name)
     landing, target = lake.path("landing", name), lake.path("bronze", name)
+    bad_target = lake.path("bad_records", name) if bad_records else None
     if incremental:
         checkpoint = lake.path("checkpoints", name)
-        ingest(spark, landing, spec, target, checkpoint, run.run_id, lambda: run.at, fmt).awaitTermination()
-    else:
-        batch = batch_id(run.run_id)
-        write_batch(add_lineage(scan(spark, landing, spec, fmt), run.run_id, batch, run.at), target, batch)
+        stream = ingest(
+            spark, landing, spec, target, checkpoint, run.run_id, lambda: run.at, fmt, bad_target=bad_target, counts=seen, **options
+        )
+        stream.awaitTermination()
+        return
+    batch = batch_id(run.run_id)
+    stamped = add_lineage(scan(spark, landing, spec, fmt, **options), run.run_id, batch, run.at)
+    bad = 0
+    if bad_target:
+        stamped, broken = split_bad_records(stamped)
+        bad = write_counted(broken, f"{bad_target}/{BATCH_ID}={batch}")
+    seen["inserted"] = write_batch(stamped, target, batch)
+    seen["read"] = seen["inserted"] + bad
 
 
 def bronze_job(
@@ -150,17 +161,20 @@ def bronze_job(
     entities: Sequence[str] = tuple(ENTITIES),
     incremental: bool = True,
     stop_on_error: bool = False,
+    bad_records: bool = False,
+    **options: object,
 ) -> dict[str, str]:
     """Bring landing files of each entity into bronze; one failure does not stop the rest.
 
     Incremental runs take files not seen before, once each.  Otherwise all files
-    are read and replace what the same run wrote earlier.
+    are read and replace what the same run wrote earlier.  ``bad_records`` puts rows that do
+    not fit the schema aside instead of keeping their text in the rescue column.  ``options`` go to the scan.
     """
 
     def attempt(name: str) -> str:
         try:
-            with ledger.step(name):
-                _bring_in(spark, lake, run, name, fmt, incremental)
+            with ledger.step(name) as seen:
+                _bring_in(spark, lake, run, name, fmt, incremental, bad_records, seen, options)
             return "SUCCESS"
         except Exception as problem:  # reported per entity, unless the caller asked to stop
             if stop_on_error:
@@ -203,13 +217,13 @@ def _merge_in(spark: SparkSession, lake: Lake, run: Run, name: str, rows: DataFr
     """Bring cleaned rows into the silver table of an entity; returns the commit."""
     spec, base = ENTITIES[name], lake.path("silver", name)
     if name != HISTORY_ENTITY:
-        merged = merge_changed(read_snapshot(spark, base), rows, spec.key, spec.compared, spec.latest_by)
+        merged = merge_changed(read_snapshot(spark, base), rows, spec.key, spec.compared, spec.modified_by)
         return write_snapshot(merged.actions, base, run.at, "scd1")
     check_source(rows, [spec.key])
     held = read_history(spark, base)
     if held is None:
         return write_history(open_versions(rows, run.at), base, run.at)
-    step = advance(held, rows, spec.key, spec.tracked, run.at, newest_by=spec.latest_by)
+    step = advance(held, rows, spec.key, spec.tracked, run.at, newest_by=spec.modified_by)
     return write_history(step, base, run.at)
 
 
@@ -225,8 +239,11 @@ def silver_job(spark: SparkSession, lake: Lake, run: Run, since: dt.date | None
 
     def clean_one(name: str) -> None:
         with ledger.step(f"clean_{name}") as seen:
-            rows = clean(name, read_bronze(spark, lake, name, since))
-            staged[name] = stored(rows, lake.path(f"staging/{run.run_id}", name), seen, "inserted")
+            path = lake.path(f"staging/{run.run_id}", name)
+            bronze, read = monitoring.counting(read_bronze(spark, lake, name, since))
+            seen["inserted"] = write_counted(clean(name, bronze), path)
+            seen["read"] = read.get.get("rows") or 0
+            staged[name] = spark.read.parquet(path)
             report[f"clean_{name}"] = seen
 
     def check(name: str, rules: Sequence[quality.Rule]) -> None:
@@ -239,7 +256,7 @@ def silver_job(spark: SparkSession, lake: Lake, run: Run, since: dt.date | None
     def merge_one(name: str) -> None:
         with ledger.step(f"merge_{name}") as seen:
             done = report[f"merge_{name}"] = _merge_in(spark, lake, run, name, staged[name])
-            seen.update(read=done["rows"], **{k: done[k] for k in ("inserted", "updated", "deleted")})
+            seen.update(read=report[f"clean_{name}"]["inserted"], **{k: done[k] for k in ("inserted", "updated", "deleted")})
 
     with Ledger(spark, lake, run, "silver") as ledger:
         together(run, {n: lambda n=n: clean_one(n) for n in ENTITIES})
@@ -255,8 +272,11 @@ def silver_job(spark: SparkSession, lake: Lake, run: Run, since: dt.date | None
 
 
 # --- gold -------------------------------------------------------------------
-def gold_job(spark: SparkSession, lake: Lake, run: Run, files: int = 8) -> dict[str, dict]:
-    """Build and store the marts.  Marts over marts read the stored ones."""
+def gold_job(spark: SparkSession, lake: Lake, run: Run, files: int | None = None) -> dict[str, dict]:
+    """Build and store the marts.  Marts over marts read the stored ones.
+
+    Clustered marts fill as many files as their size asks for, unless ``files`` says otherwise.
+    """
 
     def keep(name: str, df: DataFrame) -> dict:
         with ledger.step(name) as seen:
@@ -294,16 +314,26 @@ def store_quality(
     tables: Mapping[str, DataFrame],
     rules: Mapping[str, Sequence[quality.Rule]],
     run_id: str | None = None,
+    ledger: Ledger | None = None,
 ) -> DataFrame:
-    """Evaluate suites, store results and failing rows under the run id, return the results."""
+    """Evaluate suites, store results and failing rows under the run id, return the results.
+
+    With a ledger each entity is a step: rows checked, results stored, failing rows put aside.
+    """
     run_id = run_id or run.run_id
 
     def one(name: str) -> None:
+        with ledger.step(name) if ledger else nullcontext({}) as seen:
+            check(name, seen)
+
+    def check(name: str, seen: dict) -> None:
         where = f"RunID={run_id}/Entity={name}"
         found = quality.evaluate(tables[name], rules[name], name, run_id, run.at).drop("RunID", "Entity")
-        found.coalesce(1).write.mode("overwrite").parquet(f"{lake.path('ops', 'dq_results')}/{where}")
+        path = f"{lake.path('ops', 'dq_results')}/{where}"
+        seen["inserted"] = write_counted(found.coalesce(1), path)
+        seen["read"] = spark.read.parquet(path).agg(F.max("TotalCount")).first()[0] or 0
         bad = quality.quarantine(tables[name], rules[name], name, run_id, run.at).drop("RunID", "Entity")
-        bad.write.mode("overwrite").parquet(f"{lake.path('ops', 'dq_failed')}/{where}")
+        seen["deleted"] = write_counted(bad, f"{lake.path('ops', 'dq_failed')}/{where}")
 
     together(run, {n: lambda n=n: one(n) for n in rules})
     kept = spark.read.parquet(lake.path("ops", "dq_results"))
@@ -313,15 +343,16 @@ def store_quality(
 def quality_job(spark: SparkSession, lake: Lake, run: Run, fail_on_critical: bool = False) -> DataFrame:
     """Every suite over silver.  With the flag, critical failures raise after all is stored."""
     silver = read_silver_current(spark, lake)
-    with Ledger(spark, lake, run, "data_quality") as ledger, ledger.step("all"):
-        results = store_quality(spark, lake, run, silver, suites.all_suites(silver, run.at.date()))
+    with Ledger(spark, lake, run, "data_quality") as ledger:
+        rules = suites.all_suites(silver, run.at.date())
+        results = store_quality(spark, lake, run, silver, rules, ledger=ledger)
         if fail_on_critical:
             quality.require_no_critical(results)
     return quality.run_summary(results)
 
 
 # --- monitoring and maintenance ---------------------------------------------
-def maintain(spark: SparkSession, lake: Lake, run: Run, files: int = 8) -> dict[str, str]:
+def maintain(spark: SparkSession, lake: Lake, run: Run, files: int | None = None) -> dict[str, str]:
     """Rewrite silver tables clustered by their columns, as new snapshots."""
 
     def one(name: str) -> str:
@@ -355,7 +386,11 @@ def monitoring_job(spark: SparkSession, lake: Lake, run: Run, maintenance: bool
 
 
 def register_all(spark: SparkSession, lake: Lake, databases: Mapping[str, str] | None = None) -> dict[str, str]:
-    """Make every stored table readable by name, by layer; temporary views by default."""
+    """Make every stored table readable by name, by layer; temporary views by default.
+
+    The patients' history spans many folders, so it is always a temporary view; so are the views over the marts.
+    Registering again after a later run shows what that run stored.
+    """
     databases = databases or {}
     report = register_layer(spark, {n: lake.path("bronze", n) for n in ENTITIES}, databases.get("bronze"))
     report = {f"bronze.{k}": v for k, v in report.items()}
@@ -370,26 +405,18 @@ def register_all(spark: SparkSession, lake: Lake, databases: Mapping[str, str] |
             paths[name] = f"{lake.path(layer, name)}/version={version}"
         done = register_layer(spark, paths, databases.get(layer))
         report |= {f"{layer}.{k}": v for k, v in done.items()}
+    history = read_history(spark, lake.path("silver", HISTORY_ENTITY))
+    if history is not None:
+        history.createOrReplaceTempView(HISTORY_ENTITY)
+    report[f"silver.{HISTORY_ENTITY}"] = "SKIPPED" if history is None else "SUCCESS"
     ops = register_layer(spark, {n: lake.path("ops", n) for n in ("audit", "dq_results", "dq_failed")}, databases.get("ops"))
-    return report | {f"ops.{k}": v for k, v in ops.items()}
-
-
-MART_NAMES = (
-    "patient_summary",
-    "doctor_performance",
-    "revenue_analytics",
-    "hospital_revenue",
-    "insurance_analytics",
-    "appointment_analytics",
-    "monthly_revenue",
-    "daily_revenue",
-    "laboratory_trends",
-    "pharmacy_sales",
-    "patient_visit_summary",
-    "doctor_utilization",
-    "top_diseases",
-    "cancelled_appointments",
-)
+    report |= {f"ops.{k}": v for k, v in ops.items()}
+    built = {n: read_snapshot(spark, lake.path("gold", n)) for n in MART_NAMES}
+    published = views.publish(spark, {n: df for n, df in built.items() if df is not None})
+    return report | {f"views.{k}": v for k, v in published.items() if k not in MART_NAMES}
+
+
+MART_NAMES = marts.MART_NAMES
 
 
 STAGES: dict[str, Callable[[SparkSession, Lake, Run], object]] = {

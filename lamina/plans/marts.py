@@ -17,7 +17,7 @@ Joins carry no forced hints: Spark broadcasts a side only when its size is under
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -337,30 +337,27 @@ FROM_REVENUE = {
 FROM_PERFORMANCE = {"doctor_utilization": doctor_utilization}
 
 
+FROM_SILVER: dict[str, Callable[[Mapping[str, DataFrame], dt.date], DataFrame]] = {
+    "patient_summary": lambda s, day: patient_summary(s["patients"], s["appointments"], s["billing"], s["insurance_claims"], day),
+    "doctor_performance": lambda s, day: doctor_performance(s["doctors"], s["appointments"], s["billing"]),
+    "revenue_analytics": lambda s, day: revenue_analytics(s["billing"], s["appointments"], s["doctors"]),
+    "insurance_analytics": lambda s, day: insurance_analytics(s["insurance_claims"]),
+    "appointment_analytics": lambda s, day: appointment_analytics(s["appointments"], s["doctors"]),
+    "laboratory_trends": lambda s, day: laboratory_trends(s["laboratory_results"]),
+    "pharmacy_sales": lambda s, day: pharmacy_sales(s["pharmacy_orders"]),
+    "patient_visit_summary": lambda s, day: patient_visit_summary(s["appointments"], s["patients"], day),
+    "top_diseases": lambda s, day: top_diseases(s["appointments"]),
+    "cancelled_appointments": lambda s, day: cancelled_appointments(s["appointments"], s["doctors"], s["patients"]),
+}
+MART_NAMES = (*FROM_SILVER, *FROM_REVENUE, *FROM_PERFORMANCE)
+
+
 def base_marts(silver: Mapping[str, DataFrame], as_of: dt.date) -> dict[str, DataFrame]:
     """Marts computed from silver tables alone; ``patients`` holds current rows."""
-    patients, doctors, visits = silver["patients"], silver["doctors"], silver["appointments"]
-    billing, claims = silver["billing"], silver["insurance_claims"]
-    return {
-        "patient_summary": patient_summary(patients, visits, billing, claims, as_of),
-        "doctor_performance": doctor_performance(doctors, visits, billing),
-        "revenue_analytics": revenue_analytics(billing, visits, doctors),
-        "insurance_analytics": insurance_analytics(claims),
-        "appointment_analytics": appointment_analytics(visits, doctors),
-        "laboratory_trends": laboratory_trends(silver["laboratory_results"]),
-        "pharmacy_sales": pharmacy_sales(silver["pharmacy_orders"]),
-        "patient_visit_summary": patient_visit_summary(visits, patients, as_of),
-        "top_diseases": top_diseases(visits),
-        "cancelled_appointments": cancelled_appointments(visits, doctors, patients),
-    }
+    return {name: build(silver, as_of) for name, build in FROM_SILVER.items()}
 
 
 def derived_marts(revenue: DataFrame, performance: DataFrame) -> dict[str, DataFrame]:
     return {name: build(revenue) for name, build in FROM_REVENUE.items()} | {
         name: build(performance) for name, build in FROM_PERFORMANCE.items()
     }
-
-
-def all_marts(silver: Mapping[str, DataFrame], as_of: dt.date) -> dict[str, DataFrame]:
-    marts = base_marts(silver, as_of)
-    return marts | derived_marts(marts["revenue_analytics"], marts["doctor_performance"])

@@ -293,16 +293,32 @@ def high_utilizers(m: Marts) -> DataFrame:
     )
 
 
-def publish(spark: SparkSession, marts: Marts) -> list[str]:
-    """Register marts and the views over them; returns the names registered."""
+def publish(spark: SparkSession, marts: Marts) -> dict[str, str]:
+    """Register marts and the views over them; reports each as SUCCESS, SKIPPED or FAILED.
+
+    A view is skipped if a mart it reads was not handed over.
+    """
+    report = {}
     for name, df in marts.items():
         df.createOrReplaceTempView(name)
-    built = {}
+        report[name] = "SUCCESS"
     for name, build in VIEWS.items():
+        asked = _Asked(marts)
         try:
-            built[name] = build(marts)
-        except KeyError:  # a mart this view reads was not handed over
-            continue
-    for name, df in built.items():
-        df.createOrReplaceTempView(name)
-    return [*marts, *built]
+            build(asked).createOrReplaceTempView(name)
+            report[name] = "SUCCESS"
+        except Exception as problem:  # reported per view; the others go on
+            report[name] = "SKIPPED" if asked.absent else f"FAILED: {str(problem).splitlines()[0]}"
+    return report
+
+
+class _Asked(dict):
+    """Marts that remember which absent ones were asked for."""
+
+    def __init__(self, marts: Marts) -> None:
+        super().__init__(marts)
+        self.absent: list[str] = []
+
+    def __missing__(self, name: str) -> DataFrame:
+        self.absent.append(name)
+        raise KeyError(name)

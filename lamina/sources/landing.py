@@ -6,8 +6,11 @@ does not fit keeps its text in ``_rescued_data`` and whatever could be read.
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Sequence
 from functools import reduce
 from typing import Literal
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,12 +84,41 @@ def evolve(df: DataFrame, known: dict[str, str], mode: Evolution = "addNewColumn
     return df.drop(*extra)
 
 
-def scan_csv(spark: SparkSession, path: str | list[str], spec: Entity, evolution: Evolution = "addNewColumns") -> DataFrame:
-    """Read CSV files of one header; their columns are matched by name, not position."""
-    header = spark.read.options(header="true", inferSchema="false").csv(path).columns
+def csv_headers(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header.
+
+    A file's header is the first line of its first block, so one task sees it first.  One line per file
+    reaches the driver.
+    """
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("file"), "value")
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in lines.groupBy("file").agg(F.first("value").alias("line")).orderBy("file").collect():
+        header = tuple(next(csv.reader([row["line"].lstrip("\ufeff")]), []))
+        found.setdefault(header, []).append(unquote(row["file"]))
+    return found
+
+
+def _csv_of(spark: SparkSession, path: str | list[str], header: Sequence[str], spec: Entity) -> DataFrame:
     declared = ", ".join(f"`{c}` {spec.columns.get(c, 'string')}" for c in header)
-    raw = spark.read.options(**csv_options()).schema(f"{declared}, `{RESCUED}` string").csv(path)
-    return evolve(_complete(located(raw), spec), spec.columns, evolution)
+    raw = spark.read.options(**csv_options()).option("enforceSchema", "false").schema(f"{declared}, `{RESCUED}` string").csv(path)
+    return _complete(located(raw), spec)
+
+
+def scan_csv(spark: SparkSession, path: str | list[str], spec: Entity, evolution: Evolution = "addNewColumns") -> DataFrame:
+    """Read CSV files; columns are matched by name, file by file, whatever their order.
+
+    Files are read together by header, so a folder of one header is one scan.  Columns that only some files
+    have are null in the others.
+    """
+    headers = csv_headers(spark, path)
+    if not headers:
+        headers = {tuple(spec.columns): []}
+    if len(headers) == 1:
+        rows = _csv_of(spark, path, next(iter(headers)), spec)
+    else:
+        parts = [_csv_of(spark, files, header, spec) for header, files in headers.items()]
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return evolve(rows, spec.columns, evolution)
 
 
 def scan_json(

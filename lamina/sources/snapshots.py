@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from lamina.contracts import CURRENT
+from lamina.functions.times import moment, utc
 from lamina.operators.history import is_current
 from lamina.operators.merge import ACTION
 from lamina.session import path_exists
@@ -35,14 +36,14 @@ def last_version(spark: SparkSession, base: str, at: dt.datetime | None = None)
     """Newest version, or the newest committed no later than ``at``."""
     log = commits(spark, base)
     if at is not None:
-        log = log.where(F.col("committed_at") <= F.lit(at))
+        log = log.where(F.col("committed_at") <= moment(at))
     return log.agg(F.max("version")).first()[0]
 
 
 def _record(spark: SparkSession, base: str, version: int, at: dt.datetime, operation: str, seen: dict) -> dict:
     row = {
         "version": version,
-        "committed_at": at,
+        "committed_at": utc(at),
         "operation": operation,
         **{k: int(seen.get(k) or 0) for k in ("rows", "inserted", "updated", "deleted")},
     }
@@ -88,7 +89,7 @@ def write_history(rows: DataFrame, base: str, at: dt.datetime, operation: str =
     spark = rows.sparkSession
     version = (last_version(spark, base) or 0) + 1
     seen = Observation()
-    opened = F.col(CURRENT) & (F.col("EffectiveStartDate") == F.lit(at))
+    opened = F.col(CURRENT) & (F.col("EffectiveStartDate") == moment(at))
     out = rows.observe(
         seen,
         F.count_if(F.col(CURRENT)).alias("rows"),
@@ -97,7 +98,10 @@ def write_history(rows: DataFrame, base: str, at: dt.datetime, operation: str =
         F.count_if(~F.col(CURRENT)).alias("closed"),
     )
     out.write.mode("overwrite").partitionBy(CURRENT).parquet(f"{base}/version={version}")
-    return _record(spark, base, version, at, operation, seen.get)
+    counts = dict(seen.get)
+    # A version that a later one follows is an update; what only ends is a deletion.
+    counts["deleted"] = max(0, (counts.get("closed") or 0) - (counts.get("updated") or 0))
+    return _record(spark, base, version, at, operation, counts)
 
 
 def read_history(

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.functions.times import moment
 from lamina.session import path_exists
 
 
@@ -28,16 +29,32 @@ def read_table(spark: SparkSession, path: str, merge_schema: bool = False) -> Da
     return spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
 
 
-def append_evolving(existing: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Union by name where either side may lack columns of the other."""
-    return new if existing is None else existing.unionByName(new, allowMissingColumns=True)
+def _catalogue(spark: SparkSession, database: str, name: str, path: str) -> None:
+    """Make the external table ``database.name`` show what is stored at ``path`` now.
+
+    An entry that points elsewhere or has another schema is dropped, which leaves its files alone, and made
+    anew.  A table whose files the catalog owns is refused.
+    """
+    full = f"`{database}`.`{name}`"
+    stored = spark.read.parquet(path)
+    if spark.catalog.tableExists(f"{database}.{name}"):
+        facts = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {full}").collect()}
+        if facts.get("Type", "").upper() != "EXTERNAL":
+            raise ValueError(f"{database}.{name} is not an external table")
+        same = facts.get("Location", "").rstrip("/").endswith(path.rstrip("/").split(":", 1)[-1])
+        if not same or sorted(stored.dtypes) != sorted(spark.table(full).dtypes):
+            spark.sql(f"DROP TABLE {full}")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {full} USING parquet LOCATION '{path}'")
+    if any(k.isPartition for k in spark.catalog.listColumns(f"{database}.{name}")):
+        spark.sql(f"MSCK REPAIR TABLE {full}")
+    spark.catalog.refreshTable(f"{database}.{name}")
 
 
 def register_layer(spark: SparkSession, tables: Mapping[str, str], database: str | None = None) -> dict[str, str]:
     """Make stored tables readable by name and report each as SUCCESS, SKIPPED or FAILED.
 
-    With a database they become external tables of the catalog, else temporary
-    views.  A table with nothing stored yet is skipped.
+    With a database they become external tables of the catalog, else temporary views.  Registering again after
+    a later run shows its version, columns and partitions.  A table with nothing stored yet is skipped.
     """
     if database:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
@@ -48,14 +65,7 @@ def register_layer(spark: SparkSession, tables: Mapping[str, str], database: str
             continue
         try:
             if database:
-                full = f"`{database}`.`{name}`"
-                if spark.catalog.tableExists(f"{database}.{name}"):
-                    spark.catalog.refreshTable(f"{database}.{name}")
-                else:
-                    spark.read.parquet(path)
-                    spark.sql(f"CREATE TABLE {full} USING parquet LOCATION '{path}'")
-                    if any(k.isPartition for k in spark.catalog.listColumns(f"{database}.{name}")):
-                        spark.sql(f"MSCK REPAIR TABLE {full}")
+                _catalogue(spark, database, name, path)
             else:
                 spark.read.parquet(path).createOrReplaceTempView(name)
             report[name] = "SUCCESS"
@@ -80,5 +90,5 @@ def dead_letters(
         F.lit(error_type).alias("ErrorType"),
         F.lit(message).alias("ErrorMessage"),
         "Payload",
-        F.lit(at).cast("timestamp").alias("CreatedAt"),
+        moment(at).alias("CreatedAt"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lamina.contracts import BATCH_ID, INGESTION_DATE, RESCUED, Entity
 from lamina.operators.lineage import add_lineage, batch_id
-from lamina.sources.landing import csv_options, json_options, located, split_bad_records
+from lamina.operators.monitoring import counting
+from lamina.sources.landing import csv_options, json_options, located, scan, split_bad_records
 
 # How much one trigger takes, and how often a continuous one fires.
 FILES_PER_TRIGGER = 1000
@@ -20,12 +22,17 @@ Clock = Callable[[], dt.datetime]
 
 
 def stream_landing(
-    spark: SparkSession, path: str, spec: Entity, fmt: str = "csv", files_per_trigger: int = FILES_PER_TRIGGER
+    spark: SparkSession,
+    path: str,
+    spec: Entity,
+    fmt: str = "csv",
+    files_per_trigger: int = FILES_PER_TRIGGER,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Landing files, present and future, as a streaming frame with their names.
+    """Landing files of one form, present and future, as a streaming frame with their names.
 
     The files already there give the CSV column order; a file that later departs
-    from it fails the batch rather than shifting values between columns.
+    from it fails the batch rather than shifting values between columns.  ``ingest`` takes files of any header.
     """
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
     if fmt == "csv":
@@ -34,17 +41,30 @@ def stream_landing(
         reader = reader.options(**csv_options()).option("enforceSchema", "false")
     elif fmt == "json":
         declared = spec.ddl()
-        reader = reader.options(**json_options(multi_line=False))
+        reader = reader.options(**json_options(multi_line))
     else:
         raise ValueError(f"unsupported landing format {fmt!r}")
     raw = reader.schema(f"{declared}, `{RESCUED}` string").format(fmt).load(path)
     return located(raw)
 
 
-def write_batch(df: DataFrame, target: str, batch: str) -> None:
-    """Write one batch to its own partition folder, replacing an earlier attempt."""
-    rows = df.drop(BATCH_ID)
-    rows.write.mode("overwrite").partitionBy(INGESTION_DATE).parquet(f"{target}/{BATCH_ID}={batch}")
+def stream_file_names(spark: SparkSession, path: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """Names of landing files as they come, each once; their content is not read."""
+    reader = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_trigger)
+    reader = reader.schema("path string, modificationTime timestamp, length long, content binary")
+    return reader.load(path).select("path")
+
+
+def write_batch(df: DataFrame, target: str, batch: str) -> int:
+    """Write one batch to its own partition folder, replacing an earlier attempt; returns its rows."""
+    counted, seen = counting(df.drop(BATCH_ID))
+    counted.write.mode("overwrite").partitionBy(INGESTION_DATE).parquet(f"{target}/{BATCH_ID}={batch}")
+    return seen.get.get("rows") or 0
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps in its checkpoint; a new checkpoint means a new id."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
 def ingest(
@@ -59,27 +79,39 @@ def ingest(
     files_per_trigger: int = FILES_PER_TRIGGER,
     continuous: bool = False,
     bad_target: str | None = None,
+    counts: dict[str, int] | None = None,
+    **options: object,
 ) -> StreamingQuery:
     """Start appending new landing files to a bronze table.
 
-    Batch numbers come from the checkpoint, so a batch that is replayed after a
-    failure has the same ``_batch_id`` and overwrites what it wrote before.  With
-    ``bad_target`` rows that do not fit the schema go there instead.
+    The stream hands over file names; each batch is scanned like any other files, with ``options`` of
+    ``landing.scan``, so headers may differ, arrays of JSON are read and new columns evolve.  Batch names hold the
+    stream's id from its checkpoint and a number, so a batch that is replayed after a failure overwrites what
+    it wrote before, and a stream with a new checkpoint, or another stream into the same table,
+    never does.  With ``bad_target`` rows that do not fit the schema go there instead.  ``counts`` gets the rows
+    ``read`` and ``inserted`` added.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
+        files = [r["path"] for r in batch.collect()]  # at most files_per_trigger names
+        if not files:
             return
-        name = batch_id(spec.name, number)
-        stamped = add_lineage(batch, load_id, name, clock())
+        name = batch_id(f"{spec.name}_{stream_id(spark, checkpoint)[:8]}", number)
+        stamped = add_lineage(scan(spark, files, spec, fmt, **options), load_id, name, clock())
+        bad_rows = 0
         if bad_target is None:
-            write_batch(stamped, target, name)
-            return
-        good, bad = split_bad_records(stamped)
-        write_batch(good, target, name)
-        bad.write.mode("overwrite").parquet(f"{bad_target}/{BATCH_ID}={name}")
-
-    stream = stream_landing(spark, path, spec, fmt, files_per_trigger)
+            written = write_batch(stamped, target, name)
+        else:
+            good, bad = split_bad_records(stamped)
+            written = write_batch(good, target, name)
+            counted, seen = counting(bad)
+            counted.write.mode("overwrite").parquet(f"{bad_target}/{BATCH_ID}={name}")
+            bad_rows = seen.get.get("rows") or 0
+        if counts is not None:
+            counts["read"] = counts.get("read", 0) + written + bad_rows
+            counts["inserted"] = counts.get("inserted", 0) + written
+
+    stream = stream_file_names(spark, path, files_per_trigger)
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if continuous:
         return writer.trigger(processingTime=TRIGGER_INTERVAL).start()

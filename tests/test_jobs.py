@@ -85,7 +85,7 @@ def test_critical_failures_stop_the_job_after_results_are_kept(spark, lake, done
 
 def test_all_tables_register(spark, lake, done):
     report = jobs.register_all(spark, lake)
-    assert set(report.values()) == {"SUCCESS"} and len(report) == 7 + 7 + 14 + 3
+    assert set(report.values()) == {"SUCCESS"} and len(report) == 7 + 7 + 1 + 14 + 3 + 11
     assert spark.sql("SELECT count(*) FROM patient_summary").first()[0] > 0
 
 

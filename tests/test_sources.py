@@ -118,9 +118,6 @@ def test_tables_evolve_and_register(spark, folder):
     tables.write_table(spark.range(2).withColumn("p", F.lit("a")), f"{folder}/t", partition_by=["p"])
     tables.write_table(spark.range(2).select("id", F.lit(1).alias("extra"), F.lit("b").alias("p")), f"{folder}/t", partition_by=["p"])
     assert "extra" in tables.read_table(spark, f"{folder}/t", merge_schema=True).columns
-    one = spark.range(1).toDF("id")
-    joined = tables.append_evolving(one, one.withColumn("n", F.lit(1)))
-    assert joined.columns == ["id", "n"] and tables.append_evolving(None, joined) is joined
     put(folder, "broken/x.parquet", "not parquet")
     report = tables.register_layer(spark, {"t": f"{folder}/t", "none": f"{folder}/none", "broken": f"{folder}/broken"})
     assert (report["t"], report["none"]) == ("SUCCESS", "SKIPPED") and report["broken"].startswith("FAILED")
