@@ -120,42 +120,59 @@ def constraints(checks: Mapping[str, str], primary_key: Sequence[str] = ()) -> l
 
 
 # --- evaluation -------------------------------------------------------------
-def _row_counts(df: DataFrame, rules: Sequence[RowRule]) -> DataFrame:
-    """(position, failed, total) of all row rules from one pass over the table."""
-    counted = df.agg(
-        F.count("*").alias("_total"), *[F.count_if(r.predicate(df)).alias(f"_{i}") for i, r in enumerate(rules)]
-    )
-    entries = [F.struct(F.lit(r.name).alias("RuleName"), F.col(f"_{i}").alias("Failed")) for i, r in enumerate(rules)]
-    return counted.select(F.inline(F.array(*entries)), F.col("_total").alias("Total"))
+def _entry(rule: str | Rule, key: Column) -> Column:
+    return F.struct(F.lit(rule if isinstance(rule, str) else rule.name).alias("RuleName"), key.alias("_key"))
 
 
-def _unique_counts(df: DataFrame, rule: UniqueRule) -> DataFrame:
-    per_key = df.groupBy(*rule.columns).agg(F.count("*").alias("n"))
-    return per_key.agg(F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("Failed"), F.sum("n").alias("Total")).select(
-        F.lit(rule.name).alias("RuleName"), "Failed", "Total"
-    )
+def _key_of(df: DataFrame, rule: Rule) -> Column:
+    """The key a row has under a rule, as text; null where the rule does not apply."""
+    if isinstance(rule, UniqueRule):
+        return F.to_json(F.struct(*[F.col(c) for c in rule.columns]))
+    return F.col(rule.columns[0]).cast(rule.reference.schema[rule.reference_column].dataType).cast("string")
 
 
-def _known_keys(rule: ReferenceRule) -> DataFrame:
-    return rule.reference.select(F.col(rule.reference_column).alias("_key")).distinct().withColumn("_known", F.lit(True))
+def _key_rules(rules: Sequence[Rule]) -> list[Rule]:
+    return [r for r in rules if isinstance(r, UniqueRule | ReferenceRule)]
 
 
-def _reference_counts(df: DataFrame, rule: ReferenceRule) -> DataFrame:
-    per_key = df.groupBy(F.col(rule.columns[0]).alias("_key")).agg(F.count("*").alias("n"))
-    orphan = F.col("_known").isNull() & F.col("_key").isNotNull()
-    return (
-        per_key.join(_known_keys(rule), "_key", "left")
-        .agg(F.sum(F.when(orphan, F.col("n"))).alias("Failed"), F.sum("n").alias("Total"))
-        .select(F.lit(rule.name).alias("RuleName"), "Failed", "Total")
-    )
+def offending_keys(df: DataFrame, rules: Sequence[Rule]) -> DataFrame | None:
+    """(RuleName, _key, n): keys that break a key rule, and the rows that hold each; None without key rules.
+
+    One pass over the key columns counts the rows per rule and key, combined on the map side.  Store the
+    result where both counts and quarantine need it.
+    """
+    keyed = _key_rules(rules)
+    if not keyed:
+        return None
+    entries = df.select(F.inline(F.array(*[_entry(r, _key_of(df, r)) for r in keyed]))).where("_key IS NOT NULL")
+    counts = entries.groupBy("RuleName", "_key").agg(F.count("*").alias("n"))
+    repeated = counts.where(F.col("RuleName").isin([r.name for r in keyed if isinstance(r, UniqueRule)]) & (F.col("n") > 1))
+    references = [r for r in keyed if isinstance(r, ReferenceRule)]
+    if not references:
+        return repeated
+    known = [
+        r.reference.select(F.lit(r.name).alias("RuleName"), F.col(r.reference_column).cast("string").alias("_key")).where("_key IS NOT NULL")
+        for r in references
+    ]
+    held = counts.where(F.col("RuleName").isin([r.name for r in references]))
+    orphans = held.join(reduce(DataFrame.unionByName, known).distinct(), ["RuleName", "_key"], "left_anti")
+    return repeated.unionByName(orphans)
 
 
-def _counts(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def _counts(df: DataFrame, rules: Sequence[Rule], offending: DataFrame | None = None) -> DataFrame:
+    """(RuleName, Failed, Total): row rules and the total from one pass, key rules from their offending keys."""
     rows = [r for r in rules if isinstance(r, RowRule)]
-    parts = [_row_counts(df, rows)] if rows else []
-    parts += [_unique_counts(df, r) for r in rules if isinstance(r, UniqueRule)]
-    parts += [_reference_counts(df, r) for r in rules if isinstance(r, ReferenceRule)]
-    return reduce(DataFrame.unionByName, parts)
+    counted = df.agg(
+        F.count("*").alias("_total"), *[F.count_if(r.predicate(df)).alias(f"_{i}") for i, r in enumerate(rows)]
+    )
+    entries = [F.struct(F.lit(r.name).alias("RuleName"), F.col(f"_{i}").alias("Failed")) for i, r in enumerate(rows)]
+    entries += [F.struct(F.lit(r.name).alias("RuleName"), F.lit(0).cast("bigint").alias("Failed")) for r in _key_rules(rules)]
+    found = counted.select(F.inline(F.array(*entries)), F.col("_total").alias("Total"))
+    bad = offending_keys(df, rules) if offending is None else offending
+    if bad is None:
+        return found
+    broken = bad.groupBy("RuleName").agg(F.sum("n").alias("Failed")).withColumn("Total", F.lit(0).cast("bigint"))
+    return found.unionByName(broken).groupBy("RuleName").agg(F.sum("Failed").alias("Failed"), F.sum("Total").alias("Total"))
 
 
 def _distinct_names(rules: Sequence[Rule]) -> None:
@@ -164,8 +181,13 @@ def _distinct_names(rules: Sequence[Rule]) -> None:
         raise ValueError("a suite needs rules, each with its own name")
 
 
-def evaluate(df: DataFrame, rules: Sequence[Rule], entity: str, run_id: str, at: dt.datetime) -> DataFrame:
-    """One result row per rule, in the form results are stored in."""
+def evaluate(
+    df: DataFrame, rules: Sequence[Rule], entity: str, run_id: str, at: dt.datetime, offending: DataFrame | None = None
+) -> DataFrame:
+    """One result row per rule, in the form results are stored in.
+
+    ``offending`` are the keys found by ``offending_keys``, if they are stored already.
+    """
     _distinct_names(rules)
 
     def of_rule(values: Mapping[str, str]) -> Column:
@@ -177,7 +199,7 @@ def evaluate(df: DataFrame, rules: Sequence[Rule], entity: str, run_id: str, at:
     rate = F.when(total == 0, F.lit(0.0)).otherwise(
         F.round((total - failed) / F.nullif(total, F.lit(0)).cast("double") * 100, 4)
     )
-    return _counts(df, rules).select(
+    return _counts(df, rules, offending).select(
         F.sha2(F.concat_ws("|", F.lit(run_id), F.lit(entity), "RuleName"), 256).alias("ResultID"),
         F.lit(run_id).alias("RunID"),
         F.lit(entity).alias("Entity"),
@@ -192,50 +214,37 @@ def evaluate(df: DataFrame, rules: Sequence[Rule], entity: str, run_id: str, at:
     )
 
 
-def quarantine(df: DataFrame, rules: Sequence[Rule], entity: str, run_id: str, at: dt.datetime) -> DataFrame:
+def quarantine(
+    df: DataFrame, rules: Sequence[Rule], entity: str, run_id: str, at: dt.datetime, offending: DataFrame | None = None
+) -> DataFrame:
     """One row per failing row and rule, carrying the row as JSON.
 
-    Row rules are one narrow pass: each row is exploded into the rules it fails.
-    For key rules the offending keys are found first, from counts per key, and
-    rows are fetched by them.
+    One pass: each row is exploded into the row rules it fails and its keys under the key rules, of which only
+    the offending ones stay.  ``offending`` as in ``evaluate``.
     """
     _distinct_names(rules)
-    payload_columns = [c for c in df.columns if not c.startswith("__")] or df.columns
-    payload = F.to_json(F.struct(*[F.col(f"`{c}`") for c in payload_columns])).alias("Payload")
-
-    def label(rule: Rule) -> Column:
-        return F.struct(
-            F.lit(rule.name).alias("RuleName"),
-            F.lit(rule.severity).alias("Severity"),
-            F.array(*[F.lit(c) for c in rule.columns]).cast("array<string>").alias("RuleColumns"),
-        )
-
-    parts = []
-    rows = [r for r in rules if isinstance(r, RowRule)]
-    if rows:
-        hits = F.array_compact(F.array(*[F.when(r.predicate(df), label(r)) for r in rows]))
-        parts.append(df.select(F.inline(hits), payload))
-    for rule in rules:
-        if isinstance(rule, UniqueRule):
-            bad = df.groupBy(*rule.columns).agg(F.count("*").alias("n")).where("n > 1")
-        elif isinstance(rule, ReferenceRule):
-            key = rule.columns[0]
-            bad = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-            bad = bad.join(_known_keys(rule), F.col(key) == F.col("_key"), "left_anti")
-        else:
-            continue
-        keys = bad.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(rule.columns)])
-        same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(rule.columns)]
-        found = df.join(keys, reduce(Column.__and__, same), "left_semi")
-        parts.append(found.select(F.inline(F.array(label(rule))), payload))
-    return reduce(DataFrame.unionByName, parts).select(
+    kept = [c for c in df.columns if not c.startswith("__")] or df.columns
+    keyed = _key_rules(rules)
+    hits = [F.when(r.predicate(df), _entry(r, F.lit(None).cast("string"))) for r in rules if isinstance(r, RowRule)]
+    hits += [F.when(_key_of(df, r).isNotNull(), _entry(r, _key_of(df, r))) for r in keyed]
+    found = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.inline(F.array_compact(F.array(*hits))))
+    if keyed:
+        bad = offending_keys(df, rules) if offending is None else offending
+        bad = bad.select("RuleName", "_key", F.lit(True).alias("_bad"))
+        # Row rules have no key; a hash in its place spreads their rows and meets no offending key.
+        found = found.withColumn("_hit", F.col("_key").isNull())
+        found = found.withColumn("_key", F.coalesce("_key", F.concat(F.lit("\u0000"), F.xxhash64("_row").cast("string"))))
+        found = found.join(bad, ["RuleName", "_key"], "left").where("_hit OR _bad")
+    severity = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.severity))])
+    columns = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.array(*[F.lit(c) for c in r.columns]).cast("array<string>"))])
+    return found.select(
         F.expr("uuid()").alias("FailedRecordID"),
         F.lit(run_id).alias("RunID"),
         F.lit(entity).alias("Entity"),
         "RuleName",
-        "Severity",
-        "RuleColumns",
-        "Payload",
+        severity[F.col("RuleName")].alias("Severity"),
+        columns[F.col("RuleName")].alias("RuleColumns"),
+        F.to_json("_row").alias("Payload"),
         moment(at).alias("DetectedAt"),
     )
 

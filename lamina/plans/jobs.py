@@ -328,11 +328,15 @@ def store_quality(
 
     def check(name: str, seen: dict) -> None:
         where = f"RunID={run_id}/Entity={name}"
-        found = quality.evaluate(tables[name], rules[name], name, run_id, run.at).drop("RunID", "Entity")
+        keys = quality.offending_keys(tables[name], rules[name])
+        if keys is not None:
+            keys.write.mode("overwrite").parquet(lake.path(f"staging/{run_id}", f"keys_{name}"))
+            keys = spark.read.parquet(lake.path(f"staging/{run_id}", f"keys_{name}"))
+        found = quality.evaluate(tables[name], rules[name], name, run_id, run.at, keys).drop("RunID", "Entity")
         path = f"{lake.path('ops', 'dq_results')}/{where}"
         seen["inserted"] = write_counted(found.coalesce(1), path)
         seen["read"] = spark.read.parquet(path).agg(F.max("TotalCount")).first()[0] or 0
-        bad = quality.quarantine(tables[name], rules[name], name, run_id, run.at).drop("RunID", "Entity")
+        bad = quality.quarantine(tables[name], rules[name], name, run_id, run.at, keys).drop("RunID", "Entity")
         seen["deleted"] = write_counted(bad, f"{lake.path('ops', 'dq_failed')}/{where}")
 
     together(run, {n: lambda n=n: one(n) for n in rules})
