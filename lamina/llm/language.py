@@ -62,9 +62,11 @@ class LanguageModel:
     floors: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, score, rejected); ``und``, 0 and rejected without any letter or without a model."""
-        if text is None or not self.languages or not _LETTER.search(text):
+        """(language, score, rejected); ``und`` and 0 without any letter, which is rejected, or without a model."""
+        if text is None or not _LETTER.search(text):
             return UNDETERMINED, 0.0, True
+        if not self.languages:
+            return UNDETERMINED, 0.0, False
         found, counts = ngram_counts(text)
         cosines = self.centroids[:, found] @ weighted(found, counts, self.idf)
         best = int(np.argmax(cosines))
@@ -172,7 +174,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Learned from the rows that are not held out and have id, text and language; id, source and language are
     never inputs of a prediction.  ``lang_pred`` is ``und`` with score 0 where the text is null or has no
-    letter, or where nothing could be learned.  ``rejected``: ``und``, or too far from every centroid.
+    letter, or where nothing could be learned.  ``rejected``: no letter, or too far from every centroid.
     Repeated rows get equal rows; an empty table gives none.
     """
     model = fit_languages(docs.where(~held_out(id_col) & col(id_col).isNotNull()), id_col, text_col, lang_col)
