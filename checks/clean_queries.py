@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.oracle_ctes import AS_OF, age, d, ts
@@ -73,16 +76,20 @@ def _(spark, sf):
     "c07_valid_rows",
     """SELECT 'billing' AS Entity, count(*) AS Kept FROM raw_billing WHERE InvoiceID IS NOT NULL AND TotalAmount >= 0
        UNION ALL SELECT 'pharmacy_orders', count(*) FROM raw_pharmacy_orders WHERE Quantity > 0 AND Price >= 0
-       UNION ALL SELECT 'patients', count(*) FROM raw_patients WHERE trim(PatientID) <> ''""",
+       UNION ALL SELECT 'patients', count(*) FROM raw_patients WHERE trim(PatientID) <> ''
+       UNION ALL SELECT 'doctors', count(*) FROM raw_doctors WHERE DoctorID IS NOT NULL
+       UNION ALL SELECT 'appointments', count(*) FROM raw_appointments WHERE AppointmentID IS NOT NULL
+       UNION ALL SELECT 'insurance_claims', count(*) FROM raw_insurance_claims WHERE ClaimID IS NOT NULL AND ClaimAmount >= 0
+       UNION ALL SELECT 'laboratory_results', count(*) FROM raw_laboratory_results WHERE LabID IS NOT NULL""",
 )
 def _(spark, sf):
     parts = [
         read_entity(spark, sf, name)
         .where(c.valid_rows(ENTITIES[name]))
         .agg(F.lit(name).alias("Entity"), F.count("*").alias("Kept"))
-        for name in ("billing", "pharmacy_orders", "patients")
+        for name in ENTITIES
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(

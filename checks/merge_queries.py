@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.oracle_ctes import ts
@@ -14,6 +17,8 @@ from lamina.operators import history as h
 from lamina.operators import layout
 from lamina.operators.joins import broadcast_join
 from lamina.operators.merge import merge, merge_changed
+from lamina.session import work_dir
+from lamina.sources import snapshots
 from lamina.sources.startables import customer_state, read_entity, status_changes
 
 CUT = "1998-01-01"
@@ -220,6 +225,33 @@ def _(spark, sf):
     return h.version_counts(from_log(spark, sf))
 
 
+@query(
+    "d13_all_version_counts",
+    """SELECT n AS VersionNumber, count(*) FILTER (WHERE n = 1) AS Inserted, count(*) FILTER (WHERE n > 1) AS Updated,
+              count(*) FILTER (WHERE end_at IS NOT NULL) AS Closed, count(*) FILTER (WHERE end_at IS NULL) AS CurrentRows
+       FROM versions GROUP BY 1""",
+    versions=_LOG,
+)
+def _(spark, sf):
+    return h.version_counts(from_log(spark, sf), limit=None)
+
+
+@query(
+    "d12_stored_versions",
+    f"""SELECT 'first' AS Read, {_COLUMNS} FROM t UNION ALL SELECT 'between', {_COLUMNS} FROM t
+        UNION ALL SELECT 'second', {_COLUMNS} FROM s UNION ALL SELECT 'now', {_COLUMNS} FROM s""",
+    **LOADS,
+)
+def _(spark, sf):
+    """Two snapshots of one table, read by version and by moment."""
+    base = work_dir(spark, "versions")
+    snapshots.write_snapshot(customer_state(spark, sf, None, CUT), base, FIRST_LOAD)
+    snapshots.write_snapshot(customer_state(spark, sf, CUT, None), base, SECOND_LOAD)
+    reads = {"first": {"version": 1}, "between": {"at": SECOND_LOAD - dt.timedelta(seconds=1)}, "second": {"version": 2}, "now": {}}
+    parts = [snapshots.read_snapshot(spark, base, **how).select(F.lit(name).alias("Read"), "*") for name, how in reads.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "d14_change_feed",
     f"""SELECT CustomerID, {_side('t')}, 'delete' AS _change_type FROM pairs WHERE s_id IS NULL

@@ -218,10 +218,13 @@ def valid_at(history: DataFrame, at: dt.datetime | Column) -> DataFrame:
     return history.where((F.col(START) <= at) & (F.col(END).isNull() | (F.col(END) > at)))
 
 
-def version_counts(history: DataFrame, limit: int = 20) -> DataFrame:
-    """What each version number brought: rows inserted or updated, closed since, and current."""
+def version_counts(history: DataFrame, limit: int | None = 20) -> DataFrame:
+    """What each version number brought: rows inserted or updated, closed since, and current.
+
+    The newest ``limit`` versions, or all.
+    """
     n = F.col(VERSION)
-    return (
+    counts = (
         history.groupBy(VERSION)
         .agg(
             F.count_if(n == 1).alias("Inserted"),
@@ -230,8 +233,8 @@ def version_counts(history: DataFrame, limit: int = 20) -> DataFrame:
             F.count_if(is_current()).alias("CurrentRows"),
         )
         .orderBy(F.desc(VERSION))
-        .limit(limit)
     )
+    return counts if limit is None else counts.limit(limit)
 
 
 def changes_between(old: DataFrame, new: DataFrame, keys: str | Sequence[str]) -> DataFrame:

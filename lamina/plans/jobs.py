@@ -7,6 +7,7 @@ computed twice, and a lost executor costs only the tasks it held.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager, nullcontext
@@ -16,6 +17,7 @@ from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lamina.contracts import BATCH_ID, ENTITIES, INGESTION_DATE, entity
 from lamina.operators import monitoring, quality
@@ -25,6 +27,7 @@ from lamina.operators.layout import cluster
 from lamina.operators.lineage import add_lineage, batch_id, lineage_report
 from lamina.operators.merge import check_source, merge_changed
 from lamina.plans import marts, suites, views
+from lamina.session import path_exists
 from lamina.sources.landing import rescued_rows, scan, split_bad_records
 from lamina.sources.snapshots import (
     commits,
@@ -124,9 +127,31 @@ def write_counted(df: DataFrame, path: str) -> int:
 
 
 # --- bronze -----------------------------------------------------------------
+def _bronze_schema(spark: SparkSession, lake: Lake, name: str) -> StructType:
+    """The schema wide enough for all loads, from the small files the loads leave beside the table.
+
+    So a read opens no more footers than it reads files.
+    """
+    noted = lake.path("ops/bronze_schemas", name)
+    if not path_exists(spark, noted):
+        return spark.read.option("mergeSchema", "true").parquet(lake.path("bronze", name)).schema
+    fields: dict[str, StructField] = {}
+    for row in spark.read.text(noted).distinct().orderBy("value").collect():
+        for field in StructType.fromJson(json.loads(row["value"])).fields:
+            fields.setdefault(field.name, field)
+    return StructType(list(fields.values()))
+
+
+def _note_schema(lake: Lake, name: str, batch: DataFrame) -> None:
+    """Note the schema of a batch, if it has columns that none before it had."""
+    spark, noted = batch.sparkSession, lake.path("ops/bronze_schemas", name)
+    if not path_exists(spark, noted) or set(batch.columns) - set(_bronze_schema(spark, lake, name).names):
+        spark.createDataFrame([(batch.schema.json(),)], "value string").coalesce(1).write.mode("append").text(noted)
+
+
 def read_bronze(spark: SparkSession, lake: Lake, name: str, since: dt.date | None = None) -> DataFrame:
     """Bronze rows, all of them or those ingested from a day on; other days are not read."""
-    rows = spark.read.option("mergeSchema", "true").parquet(lake.path("bronze", name))
+    rows = spark.read.schema(_bronze_schema(spark, lake, name)).parquet(lake.path("bronze", name))
     return rows.where(F.col(INGESTION_DATE) >= F.lit(since)) if since else rows
 
 
@@ -139,7 +164,8 @@ def _bring_in(
     if incremental:
         checkpoint = lake.path("checkpoints", name)
         stream = ingest(
-            spark, landing, spec, target, checkpoint, run.run_id, lambda: run.at, fmt, bad_target=bad_target, counts=seen, **options
+            spark, landing, spec, target, checkpoint, run.run_id, lambda: run.at, fmt, bad_target=bad_target, counts=seen,
+            note=lambda df: _note_schema(lake, name, df), **options,
         )
         stream.awaitTermination()
         return
@@ -149,6 +175,7 @@ def _bring_in(
     if bad_target:
         stamped, broken = split_bad_records(stamped)
         bad = write_counted(broken, f"{bad_target}/{BATCH_ID}={batch}")
+    _note_schema(lake, name, stamped)
     seen["inserted"] = write_batch(stamped, target, batch)
     seen["read"] = seen["inserted"] + bad
 

@@ -80,6 +80,7 @@ def ingest(
     continuous: bool = False,
     bad_target: str | None = None,
     counts: dict[str, int] | None = None,
+    note: Callable[[DataFrame], None] | None = None,
     **options: object,
 ) -> StreamingQuery:
     """Start appending new landing files to a bronze table.
@@ -89,7 +90,7 @@ def ingest(
     stream's id from its checkpoint and a number, so a batch that is replayed after a failure overwrites what
     it wrote before, and a stream with a new checkpoint, or another stream into the same table,
     never does.  With ``bad_target`` rows that do not fit the schema go there instead.  ``counts`` gets the rows
-    ``read`` and ``inserted`` added.
+    ``read`` and ``inserted`` added; ``note`` is called with each batch before it is written.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
@@ -99,6 +100,8 @@ def ingest(
         name = batch_id(f"{spec.name}_{stream_id(spark, checkpoint)[:8]}", number)
         stamped = add_lineage(scan(spark, files, spec, fmt, **options), load_id, name, clock())
         bad_rows = 0
+        if note is not None:
+            note(stamped)
         if bad_target is None:
             written = write_batch(stamped, target, name)
         else:
