@@ -91,7 +91,8 @@ def test_streams_keep_each_others_rows(spark, tmp_path):
     """A stream with a new checkpoint, arrays of JSON, and rows put aside."""
     spec, target, bad = ENTITIES["doctors"], str(tmp_path / "bronze"), str(tmp_path / "bad")
     for k, names in enumerate((["D1", "D2"], ["D3"])):
-        folder = put(tmp_path, f"in{k}/x.json", json.dumps([{"DoctorID": n, "Experience": 3} for n in names] + [{"DoctorID": "D9", "Experience": "many"}]))
+        folder = put(tmp_path, f"in{k}/x.json", json.dumps([{"DoctorID": n, "Experience": 3} for n in names]))
+        put(tmp_path, f"in{k}/y.json", json.dumps([{"DoctorID": "D9", "Experience": "many"}]))
         counts: dict = {}
         for _ in range(2):
             run = ingest(spark, folder, spec, target, str(tmp_path / f"check{k}"), "L", lambda: AT, "json", bad_target=bad, counts=counts)
