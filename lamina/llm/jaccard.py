@@ -21,6 +21,10 @@ DIFFER = 7
 SKETCH_BITS = 18
 #: Bytes of signatures that one bucket should hold, about.
 BUCKET_BYTES = 8 << 20
+#: Pivots per group in the second round of comparisons.
+NEXT_PIVOTS = 8
+#: Links whose components one task finds.
+LINKS_PER_TASK = 2_000_000
 #: Rows compared with one pivot in one task, about.
 PIVOT_ROWS = 2_000
 BATCH = 1_000
@@ -59,6 +63,29 @@ def set_ids(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(np.diff(at) > 0, out, U64(0)).view(np.int64)
 
 
+def odd_sketch(s: np.ndarray) -> bytes:
+    """A bit per slot, set where an odd number of elements fall into it; about two to four slots per element.
+
+    Every element in which two sets differ turns one bit at most, so sketches of linked sets differ in
+    at most (x + y) / 7 bits: an exact filter at a thirtieth of the sets' size.
+    """
+    slots = 1 << max(6, int(len(s) - 1).bit_length() + 1)
+    at = (mixed(s ^ U64(0x3C6EF372FE94F82B)) & U64(slots - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=slots) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def odd_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ once the longer one is folded to the length of the shorter."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    width = 8 * len(a)
+    while width > 8 * len(b):
+        width //= 2
+        x = (x >> width) ^ (x & ((1 << width) - 1))
+    return (x ^ y).bit_count()
+
+
 class Emission:
     """The size bands in which each set takes part, with what PartEnum needs there.
 
@@ -138,23 +165,24 @@ def _batches(batches: Iterator[pa.RecordBatch], id_at: int = 0, text_at: int = 1
 
 # ---- the passes over the documents ----
 
-SETS = "doc_id long, n_shingles long, set_id long, part int, counts binary"
+SETS = "doc_id long, n_shingles long, set_id long, sketch binary, part int, counts binary"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and at the end the task's counts of signatures, in parts."""
-    names = ["doc_id", "n_shingles", "set_id", "part", "counts"]
+    names = ["doc_id", "n_shingles", "set_id", "sketch", "part", "counts"]
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for ids, s, at, _ in _batches(batches):
         _, _, _, sig = signatures(s, at)
         sketch += np.bincount(sig >> U64(64 - SKETCH_BITS), minlength=len(sketch))
         none = pa.nulls(len(ids))
+        odd = pa.array([odd_sketch(s[at[i] : at[i + 1]]) for i in range(len(ids))], pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(np.diff(at)), pa.array(set_ids(s, at)), none.cast(pa.int32()), none.cast(pa.binary())], names
+            [pa.array(ids, pa.int64()), pa.array(np.diff(at)), pa.array(set_ids(s, at)), odd, none.cast(pa.int32()), none.cast(pa.binary())], names
         )
     parts = sketch.astype("<i8").reshape(-1, 1 << 12)
-    none = pa.nulls(len(parts)).cast(pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+    none = pa.nulls(len(parts), pa.int64())
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(parts), pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,9 +206,10 @@ def _sketch(described: DataFrame) -> np.ndarray:
 
 
 def _candidate_pairs(docs: DataFrame, sketch: np.ndarray, buckets: int) -> DataFrame:
-    """Distinct (set_id, pivot): sets that share a signature, each with the smallest set of that signature.
+    """(set_id, pivot, mass): sets that share a signature, each with the smallest set of that signature.
 
     Signatures travel packed, by bucket.  Every two sets with a common signature are members of one pivot.
+    ``mass`` adds up how many sets have each of the signatures met.
     """
     shift = 64 - (buckets - 1).bit_length()
 
@@ -190,6 +219,8 @@ def _candidate_pairs(docs: DataFrame, sketch: np.ndarray, buckets: int) -> DataF
             e, owner, place, sig = signatures(s, at)
             row, sig = chosen(e, owner, place, sig, sketch)
             pair = np.stack([sig, names[e.doc[row]].view(U64)], axis=1)
+            if not len(pair):
+                continue
             pair = pair[np.argsort(pair[:, 0])]
             bucket = (pair[:, 0] >> U64(shift)).astype(np.int64) if buckets > 1 else np.zeros(len(pair), np.int64)
             found, first = np.unique(bucket, return_index=True)
@@ -208,25 +239,75 @@ def _candidate_pairs(docs: DataFrame, sketch: np.ndarray, buckets: int) -> DataF
         sig, name = sig.view("<u8").ravel(), np.ascontiguousarray(raw[:, 5:]).view("<i8").ravel()
         order = np.lexsort((name, sig))
         sig, name = sig[order], name[order]
-        start = np.concatenate([[True], sig[1:] != sig[:-1]])
-        pivot = name[np.flatnonzero(start)][np.cumsum(start) - 1]
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(np.append(first, len(sig)))
+        pivot, mass = np.repeat(name[first], size), np.repeat(size, size)
         other = name != pivot
-        pairs = np.unique(np.stack([name[other], pivot[other]], axis=1), axis=0)
-        return pa.table({"set_id": pairs[:, 0], "pivot": pairs[:, 1]})
+        pairs, place = np.unique(np.stack([name[other], pivot[other]], axis=1), axis=0, return_inverse=True)
+        mass = np.bincount(place.ravel(), mass[other], minlength=len(pairs)).astype(np.int64)
+        return pa.table({"set_id": pairs[:, 0], "pivot": pairs[:, 1], "mass": mass})
 
     packed = docs.mapInArrow(emit, "bucket int, packed binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "set_id long, pivot long").distinct()
+    met = packed.groupBy("bucket").applyInArrow(meet, "set_id long, pivot long, mass long")
+    return met.groupBy("set_id", "pivot").agg(F.sum("mass").alias("mass"))
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b: set ids) whose sets are similar enough, by their sizes in common.
+def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(set_id, b, part, role) of the sets to compare (role 1) and of their pivots b (role 0).
 
-    One document of each set brings the set to every pivot b it is compared with.  A pivot of many sets
-    is sent to several tasks, each of which has a part of them.
+    A pivot of many sets is sent to several tasks, each of which has a part of them.
     """
     many = stage(pairs.groupBy("b").agg(F.count("*").alias("n")), "pivot-sizes").select("b", F.ceil(F.col("n") / PIVOT_ROWS).cast("int").alias("parts"))
     asked = pairs.join(many, "b").select(F.col("a").alias("set_id"), "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
     pivots = many.select(F.col("b").alias("set_id"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
+    return asked, pivots
+
+
+def _compared(rows: DataFrame, linked) -> DataFrame:
+    """Distinct (a, b) for which ``linked(value of a, value of b)``, from rows (b, part, role, a, value)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pivot = None, b""
+        for batch in batches:
+            out = []
+            for b, part, role, a, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if role == 0:
+                    now, pivot = (b, part), value
+                elif now == (b, part) and linked(value, pivot):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.repartition("b", "part").sortWithinPartitions("b", "part", "role").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _plausible(reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b: set ids) that sizes and sketches do not rule out."""
+
+    def linked(a: bytes, b: bytes) -> bool:
+        n, m = int.from_bytes(a[:8], "big"), int.from_bytes(b[:8], "big")
+        return odd_distance(a[8:], b[8:]) * DIFFER <= n + m
+
+    asked, pivots = _dealt(pairs)
+    known = asked.unionByName(pivots).join(_sketched(reps), "set_id")
+    return _compared(known.select("b", "part", "role", F.col("set_id").alias("a"), "value"), linked)
+
+
+def _same_enough(a: bytes, b: bytes) -> bool:
+    x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= 75 * (len(x) + len(y) - both)
+
+
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the plausible ``pairs`` (a, b: set ids) whose sets are linked.
+
+    One document of each set brings the set to every pivot b that it is compared with.
+    """
+    pairs = stage(pairs, "plausible-pairs")
+    if pairs.isEmpty():
+        return pairs
+    asked, pivots = _dealt(pairs)
     roles = asked.unionByName(pivots).join(reps.select("set_id", F.col("min_doc_id").alias("doc_id")), "set_id")
     wanted = stage(roles.groupBy("doc_id", "set_id").agg(F.collect_list(F.struct("b", "part", "role")).alias("roles")), "set-roles")
     texts = maybe_in(docs, F.col("doc_id"), wanted.select("doc_id")).join(wanted, "doc_id")
@@ -243,23 +324,8 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["b", "part", "role", "a", "elements"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, pivot = None, np.zeros(0, U64)
-        for batch in batches:
-            out = []
-            for b, part, role, a, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                elements = np.frombuffer(blob, U64)
-                if role == 0:
-                    now, pivot = (b, part), elements
-                elif now == (b, part):
-                    at = np.searchsorted(pivot, elements)
-                    both = int((pivot[np.minimum(at, len(pivot) - 1)] == elements).sum())
-                    if 100 * both >= 75 * (len(elements) + len(pivot) - both):
-                        out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-
     kept = texts.select("doc_id", "text", "set_id", "roles").mapInArrow(bring, "b long, part int, role int, a long, elements binary")
-    return kept.repartition("b", "part").sortWithinPartitions("b", "part", "role").mapInArrow(compare, "a long, b long").distinct()
+    return _compared(kept, _same_enough)
 
 
 def _near(x: str, y: str) -> F.Column:
@@ -267,44 +333,113 @@ def _near(x: str, y: str) -> F.Column:
     return (F.least(x, y) * 100 >= F.greatest(x, y) * 75)
 
 
-def _links(docs: DataFrame, reps: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Links (a, b) that connect whatever the full similarity graph of the candidates connects.
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of the links in one task, by union and find; the smallest node names a component."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while parent.setdefault(root, root) != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([find(x) for x in parent], pa.int64())], ["node", "component"])
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """Stored (node, component) of the links.
+
+    Each task contracts up to ``LINKS_PER_TASK`` links to a forest.  One forest is the answer; of several, the
+    edges left go through star contraction.
+    """
+    tasks = -(-links.count() // LINKS_PER_TASK)
+    if tasks <= 1:
+        return stage(links.coalesce(1).mapInArrow(_forest, "node long, component long"), "link-components")
+    forests = links.repartition(tasks).mapInArrow(_forest, "node long, component long")
+    return stage(connected_components(forests.select(F.col("node").alias("a"), F.col("component").alias("b"))), "link-components")
+
+
+def _sketched(reps: DataFrame) -> DataFrame:
+    """(set_id, value): size and sketch in one binary."""
+    return reps.select("set_id", F.concat(F.unhex(F.lpad(F.hex("n_shingles"), 16, "0")), F.col("sketch")).alias("value"))
+
+
+def _rest_plausible(reps: DataFrame, named: DataFrame) -> DataFrame:
+    """Plausible (a, b) among the members of each pivot that lie in different components, b outside the main one.
+
+    Members outside the pivot's most frequent component are dealt out in blocks of about ``PIVOT_ROWS``; all members
+    pass by each block and are held against it by their sketches.  Only plausible pairs become rows.
+    """
+    counts = named.groupBy("pivot", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("pivot").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = stage(main.where("most < all").select("pivot", "main", F.ceil((F.col("all") - F.col("most")) / PIVOT_ROWS).cast("int").alias("blocks")), "split-pivots")
+    met = named.join(main, "pivot").join(_sketched(reps), "set_id")
+    block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
+    outside = met.where("component <> main").select("pivot", block.alias("block"), F.lit(0).alias("role"), "set_id", "component", "value")
+    passing = met.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "set_id", "component", "value")
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            out = []
+            for pivot, block, role, a, part, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (pivot, block):
+                    now, held = (pivot, block), []
+                size, sketch = int.from_bytes(value[:8], "big"), value[8:]
+                if role == 0:
+                    held.append((a, part, size, sketch))
+                    continue
+                for b, other, m, against in held:
+                    if other != part and 4 * min(size, m) >= 3 * max(size, m) and odd_distance(sketch, against) * DIFFER <= size + m:
+                        out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    dealt = outside.unionByName(passing).repartition("pivot", "block").sortWithinPartitions("pivot", "block", "role")
+    pairs = dealt.mapInArrow(hold, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def _components(docs: DataFrame, reps: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(node, component) of linked sets, as the full similarity graph of the candidates connects them.
 
-    Sets with a common signature are members of one pivot.  All are compared with it first.  Members that then
-    lie in one component need no more comparisons among themselves.  Where a pivot's members lie in
-    several, those with the most links are pivots next, four times as many in each round, until all
-    members not yet used as pivots lie in one component; so no link between two components is lost, and a
-    group of similar texts costs comparisons in proportion to its size.
+    Sets with a common signature are members of one pivot, and all are compared with it first.  Members that then
+    lie in one component need no more comparisons among themselves.  Where a pivot's members lie in several,
+    the few with the most mass (near the text that the others were copied from) are pivots next.  In the end every
+    member outside a pivot's main component is held against all its members of other components, so no link
+    between two components is lost, and a group of similar texts costs comparisons in proportion to its size.
     """
     size = reps.select("set_id", "n_shingles")
     members = candidates.join(size, "set_id").withColumnRenamed("n_shingles", "n")
     members = stage(members.join(size.select(F.col("set_id").alias("pivot"), F.col("n_shingles").alias("m")), "pivot"), "pivot-members")
-    links = stage(_verified(docs, reps, members.where(_near("n", "m")).select(F.col("set_id").alias("a"), F.col("pivot").alias("b"))), "links")
-    tested = members.select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b"))
-    open_ = members.select("pivot", "set_id", "n")
-    width = 1
-    while True:
-        labels = stage(connected_components(links), "link-components")
-        ends = links.select(F.col("a").alias("set_id")).unionByName(links.select(F.col("b").alias("set_id")))
-        degree = ends.groupBy("set_id").agg(F.count("*").alias("links"))
-        named = open_.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").join(degree, "set_id", "left")
-        named = stage(named.select("pivot", "set_id", "n", F.coalesce("component", "set_id").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "open-members")
-        split = stage(named.groupBy("pivot").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("pivot"), "split-pivots")
-        rest = stage(named.join(split, "pivot", "left_semi"), "split-members")
-        if rest.isEmpty():
-            return links
-        order = Window.partitionBy("pivot").orderBy(F.desc("links"), "set_id")
-        following = rest.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= width)
-        following = stage(following.select("pivot", F.col("set_id").alias("q"), F.col("component").alias("c"), F.col("n").alias("m")), "next-pivots")
-        pairs = rest.join(following, "pivot").where((F.col("component") != F.col("c")) & _near("n", "m"))
-        pairs = stage(pairs.select(F.least("set_id", "q").alias("a"), F.greatest("set_id", "q").alias("b"), "q").dropDuplicates(["a", "b"]), "next-pairs")
-        fresh = pairs.join(tested, ["a", "b"], "left_anti")
-        turned = fresh.select(F.when(F.col("a") == F.col("q"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("q").alias("b"))
-        more = _verified(docs, reps, turned)
-        links = stage(links.unionByName(more), "links")
-        tested = stage(tested.unionByName(pairs.select("a", "b")), "tested-pairs")
-        open_ = rest.join(following.select("pivot", F.col("q").alias("set_id")), ["pivot", "set_id"], "left_anti").select("pivot", "set_id", "n")
-        width *= 4
+    first = members.where(_near("n", "m")).select(F.col("set_id").alias("a"), F.col("pivot").alias("b"))
+    links = stage(_verified(docs, reps, _plausible(reps, first)), "links")
+
+    def named() -> tuple[DataFrame, DataFrame]:
+        labels = _labels(links)
+        known = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+        return labels, stage(known.select("pivot", "set_id", "n", "mass", F.coalesce("component", "set_id").alias("component")), "named-members")
+
+    _, rows = named()
+    split = rows.groupBy("pivot").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("pivot")
+    rest = stage(rows.join(stage(split, "split-pivots"), "pivot", "left_semi"), "split-members")
+    order = Window.partitionBy("pivot").orderBy(F.desc("mass"), "set_id")
+    following = rest.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= NEXT_PIVOTS)
+    following = stage(following.select("pivot", F.col("set_id").alias("q"), F.col("component").alias("c"), F.col("n").alias("m")), "next-pivots")
+    pairs = rest.join(following, "pivot").where((F.col("component") != F.col("c")) & _near("n", "m"))
+    second = stage(pairs.select(F.col("set_id").alias("a"), F.col("q").alias("b")).distinct(), "next-pairs")
+    links = stage(links.unionByName(_verified(docs, reps, _plausible(reps, second))), "links")
+    labels, rows = named()
+    last = _verified(docs, reps, _rest_plausible(reps, rows))
+    if last.isEmpty():
+        return labels
+    links = stage(links.unionByName(last), "links")
+    return _labels(links)
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,13 +454,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     docs = doc_text(docs, id_col, text_col)
     described = stage(docs.mapInArrow(_describe, SETS), "shingle-sets")
-    rows = described.where("part is null").select("doc_id", "n_shingles", "set_id")
-    reps = stage(rows.where("n_shingles > 0").groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("min_doc_id")), "set-classes")
+    rows = described.where("part is null").select("doc_id", "n_shingles", "set_id", "sketch")
+    reps = stage(rows.where("n_shingles > 0").groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("min_doc_id"), F.first("sketch").alias("sketch")), "set-classes")
     total = reps.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = 1 << max(8, (total * 13 // 2 // BUCKET_BYTES).bit_length())
     candidates = stage(_candidate_pairs(docs, _sketch(described), buckets), "candidates")
-    links = _links(docs, reps, candidates)
-    classes = reps.join(connected_components(links).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    labels = _components(docs, reps, candidates)
+    classes = reps.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     classes = stage(classes.select("set_id", "component", "min_doc_id"), "class-components")
     least = stage(classes.groupBy("component").agg(F.min("min_doc_id").alias("component_id")), "component-ids")
     found = stage(classes.join(least, "component").select("set_id", "component_id"), "set-components")
