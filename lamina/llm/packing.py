@@ -22,7 +22,7 @@ CAPACITY = 2048
 #: Rows of one length that are numbered in one task, about.
 ROWS_PER_SALT = 100_000
 #: Words whose ids a Python worker remembers, at most; those met later are encoded once per batch.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: A space beside another white-space character; any other space begins a new word.
@@ -46,7 +46,11 @@ class WordTokenizer:
         self.seen: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        # In slices, as the tokenizer's results are far larger than the ids in them.
+        for at in range(0, len(texts), 2_000):
+            out += [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 2_000], add_special_tokens=False)]
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         plain = [None if _TOUCHING.search(t) else t.split(" ") for t in texts]
@@ -88,8 +92,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last = word_tokenizer(tokenizer), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 rows = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist()), strict=True):
                     ids += last
