@@ -24,7 +24,7 @@ THRESHOLD = 0.5
 #: Characters before and after a candidate that are looked at.
 CONTEXT = 48
 
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=-][A-Za-z0-9_+/=.-]{14,510}[A-Za-z0-9_+/=-](?![A-Za-z0-9_+/=.-])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=-][A-Za-z0-9_+/=.-]{14,510}[A-Za-z0-9_+/=-](?!\.?[A-Za-z0-9_+/=-])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
 _NAME = re.compile(r"(token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|bearer|private[_-]?key)\w*", re.I)
 _ASSIGNED = re.compile(r"[=:]\s*[\"'`]?$|[\"'`]$")
 _KNOWN = re.compile(r"^(AKIA|ASIA|ghp_|gho_|github_pat_|sk-|xox[abprs]-|glpat-|AIza|eyJ|-----BEGIN)")
