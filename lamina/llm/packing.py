@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import zlib
@@ -21,7 +20,7 @@ from lamina.llm.staging import doc_text, stage
 CAPACITY = 2048
 #: Rows of one length that are numbered in one task, about.
 ROWS_PER_SALT = 100_000
-#: Words whose ids a Python worker remembers, at most; those met later are encoded once per batch.
+#: Words whose ids a task remembers, at most; those met later are encoded once per batch.
 REMEMBERED = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -44,12 +43,38 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.seen: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.sizes[number] = len(token)  # byte-level: a character for each byte
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
+    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         # In slices, as the tokenizer's results are far larger than the ids in them.
-        for at in range(0, len(texts), 2_000):
-            out += [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 2_000], add_special_tokens=False)]
+        for at in range(0, len(texts), 500):
+            for e in self.tokenizer.encode_batch_fast(texts[at : at + 500], add_special_tokens=False):
+                yield np.asarray(e.ids, "<u4")
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [ids.tobytes() for ids in self._ids(texts)]
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word with a space before it.
+
+        Words are encoded by the hundred; the bytes that each token stands for tell where one word ends.
+        """
+        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        odd = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]
+        out = dict(zip(odd, self._encode([" " + w for w in odd]), strict=True))
+        groups = [plain[i : i + 100] for i in range(0, len(plain), 100)]
+        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
+            ends = np.cumsum([1 + len(w.encode("utf-8", "replace")) for w in group])
+            passed = np.cumsum(self.sizes[ids])
+            last = np.searchsorted(passed, ends)
+            if len(passed) and last[-1] < len(passed) and (passed[last] == ends).all() and passed[-1] == ends[-1]:
+                raw, cuts = ids.tobytes(), (4 * (last + 1)).tolist()
+                out.update(zip(group, (raw[x:y] for x, y in zip([0, *cuts], cuts, strict=False)), strict=True))
+            else:
+                out.update(zip(group, self._encode([" " + w for w in group]), strict=True))
         return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -59,7 +84,7 @@ class WordTokenizer:
             if words:
                 new.update(words[1:])
         fresh = list(new.difference(self.seen))
-        met = dict(zip(fresh, self._encode([" " + w for w in fresh]), strict=True))
+        met = self._encode_words(fresh)
         if len(self.seen) < REMEMBERED:
             self.seen.update(met)
             found = self.seen.__getitem__
@@ -71,9 +96,8 @@ class WordTokenizer:
             yield next(heads) + (b"" if words is None else b"".join(map(found, words[1:])))
 
 
-@functools.cache
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One per Python worker, so that tasks after the first know the common words."""
+    """One per task: what it remembers goes with it, so that idle Python workers hold no words."""
     return WordTokenizer(path)
 
 
