@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -135,60 +136,114 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
 
 def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether the items of ``b`` fit into the items of ``a`` used as bins: then ``a`` is never the worse filling."""
-    if not b:
+    """Whether the items of ``b`` fit into the items of ``a`` used as bins: then ``a`` is never the worse filling.
+
+    Items that both have go into each other.  Then equal items are placed together, best fit; only where that
+    fails and few items are left are all ways tried.  What stays undecided is not dominated, so it is kept.
+    """
+    bins, items = Counter(a), Counter(b)
+    bins, items = bins - items, items - bins
+    rooms = Counter(bins)
+    for item in sorted(items, reverse=True):
+        n = items[item]
+        for room in sorted(r for r in rooms if r >= item):
+            each = room // item
+            full = min(rooms[room], n // each)
+            part = n - full * each if 0 < n - full * each < each and full < rooms[room] else 0
+            rooms[room] -= full + (part > 0)
+            rooms[room - each * item] += full
+            if part:
+                rooms[room - part * item] += 1
+            n -= full * each + part
+            rooms += Counter()
+            if n == 0:
+                break
+        if n:
+            break
+    else:
+        return True
+    left = tuple(sorted(items.elements(), reverse=True))
+    return len(left) <= 16 and sum(left) <= sum(bins.elements()) and _fits(tuple(bins.elements()), left)
+
+
+def _fits(bins: tuple[int, ...], items: tuple[int, ...]) -> bool:
+    if not items:
         return True
-    item, rest = b[0], b[1:]
+    item, rest = items[0], items[1:]
     tried = set()
-    for i, room in enumerate(a):
+    for i, room in enumerate(bins):
         if room >= item and room not in tried:
             tried.add(room)
-            if dominates(a[:i] + (room - item,) + a[i + 1 :], rest):
+            if _fits(bins[:i] + (room - item,) + bins[i + 1 :], rest):
                 return True
     return False
 
 
+def best_fit(room: int, lengths: list[int], counts: dict[int, int]) -> list[tuple[int, int]]:
+    """(length, how many) of the filling that takes the largest length that fits, as often as it can, and so on.
+
+    Never cut short: its cost depends on the number of different lengths, not of items.
+    """
+    taken = []
+    top = bisect_right(lengths, room) - 1
+    while top >= 0:
+        n = min(counts[lengths[top]], room // lengths[top])
+        if n > 0:
+            taken.append((lengths[top], n))
+            room -= n * lengths[top]
+        top = min(top, bisect_right(lengths, room)) - 1
+    return taken
+
+
 def fillings(room: int, lengths: list[int], counts: dict[int, int], width: int, visits: int) -> list[tuple[int, ...]]:
     """Up to ``width`` undominated fillings of ``room``, least waste first.
 
-    Items are tried from the largest down, so the first filling found is the best-fit one and serves as
-    incumbent: a branch whose waste cannot be less is cut as soon as ``width`` fillings as good are known.
+    The incumbent is the whole best-fit filling.  From it the search goes on to better ones and alternatives, the largest
+    items first and each length as often as it can; only this search ends after ``visits`` choices.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
+    first = best_fit(room, lengths, counts)
+    found = [(room - sum(k * n for k, n in first), tuple(k for k, n in first for _ in range(n)))]
+    seen = {found[0][1]}
     left = visits
 
-    def search(room: int, largest: int, taken: tuple[int, ...]) -> None:
+    def enough() -> bool:
+        return left <= 0 or (len(found) >= width and found[width - 1][0] == 0)
+
+    def record(room: int, taken: tuple[tuple[int, int], ...]) -> None:
+        filling = tuple(k for k, n in taken for _ in range(n))
+        if filling not in seen:
+            seen.add(filling)
+            insort(found, (room, filling))
+
+    def search(room: int, top: int, taken: tuple[tuple[int, int], ...]) -> None:
+        """Goes on with the lengths up to place ``top``; lengths are taken in groups, so few calls are open at once."""
         nonlocal left
-        if left <= 0 or (len(found) >= width and found[width - 1][0] == 0):
-            return
-        left -= 1
-        exact = counts.get(room, 0) - taken.count(room) if room <= largest else 0
-        if exact > 0:
-            insort(found, (0, taken + (room,)))
-            return
-        top = bisect_right(lengths, min(room, largest)) - 1
+        top = min(top, bisect_right(lengths, room) - 1)
+        if top >= 0 and lengths[top] == room and counts[room] > 0:
+            return record(0, (*taken, (room, 1)))
         placed = False
-        while top >= 0 and left > 0:
-            item = lengths[top]
-            top -= 1
-            if counts[item] - taken.count(item) <= 0:
-                continue
-            placed = True
-            # The items still to come are no larger than this one.  At most two alternatives deep do they repeat it.
-            search(room - item, item, taken + (item,))
-            if len(found) >= width and found[width - 1][0] == 0:
-                return
-        if not placed:
-            insort(found, (room, taken))
-
-    search(room, lengths[-1] if lengths else 0, ())
+        for at in range(top, -1, -1):
+            item = lengths[at]
+            for n in range(min(counts[item], room // item), 0, -1):
+                if enough():
+                    return
+                left -= 1
+                placed = True
+                search(room - n * item, at - 1, (*taken, (item, n)))
+                if n * item == room:
+                    break  # fewer of them: what fills the rest is dominated by this length again
+        last, n = taken[-1] if taken else (room + 1, 0)
+        if not placed and (room < last or n == counts[last]):  # else one more would fit
+            record(room, taken)
+
+    search(room, len(lengths) - 1, ())
     out: list[tuple[int, ...]] = []
     for _, filling in found:
         if filling not in out and not any(dominates(other, filling) for other in out):
             out.append(filling)
             if len(out) == width:
                 break
-    return out or [()]
+    return out
 
 
 @dataclass
@@ -229,7 +284,7 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, width: in
             turn += 1
             rest = options[(turn // dive) % len(options) if dive and turn % dive == 0 else 0]
             items = (first, *rest)
-            uses = {k: items.count(k) for k in items}
+            uses = Counter(items)
             most = min(counts[k] // u for k, u in uses.items())
             times = max(1, (most + 1) // 2)
             for k, u in uses.items():
@@ -270,8 +325,7 @@ def places(steps: list[Step]) -> Places:
     sequence = 0
     for step in steps:
         offset = 0
-        for length in dict.fromkeys(step.items):
-            n = step.items.count(length)
+        for length, n in Counter(step.items).items():
             first = used.get(length, 0)
             rows.append(((length << 44) + first, first, sequence, step.times, offset, length))
             used[length] = first + n * step.times

@@ -92,6 +92,24 @@ def test_bins_reach_the_bound_on_common_lengths():
     assert bins <= -(-sum(k * n for k, n in histogram.items()) // 2048) + 1
 
 
+@pytest.mark.parametrize("histogram", [{1: 5000}, {3: 1_000_000}, {1: 700_000, 2: 90_000, 5: 40_001, 700: 13, 1500: 900, 2047: 5}])
+def test_short_documents_fill_their_bins(histogram):
+    steps = packing.complete_bins(histogram)
+    used: dict[int, int] = {}
+    for step in steps:
+        assert sum(step.items) <= 2048
+        for k in step.items:
+            used[k] = used.get(k, 0) + step.times
+    assert used == histogram
+    assert sum(s.times for s in steps) <= -(-sum(k * n for k, n in histogram.items()) // (2048 - 2048 % min(histogram))) + 1
+
+
+def test_the_first_filling_is_whole_whatever_the_limit():
+    assert packing.fillings(2047, [1], {1: 5000}, 3, 0) == [(1,) * 2047]
+    assert packing.fillings(1001, [2, 500], {2: 10_000, 500: 1}, 3, 1)[0] == (500, *(2,) * 250)
+    assert packing.dominates((2,) * 1000, (1,) * 2000) and not packing.dominates((1,) * 2000, (2,) * 1000)
+
+
 def test_dominance():
     assert packing.dominates((7,), (4, 3)) and packing.dominates((5, 4), (4, 4)) and not packing.dominates((4, 4), (5, 3))
     assert packing.fillings(7, [3, 4, 7], {3: 2, 4: 2, 7: 1}, 3, 100) == [(7,)]
