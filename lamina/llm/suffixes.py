@@ -171,6 +171,15 @@ def _merged(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kept, _found(rest, _all_bits(rest))
 
 
+def _one_of_each(entry: np.ndarray) -> np.ndarray:
+    """Entries of repeated rows once; one that has met another document's string in its batch goes before those that have not."""
+    place = ["core", "doc", "crc", "at"]
+    entry = entry[np.unique(entry[[*place, "known"]], return_index=True)[1]]
+    last = np.ones(len(entry), bool)
+    last[:-1] = entry[place][1:] != entry[place][:-1]
+    return entry[last]
+
+
 def _matched(entry: np.ndarray) -> np.ndarray:
     """For each entry the starts (bits: bytes before the border) whose string occurs in another entry too.
 
@@ -224,7 +233,7 @@ def repeated_strings(rows: DataFrame, repeated: KeyFilter, buckets: int) -> Data
 
     def compare(table: pa.Table) -> pa.Table:
         entry, done = records(table, ENTRY, FOUND)
-        entry = entry[np.unique(entry[["core", "doc", "crc", "at"]], return_index=True)[1]]
+        entry = _one_of_each(entry)
         bits = _matched(entry)
         hit = bits != 0
         return pa.Table.from_batches([batch_of(_by_doc(np.concatenate([done, _found(entry[hit], bits[hit])]), buckets), {})])

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from lamina.llm.components import connected_components
 from lamina.llm.exact import blocks_for, drop_exact_copies, exact_copies
 from lamina.llm.jaccard import keep_one_of_similar, similar_documents
 from lamina.llm.substrings import repeated_words
-from lamina.llm.suffixes import repeated_bytes
+from lamina.llm.suffixes import ENTRY, _one_of_each, contexts, repeated_bytes, repeated_strings
 from tests.llm import fixtures as fx
 
 ROWS = fx.corpus()
@@ -96,6 +97,24 @@ def test_repeated_bytes(spark, docs, empty):
     assert sorted((r["doc_id"] or 0, r["n_removed"], r["n_spans"]) for r in repeated_bytes(odd).collect()) == [(0, 0, 0), (0, len(cut), 1), (1, len(cut), 1), (1, len(cut), 1)]
 
 
+def test_a_repeated_row_meets_its_neighbour_in_one_batch_only(spark):
+    """Whatever comes first in the shuffle: the copy that was parsed beside the neighbour, or the ones that were not."""
+    shared = "".join(f"v{i}," for i in range(1500))[:3000]
+    row, neighbour = (1, 7, "a" * 50 + shared), (2, 8, "b" * 60 + shared)
+    for order in ([row], [row, neighbour], [row]), ([row], [row], [row, neighbour]), ([row, neighbour], [row], [row]):
+        parts = spark.sparkContext.parallelize(order, 3).flatMap(lambda x: x)
+        rows = spark.createDataFrame(parts, "doc long, crc long, text string")
+        found = {r["doc"]: np.frombuffer(r["ranges"], "<i8").tolist() for r in repeated_strings(rows, contexts(rows, 256), 256).collect()}
+        assert found == {1: [50, 3050], 2: [60, 3060]}
+
+
+@pytest.mark.parametrize("known", [(0, 1), (1, 0), (0, 0)])
+def test_of_repeated_entries_the_known_one_stays(known):
+    entry = np.zeros(3, ENTRY)
+    entry["core"], entry["doc"], entry["known"] = 5, [1, 1, 2], [*known, 0]
+    assert _one_of_each(entry)[["doc", "known"]].tolist() == [(1, max(known)), (2, 0)]
+
+
 def test_one_group_of_a_third_of_all_rows(spark):
     """A popular text and its near copies do not change what is found."""
     base = " ".join(f"h{i}" for i in range(60))
