@@ -190,6 +190,18 @@ def test_personal_data(spark, fitted):
     assert pii.personal_data(docs.limit(0)).isEmpty()
 
 
+def test_context_decides_on_proposals(spark):
+    """Trees fitted on IPv4 and international numbers: which word stands before decides on IPv6 and national ones."""
+    texts = [f"the host {i}.{i % 200}.7.1 is up" for i in range(1, 250)] + [f"the build {300 + i}.{i}.7.1 is up" for i in range(250)]
+    texts += [f"please call +4930{1000000 + i} now" for i in range(250)] + [f"the part +{1000 + i} now" for i in range(250)]
+    v6 = "2001:0db8:85a3:0000:0000:8a2e:0370:7334"
+    asked = [f"the host {v6} is up", f"the build {v6} is up", "please call 030 555 1234 now", "the part 030 555 1234 now", f"the host {v6}:7334 is up"]
+    docs = fx.frame(spark, list(enumerate(texts + asked)))
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs).where(F.col("doc_id") >= len(texts)).collect()}
+    assert [got[len(texts) + i] for i in range(len(asked))] == ["ip:9:48", "", "phone:12:24", "", ""]
+    assert not {"check", "digits", "size", "longest"} & set(pii.FEATURES)
+
+
 def test_secrets(spark):
     hexes = [f"{i * 7919 + 104729:x}{'0f9a3c5e7b1d2468'[i % 7:]}{i * 31 + 977:x}b4d8e2a6c1f0937d5e4b"[:40] for i in range(60)]
     texts = [f'the word here token = "{h}" goes on' for h in hexes]
