@@ -24,7 +24,12 @@ THRESHOLD = 0.5
 #: Characters before and after a candidate that are looked at.
 CONTEXT = 48
 
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=-][A-Za-z0-9_+/=.-]{14,510}[A-Za-z0-9_+/=-](?!\.?[A-Za-z0-9_+/=-])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+#: Whole runs of key characters, whatever their length; the possessive repeat keeps very long ones linear.
+_RUN = re.compile(r"[A-Za-z0-9_+/=.-]{16,}+|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+#: A name and what assigns to it, at the start of a run.
+_LEAD = re.compile(r"-{0,2}[A-Za-z_][A-Za-z0-9_.-]*+=++(?=.)")
+_SITE = re.compile(r":=|=>|[=:]++")
+_VALUE = re.compile(r"[ \t]*+(?:(?:bearer|basic|token)[ \t]++)?(?:\"((?:[^\"\\\n]|\\.)++)\"|'((?:[^'\\\n]|\\.)++)'|`([^`\n]++)`|[\"'`]?([^\s\"'`]++))", re.I)
 _NAME = re.compile(r"(token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|bearer|private[_-]?key)\w*", re.I)
 _ASSIGNED = re.compile(r"[=:]\s*[\"'`]?$|[\"'`]$")
 _KNOWN = re.compile(r"^(AKIA|ASIA|ghp_|gho_|github_pat_|sk-|xox[abprs]-|glpat-|AIza|eyJ|-----BEGIN)")
@@ -106,21 +111,77 @@ def describe(text: str, start: int, end: int, words: frozenset[str]) -> list[flo
     ]
 
 
+def _name_before(text: str, at: int) -> str:
+    """The word that ends before place ``at``, past spaces, closing quotes and brackets."""
+    end = at
+    while end and text[end - 1] in " \t":
+        end -= 1
+    while end and text[end - 1] in "\"'`])":
+        end -= 1
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_.-"):
+        start -= 1
+    return text[start:end]
+
+
+def _run_places(text: str) -> Iterator[tuple[int, int]]:
+    for m in _RUN.finditer(text):
+        start, end = m.span()
+        if m.group().startswith("-----BEGIN "):
+            yield start, end
+            continue
+        while start < end and text[start] == ".":
+            start += 1
+        while start < end and text[end - 1] == ".":
+            end -= 1
+        while lead := _LEAD.match(text, start, end):
+            # What stands before the sign is the name of what follows, but for a long string that names no secret.
+            name_end = start + len(lead.group().rstrip("="))
+            if name_end - start >= 16 and not _NAME.search(text, start, name_end):
+                yield start, name_end
+            start = lead.end()
+        if end - start >= 24 or (end - start >= 16 and not text[start:end].isalpha()):
+            yield start, end
+
+
+def _assigned_places(text: str) -> Iterator[tuple[int, int]]:
+    past = 0
+    for m in _SITE.finditer(text):
+        if m.start() < past or not _NAME.search(_name_before(text, m.start())):
+            continue
+        value = _VALUE.match(text, m.end())
+        if value:
+            start, end = value.span(value.lastindex)
+            if value.lastindex == 4:
+                while lead := _LEAD.match(text, start, end):
+                    start = lead.end()
+                past = end
+                while end > start + 1 and text[end - 1] in ".,;)]}>":
+                    end -= 1
+            yield start, end
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the candidates: long runs of key characters, key headers, and whatever is assigned to a secret's name."""
+    return sorted({*_run_places(text), *_assigned_places(text)})
+
+
 def candidates(docs: DataFrame, words: frozenset[str]) -> DataFrame:
-    """Stored rows of ``CANDIDATES``: unbroken strings of 16 to 512 key characters, and key headers.
+    """Stored rows of ``CANDIDATES``: unbroken strings of 16 key characters or more, key headers, and values of
+    any length and characters that are assigned to a secret's name.  NAME= is no part of a candidate.
 
-    ``masked`` shows the first four characters only, so that results do not spread secrets.  Words without a digit and
-    without a change of case are proposed from 24 characters on.
+    ``masked`` shows the first four characters only, of short values a quarter, so that results do not spread secrets.
+    Words without a digit are proposed from 24 characters on, unless they are assigned to such a name.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for m in _CANDIDATE.finditer(text):
-                    s = m.group()
-                    if len(s) >= 24 or not s.isalpha():
-                        rows.append((doc_id, m.start(), m.end(), s[:4] + "*" * (len(s) - 4), *describe(text, m.start(), m.end(), words)))
+                for start, end in places(text):
+                    n = end - start
+                    shown = min(4, n // 4)
+                    rows.append((doc_id, start, end, text[start : start + shown] + "*" * (n - shown), *describe(text, start, end, words)))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), *[pa.float32()] * len(FEATURES)]
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "start", "end", "masked", *FEATURES])
@@ -132,9 +193,9 @@ def seed_labels(found: DataFrame) -> DataFrame:
     """Labels for findings that need no second look; null for the others.
 
     A value assigned to a secret's name, in random-looking characters, or with a known key prefix is
-    one; an unassigned string that is mostly dictionary words, or digits alone, or a path, is not.
+    one (short values cannot reach the entropy of long ones: they are held against that of their length); an unassigned string that is mostly dictionary words, or digits alone, or a path, is not.
     """
-    random_like = (F.col("entropy") >= 3.0) & (F.col("digit_share") > 0.05) & (F.col("coverage") < 0.4)
+    random_like = (F.col("entropy") >= F.least(F.lit(3.0), 0.8 * F.log2("length"))) & (F.col("digit_share") > 0.05) & (F.col("coverage") < 0.4)
     named = (F.col("name_before") > 0) & (F.col("assigned") > 0)
     true = (named & random_like) | ((F.col("known_prefix") > 0) & random_like)
     false = (F.col("name_before") == 0) & (F.col("assigned") == 0) & ((F.col("coverage") >= 0.4) | (F.col("digit_share") == 1) | (F.col("path_around") > 0) | (F.col("digit_share") == 0))

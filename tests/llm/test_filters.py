@@ -12,7 +12,7 @@ from lamina.llm import language, pii
 from lamina.llm.decontamination import BenchmarkIndex, contaminated, drop_contaminated
 from lamina.llm.packing import pack_documents, word_tokenizer
 from lamina.llm.queries import _url_rules, tokenizer_path
-from lamina.llm.secret_scan import coverage, find_secrets
+from lamina.llm.secret_scan import coverage, find_secrets, places
 from lamina.llm.urls import Rule, filter_urls
 from lamina.llm.words import word_hashes
 from tests.llm import fixtures as fx
@@ -202,6 +202,24 @@ def test_context_decides_on_proposals(spark):
     assert not {"check", "digits", "size", "longest"} & set(pii.FEATURES)
 
 
+def test_long_short_and_unquoted_secrets_are_proposed(spark):
+    jwt = "eyJ" + "".join("aZ9_bY8-cX7"[i * 7 % 11] for i in range(717)) + "Q1"
+    cases = [
+        (f"send {jwt} now", jwt), ('password = "h7!x Q2"', "h7!x Q2"), ("export API_KEY=sk-a8Kd03mXq91LwPz77Tb\n", "sk-a8Kd03mXq91LwPz77Tb"),
+        ("token=ghp_0aB1cD2eF3gH4iJ5kL6m.", "ghp_0aB1cD2eF3gH4iJ5kL6m"), ('{"db_password": "p,w;1"}', "p,w;1"), ("pwd: q1", "q1"),
+        ("Authorization: Bearer a1B2c3", "a1B2c3"), ("https://x.y/?auth_token=abc12&z=1", "abc12&z=1"), ("key " + "A1b2" * 5000, "A1b2" * 5000),
+        ("secret: AbCd0123EfGh4567IjKl==", "AbCd0123EfGh4567IjKl=="),
+    ]
+    assert len(jwt) == 722
+    for text, secret in cases:
+        assert secret in [text[a:b] for a, b in places(text)], text
+    rows = find_secrets(fx.frame(spark, [(i, t) for i, (t, _) in enumerate(cases)])).collect()
+    texts = [t for t, _ in cases]
+    assert {i for i, (t, x) in enumerate(cases) for r in rows if r["doc_id"] == i and t[r["start"] : r["end"]] == x} == set(range(len(cases)))
+    assert all(len(r["masked"]) == r["end"] - r["start"] and r["masked"].rstrip("*") == texts[r["doc_id"]][r["start"] :][: len(r["masked"].rstrip("*"))] for r in rows)
+    assert places("no sign here, 1 = 2 and a: b") == [] and places("") == [] and places("token=") == [] and places("password: ") == []
+
+
 def test_secrets(spark):
     hexes = [f"{i * 7919 + 104729:x}{'0f9a3c5e7b1d2468'[i % 7:]}{i * 31 + 977:x}b4d8e2a6c1f0937d5e4b"[:40] for i in range(60)]
     texts = [f'the word here token = "{h}" goes on' for h in hexes]
