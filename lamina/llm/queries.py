@@ -120,3 +120,47 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.secret_scan import find_secrets
 
     return find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_source_mix",
+    """
+    WITH d AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+               (CAST('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|', md5(coalesce(text, '')))), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE))
+                   / 4503599627370496 AS u
+        FROM documents
+    ),
+    s AS (
+        SELECT source, CAST(sum(size) AS BIGINT) AS s, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+        FROM d GROUP BY source
+    ),
+    o AS (
+        SELECT source, s, w, coalesce(sum(3 * s) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+               sum(w) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws, sum(s) OVER () AS total
+        FROM s WINDOW q AS (ORDER BY s / w, source NULLS LAST)
+    ),
+    l AS (SELECT total - capped AS rest, ws FROM o WHERE NOT 3 * s * ws < w * (total - capped) ORDER BY s / w, source NULLS LAST LIMIT 1),
+    t AS (
+        SELECT source, s, CASE WHEN 3 * s * ws < w * (total - capped) THEN CAST(3 * s AS DOUBLE)
+                               ELSE w * CAST((SELECT rest FROM l) AS DOUBLE) / CAST((SELECT ws FROM l) AS DOUBLE) END AS target
+        FROM o
+    ),
+    r AS (
+        SELECT doc_id, size, u, d.source, s AS source_size, target, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END AS copies,
+               CASE WHEN s > 0 THEN target / s - floor(target / s) ELSE 0 END AS chance
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+    ),
+    p AS (
+        SELECT *, sum(size) OVER (PARTITION BY source, chance > 0 ORDER BY (u / (1 - u)) / (chance / nullif(1 - chance, 0)), doc_id NULLS LAST, size) AS after
+        FROM r
+    )
+    SELECT doc_id, size, source_size, target,
+           CAST(size * (copies + CASE WHEN chance > 0 AND 2 * after - size < 2 * (target - copies * source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+    FROM p
+    """,
+)
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
