@@ -164,3 +164,10 @@ def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.periodic import periodic_runs, run_digests, with_planted_periods
+
+    return run_digests(periodic_runs(with_planted_periods(table(spark, sf_dir, "documents"))))
