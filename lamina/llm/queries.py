@@ -171,3 +171,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.periodic import periodic_runs, run_digests, with_planted_periods
 
     return run_digests(periodic_runs(with_planted_periods(table(spark, sf_dir, "documents"))))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), drop_one_in=199)
