@@ -68,9 +68,14 @@ def _(spark, sf):
     return drop_lineage(spark.read.parquet(bronze))
 
 
+ARRAY_ROWS = 10_000
+
+
 def land_arrays(spark, df, path):
-    """JSON files that each hold one array of rows."""
-    whole = df.repartition(4).groupBy(F.spark_partition_id()).agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
+    """JSON files that each hold one array of about ``ARRAY_ROWS`` rows, however many rows there are."""
+    arrays = max(4, -(-df.count() // ARRAY_ROWS))
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(arrays))
+    whole = df.groupBy(part).agg(F.to_json(F.collect_list(F.struct(*df.columns)), {"timestampFormat": PADDED["timestampFormat"]}).alias("value"))
     whole.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
@@ -84,6 +89,26 @@ def _(spark, sf):
     return drop_lineage(spark.read.parquet(bronze))
 
 
+@query("s02_json_lines_default", _CLAIMS)
+def _(spark, sf):
+    """Lines are found to be lines without being told."""
+    path = land(spark, sf, "insurance_claims", "json")
+    return landing.scan_json(spark, path, ENTITIES["insurance_claims"]).drop("_rescued_data", "_source_file")
+
+
+@query("s02_json_mixed_forms", _CLAIMS)
+def _(spark, sf):
+    """Lines, arrays in one line, and arrays that span lines in one load."""
+    spec, claims, base = ENTITIES["insurance_claims"], read_entity(spark, sf, "insurance_claims"), work_dir(spark, "forms")
+    part = F.pmod(F.xxhash64("ClaimID"), F.lit(3))
+    land(spark, sf, spec.name, "json", f"{base}/lines", claims.where(part == 0))
+    land_arrays(spark, claims.where(part == 1), f"{base}/arrays")
+    flat = spark.read.text(land_arrays(spark, claims.where(part == 2), f"{base}/flat"))
+    flat.select(F.regexp_replace("value", r"(?<=[\[}])(,?)(?=[{\]])", "$1\n").alias("value")).write.text(f"{base}/tall")
+    paths = [f"{base}/{form}" for form in ("lines", "arrays", "tall")]
+    return landing.scan_json(spark, paths, spec).drop("_rescued_data", "_source_file")
+
+
 def _two_orders(spark, sf):
     """Doctors in two halves whose files have their columns in opposite order."""
     path, doctors = work_dir(spark, "orders"), read_entity(spark, sf, "doctors")
@@ -160,6 +185,19 @@ def _(spark, sf):
     return out[0].unionByName(out[1])
 
 
+@query(
+    "s07_array_with_bad_element",
+    f"""SELECT InvoiceID, 'good' AS Part FROM raw_billing WHERE NOT ({_DAMAGED})
+        UNION ALL SELECT InvoiceID, 'bad' FROM raw_billing WHERE {_DAMAGED}""",
+)
+def _(spark, sf):
+    """Bad elements among the good ones of an array: only they are put aside, each with its own text."""
+    path = land_arrays(spark, damaged_billing(spark, sf), work_dir(spark, "arrays"))
+    good, bad = landing.split_bad_records(landing.scan_json(spark, path, ENTITIES["billing"]))
+    kept = bad.select(F.get_json_object("_rescued_data", "$.InvoiceID").alias("InvoiceID"), F.lit("bad").alias("Part"))
+    return good.select("InvoiceID", F.lit("good").alias("Part")).unionByName(kept)
+
+
 def _widened(spark, sf):
     return read_entity(spark, sf, "doctors").withColumn("Pager", F.concat(F.lit("P"), "DoctorID"))
 
@@ -212,7 +250,7 @@ def _(spark, sf):
 def _(spark, sf):
     """A catalog entry follows its table to the next version, with the column that this brings."""
     base, database = work_dir(spark, "layer"), "lamina_checks"
-    for version, df in enumerate((read_entity(spark, sf, "doctors").limit(1), _widened(spark, sf)), 1):
+    for version, df in enumerate((read_entity(spark, sf, "doctors"), _widened(spark, sf)), 1):
         tables.write_table(df, f"{base}/version={version}")
         report = tables.register_layer(spark, {"doctors_again": f"{base}/version={version}"}, database)
         if report != {"doctors_again": "SUCCESS"}:

@@ -443,8 +443,9 @@ def register_all(spark: SparkSession, lake: Lake, databases: Mapping[str, str] |
     ops = register_layer(spark, {n: lake.path("ops", n) for n in ("audit", "dq_results", "dq_failed")}, databases.get("ops"))
     report |= {f"ops.{k}": v for k, v in ops.items()}
     built = {n: read_snapshot(spark, lake.path("gold", n)) for n in MART_NAMES}
+    built["patients_current"] = read_snapshot(spark, lake.path("silver", "patients_current"))
     published = views.publish(spark, {n: df for n, df in built.items() if df is not None})
-    return report | {f"views.{k}": v for k, v in published.items() if k not in MART_NAMES}
+    return report | {f"views.{k}": v for k, v in published.items() if k in views.VIEWS}
 
 
 MART_NAMES = marts.MART_NAMES

@@ -37,9 +37,8 @@ def csv_options() -> dict[str, str]:
     }
 
 
-def json_options(multi_line: bool = True) -> dict[str, str]:
+def json_options() -> dict[str, str]:
     return {
-        "multiLine": str(multi_line).lower(),
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": RESCUED,
         "timestampFormat": "yyyy-MM-dd HH:mm:ss",
@@ -121,26 +120,100 @@ def scan_csv(spark: SparkSession, path: str | list[str], spec: Entity, evolution
     return evolve(rows, spec.columns, evolution)
 
 
+#: Ends of a first line after which a JSON value goes on in the next one.
+_GOES_ON = ("{", "[", ",", ":")
+
+
+def _spans_lines(line: Column) -> Column:
+    """Whether the value that a file's first line begins goes on in the lines after it.
+
+    A broken first line is taken for a record of its own, unless it begins an array or ends as only an unfinished object does.
+    """
+    line = F.trim(F.regexp_replace(line, "[\ufeff\r]", ""))
+    unfinished = reduce(Column.__or__, [line.endswith(c) for c in _GOES_ON])
+    return F.try_parse_json(line).isNull() & (line.startswith("[") | (line.startswith("{") & unfinished))
+
+
+def json_forms(spark: SparkSession, path: str | list[str]) -> dict[bool, list[str]]:
+    """The files whose values span lines (True), and those with a value a line.
+
+    Told by the first line of a file that is not blank, which one task sees first.  Blank files are in neither
+    list.  One flag per file reaches the driver, which lists the files for any scan anyway.
+    """
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0 AND trim(value) <> ''")
+    first = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.first("value").alias("line"))
+    found: dict[bool, list[str]] = {}
+    for row in first.select("file", _spans_lines(F.col("line")).alias("spans")).orderBy("file").collect():
+        found.setdefault(row["spans"], []).append(unquote(row["file"]))
+    return found
+
+
+def records(files: DataFrame) -> DataFrame:
+    """The lines of whole files (value, file) that have a value a line, and other files as they are."""
+    first = F.regexp_extract("value", r"[^\r\n]*\S[^\r\n]*", 0)
+    parts = F.when(_spans_lines(first), F.array("value")).otherwise(F.split("value", r"\r?\n"))
+    return files.select(F.explode(parts).alias("value"), "file")
+
+
+def json_elements(texts: DataFrame) -> DataFrame:
+    """(value, whole, file) with a row per JSON element of ``texts`` (value, file): objects, and the elements of arrays.
+
+    A text may hold several values one after another.  ``whole`` is false where it is no JSON, or has something else after a
+    value; such a text is one row.
+    """
+    text = F.trim(F.regexp_replace("value", "^[\ufeff\\s]+|\\s+$", ""))
+    texts = texts.select(text.alias("value"), "file").where("value <> ''")
+    # The usual text is one object, and typing it is parse enough.
+    plain = F.col("value").startswith("{") & F.col("value").endswith("}") & ~F.col("value").rlike(r"\}\s*[{\[]")
+    joined = F.regexp_replace("value", r"(?m)^(.*[}\]])\s*^(?=[{\[])", "$1,")
+    listed = F.from_json(F.concat(F.lit("["), joined, F.lit("]")), "array<string>", {"mode": "PERMISSIVE"})
+    values = F.when(plain, F.array("value")).otherwise(listed)
+    found = texts.select(F.coalesce(values, F.array("value")).alias("values"), values.isNotNull().alias("whole"), "file")
+    found = found.select(F.explode("values").alias("value"), "whole", "file")
+    inner = F.from_json("value", "array<string>", {"mode": "PERMISSIVE"})
+    elements = F.when(F.col("whole") & F.col("value").startswith("["), inner).otherwise(F.array("value"))
+    return found.select(F.explode(elements).alias("value"), "whole", "file").withColumn("value", F.coalesce("value", F.lit("null")))
+
+
+def typed_json(elements: DataFrame, declared: str) -> DataFrame:
+    """Each element read under the declared columns; one that does not fit keeps its own text in the rescue column."""
+    row = F.from_json("value", f"{declared}, `{RESCUED}` string", json_options())
+    rows = elements.select(row.alias("row"), "value", "whole", F.col("file").alias(SOURCE_FILE)).select("row.*", "value", "whole", SOURCE_FILE)
+    rescued = F.coalesce(F.col(RESCUED), F.when(~F.col("whole"), F.col("value")))
+    return rows.withColumn(RESCUED, rescued).drop("value", "whole")
+
+
+def json_texts(spark: SparkSession, path: str | list[str], multi_line: bool | None = None) -> DataFrame:
+    """(value, file): the lines of files with a value a line, and other files whole.
+
+    ``multi_line`` says the form of all files; else it is found file by file.  Lines are divided among tasks, a whole file is
+    one row (2 GB at most), so prefer lines for large files.
+    """
+    forms = {multi_line: None} if multi_line is not None else json_forms(spark, path)
+    parts = [spark.read.text(path if files is None or len(forms) == 1 else files, wholetext=spans) for spans, files in forms.items()]
+    parts = parts or [spark.read.text(path)]
+    return reduce(DataFrame.unionByName, [p.select("value", F.col("_metadata.file_path").alias("file")) for p in parts])
+
+
 def scan_json(
     spark: SparkSession,
     path: str | list[str],
     spec: Entity,
     evolution: Evolution = "none",
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """Read JSON arrays, or one object per line with ``multi_line=False``.
+    """Read JSON files: objects a line, arrays, or objects over several lines, whichever each file has.
 
-    Lines can be split between tasks, arrays cannot, so prefer lines for large
-    files.  Any mode but ``none`` reads the files once more to find new fields.
+    Elements of an array are typed one by one: a bad one is rescued with its own text and the others stay.  Any mode
+    but ``none`` reads the files once more to find new fields.
     """
-    options = json_options(multi_line)
+    elements = json_elements(json_texts(spark, path, multi_line))
     extra: list[str] = []
     if evolution != "none":
-        found = spark.read.options(**options).json(path).columns
-        extra = [c for c in found if c not in spec.columns and c != RESCUED]
-    declared = ", ".join([spec.ddl(), *[f"`{c}` string" for c in extra], f"`{RESCUED}` string"])
-    raw = spark.read.options(**options).schema(declared).json(path)
-    return evolve(located(raw), spec.columns, evolution)
+        names = elements.where("whole").select(F.explode(F.json_object_keys("value")).alias("name")).distinct().orderBy("name")
+        extra = [r["name"] for r in names.collect() if r["name"] not in spec.columns and r["name"] != RESCUED]
+    declared = ", ".join([spec.ddl(), *[f"`{c}` string" for c in extra]])
+    return evolve(typed_json(elements, declared), spec.columns, evolution)
 
 
 def scan(spark: SparkSession, path: str | list[str], spec: Entity, fmt: str, **options: object) -> DataFrame:

@@ -7,12 +7,13 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lamina.contracts import BATCH_ID, INGESTION_DATE, RESCUED, Entity
 from lamina.operators.lineage import add_lineage, batch_id
 from lamina.operators.monitoring import counting
-from lamina.sources.landing import csv_options, json_options, located, scan, split_bad_records
+from lamina.sources.landing import csv_options, json_elements, located, records, scan, split_bad_records, typed_json
 
 # How much one trigger takes, and how often a continuous one fires.
 FILES_PER_TRIGGER = 1000
@@ -27,12 +28,14 @@ def stream_landing(
     spec: Entity,
     fmt: str = "csv",
     files_per_trigger: int = FILES_PER_TRIGGER,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """Landing files of one form, present and future, as a streaming frame with their names.
+    """Landing files, present and future, as a streaming frame with their names.
 
-    The files already there give the CSV column order; a file that later departs
+    The CSV files already there give the column order; a file that later departs
     from it fails the batch rather than shifting values between columns.  ``ingest`` takes files of any header.
+    JSON files may each have their form and are read whole, unless ``multi_line`` is false: then
+    all have a value a line.
     """
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
     if fmt == "csv":
@@ -40,8 +43,10 @@ def stream_landing(
         declared = ", ".join(f"`{c}` {spec.columns.get(c, 'string')}" for c in header)
         reader = reader.options(**csv_options()).option("enforceSchema", "false")
     elif fmt == "json":
-        declared = spec.ddl()
-        reader = reader.options(**json_options(multi_line))
+        lines = multi_line is False
+        texts = reader.text(path, wholetext=not lines)
+        texts = texts.select("value", F.col("_metadata.file_path").alias("file"))
+        return typed_json(json_elements(texts if lines or multi_line else records(texts)), spec.ddl())
     else:
         raise ValueError(f"unsupported landing format {fmt!r}")
     raw = reader.schema(f"{declared}, `{RESCUED}` string").format(fmt).load(path)

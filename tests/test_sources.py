@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lamina.contracts import ENTITIES
 from lamina.operators.cleaning import drop_lineage
 from lamina.sources import landing, tables
-from lamina.streaming.files import ingest, write_batch
+from lamina.streaming.files import ingest, stream_landing, write_batch
 
 AT = dt.datetime(2025, 6, 30)
 DOCTORS = ENTITIES["doctors"]
@@ -151,3 +151,68 @@ def test_work_folder_follows_the_session(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.lamina.unset")
     assert not session.path_exists(spark, "/no/such/folder") and session.path_exists(spark, "/tmp")
+
+
+FORMS = {
+    "lines.json": '{"DoctorID": "L1", "Experience": 1}\n\n{"DoctorID": "L2", "Experience": "x"}\n{broken\n{"DoctorID": "L3", "Experience": 3}\n',
+    "array.json": '[{"DoctorID": "A1", "Experience": 1}, {"DoctorID": "A2", "Experience": "many"}, null, 5, {"DoctorID": "A3"}]',
+    "tall.json": '﻿[\n  {\n    "DoctorID": "T1",\n    "Experience": 1\n  },\n  {"DoctorID": "T2", "Experience": []}\n]\n',
+    "objects.json": '{\n  "DoctorID": "O1",\n  "Experience": 1\n}\n{\n  "DoctorID": "O2",\n  "Experience": 2\n}\n',
+    "arrays.json": '[{"DoctorID": "R1", "Experience": 1}]\n[{"DoctorID": "R2", "Experience": 2}, {"DoctorID": "R3", "Experience": 3}]',
+    "cut.json": '[{"DoctorID": "C1", "Experience": 1},\n',
+    "twice.json": '{"DoctorID": "W1", "Experience": 1} {"DoctorID": "W2", "Experience": 2}',
+    "none.json": "[]",
+    "blank.json": " \n\n",
+}
+GOOD = ["A1", "A3", "L1", "L3", "O1", "O2", "R1", "R2", "R3", "T1"]
+BAD = [
+    "5", "null", '[{"DoctorID": "C1", "Experience": 1},', '{"DoctorID": "L2", "Experience": "x"}', '{"DoctorID": "W1", "Experience": 1} {"DoctorID": "W2", "Experience": 2}',
+    '{"DoctorID":"A2","Experience":"many"}', '{"DoctorID":"T2","Experience":[]}', "{broken",
+]
+
+
+def every_form(folder):
+    for name, text in FORMS.items():
+        path = Path(folder) / "in" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text, encoding="utf-8")
+    return f"{folder}/in"
+
+
+def test_json_files_of_every_form_lose_nothing(spark, folder):
+    df = landing.scan_json(spark, every_form(folder), DOCTORS)
+    good, bad = landing.split_bad_records(df)
+    assert sorted(r["DoctorID"] for r in good.collect()) == GOOD
+    assert sorted(r["_rescued_data"] for r in bad.collect()) == sorted(BAD)
+    names = {r["DoctorID"]: r["_source_file"].rsplit("/", 1)[-1] for r in good.collect()}
+    assert (names["A1"], names["T1"], names["O2"]) == ("array.json", "tall.json", "objects.json")
+    # A bad value leaves the others of its row readable.
+    assert df.where("DoctorID = 'A2'").first()["Experience"] is None
+    # Rescue does not depend on the columns that are asked for.
+    assert landing.rescued_rows(df).select("DoctorID").count() == len(BAD)
+    assert landing.scan_json(spark, put(folder, "blank/a.json", ""), DOCTORS).isEmpty()
+
+
+def test_json_forms_are_found_per_file(spark, folder):
+    forms = landing.json_forms(spark, every_form(folder))
+    short = {spans: sorted(f.rsplit("/", 1)[-1] for f in files) for spans, files in forms.items()}
+    assert short == {True: ["cut.json", "objects.json", "tall.json"], False: ["array.json", "arrays.json", "lines.json", "none.json", "twice.json"]}
+
+
+def test_json_new_fields_in_mixed_forms(spark, folder):
+    put(folder, "in/a.json", '{"DoctorID": "D1", "Pager": "P1"}', '{"DoctorID": "D2", "Fax": 7}')
+    put(folder, "in/b.json", "[", ' {"DoctorID": "D3", "Pager": {"home": 1}}', "]")
+    rows = {r["DoctorID"]: r for r in landing.scan_json(spark, f"{folder}/in", DOCTORS, "addNewColumns").collect()}
+    assert (rows["D1"]["Pager"], rows["D2"]["Fax"], rows["D3"]["Pager"]) == ("P1", "7", '{"home":1}')
+
+
+def test_json_streams_of_every_form(spark, folder):
+    path = every_form(folder)
+    good = ingest_all(spark, folder, fmt="json", bad_target=f"{folder}/bad")
+    assert sorted(r["DoctorID"] for r in good.collect()) == GOOD
+    assert sorted(r["_rescued_data"] for r in spark.read.parquet(f"{folder}/bad").collect()) == sorted(BAD)
+    stream = stream_landing(spark, path, DOCTORS, "json")
+    stream.writeStream.format("memory").queryName("every_form").trigger(availableNow=True).start().awaitTermination()
+    direct = spark.table("every_form")
+    assert sorted(r["DoctorID"] for r in direct.where("_rescued_data IS NULL").collect()) == GOOD
+    assert sorted(r["_rescued_data"] for r in landing.rescued_rows(direct).collect()) == sorted(BAD)
