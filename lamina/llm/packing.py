@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -21,20 +22,53 @@ from lamina.llm.staging import doc_text, stage
 CAPACITY = 2048
 #: Rows of one length that are numbered in one task, about.
 ROWS_PER_SALT = 100_000
-#: Words whose ids a task remembers, at most; those met later are encoded once per batch.
-REMEMBERED = 300_000
+#: Choices that branch and bound looks at, at most, before the best packing so far stands.
+NODES = 10_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-#: A space beside another white-space character; any other space begins a new word.
-_TOUCHING = re.compile(r" \s|\s ")
+#: How the byte-level vocabularies split text before they merge bytes. Fixed value.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Beyond these letters the libraries' tables of letters and digits may be of different age.
+_BEYOND = re.compile("[^\x00-\u024f]")
+#: Longest stretch without a break that is merged by rank; others go to the tokenizer itself.
+LONGEST_PIECE = 400
+_LONG_BLANK = re.compile(rf"\s{{{LONGEST_PIECE}}}")
 
 
-class WordTokenizer:
+def _byte_of_letter() -> dict[str, int]:
+    """The letters that byte-level vocabularies write bytes as: printable ones as they are, the rest from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def rank_encoding(path: str):
+    """The tokenizer file as a table of merge ranks for ``tiktoken``, which gives the same ids several times as fast.
+
+    None unless the file is plain byte-level BPE whose ids follow the order of its merges.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if not plain or spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    vocabulary, letters = model["vocab"], _byte_of_letter()
+    made = [vocabulary.get(m.replace(" ", "") if isinstance(m, str) else "".join(m), -1) for m in model["merges"]]
+    added = {t["content"] for t in spec.get("added_tokens", ())}
+    tokens = {t: i for t, i in vocabulary.items() if t not in added}
+    if made != sorted(set(made)) or made[:1] < [0] or any(c not in letters for t in tokens for c in t):
+        return None
+    return tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks={bytes(letters[c] for c in t): i for t, i in tokens.items()}, special_tokens={})
+
+
+class TextTokenizer:
     """Token ids of whole texts, as little-endian 32-bit bytes, by the tokenizer file at ``path``.
 
-    The vocabulary's splitting rule starts a new word at every single space, so a text's ids are those
-    of its space-separated words, each with its space.  Words already seen are looked up; texts with
-    other spacing go to the tokenizer whole.  Strings of special tokens are ordinary text.
+    Texts of Latin letters without very long words and without added tokens are merged by rank; all others go to
+    the tokenizer.  Both give the same ids.  Nothing is remembered from text to text.
     """
 
     def __init__(self, path: str):
@@ -42,64 +76,21 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.seen: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, number in vocabulary.items():
-            self.sizes[number] = len(token)  # byte-level: a character for each byte
-
-    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        # In slices, as the tokenizer's results are far larger than the ids in them.
-        for at in range(0, len(texts), 500):
-            for e in self.tokenizer.encode_batch_fast(texts[at : at + 500], add_special_tokens=False):
-                yield np.asarray(e.ids, "<u4")
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [ids.tobytes() for ids in self._ids(texts)]
-
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word with a space before it.
-
-        Words are encoded by the hundred; the bytes that each token stands for tell where one word ends.
-        """
-        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        odd = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]
-        out = dict(zip(odd, self._encode([" " + w for w in odd]), strict=True))
-        groups = [plain[i : i + 100] for i in range(0, len(plain), 100)]
-        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
-            ends = np.cumsum([1 + len(w.encode("utf-8", "replace")) for w in group])
-            passed = np.cumsum(self.sizes[ids])
-            last = np.searchsorted(passed, ends)
-            if len(passed) and last[-1] < len(passed) and (passed[last] == ends).all() and passed[-1] == ends[-1]:
-                raw, cuts = ids.tobytes(), (4 * (last + 1)).tolist()
-                out.update(zip(group, (raw[x:y] for x, y in zip([0, *cuts], cuts, strict=False)), strict=True))
-            else:
-                out.update(zip(group, self._encode([" " + w for w in group]), strict=True))
-        return out
+        self.ranks = rank_encoding(path)
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
+
+    def _ranked(self, text: str) -> bool:
+        if not text.isascii() and _BEYOND.search(text) or self.added and self.added.search(text):
+            return False
+        return max(map(len, text.split()), default=0) < LONGEST_PIECE and not _LONG_BLANK.search(text)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        plain = [None if _TOUCHING.search(t) else t.split(" ") for t in texts]
-        new: set[str] = set()
-        for words in plain:
-            if words:
-                new.update(words[1:])
-        fresh = list(new.difference(self.seen))
-        met = self._encode_words(fresh)
-        if len(self.seen) < REMEMBERED:
-            self.seen.update(met)
-            found = self.seen.__getitem__
-        else:
-            common = self.seen.get
-            found = lambda w: common(w) or met[w]
-        heads = iter(self._encode([t if w is None else w[0] for t, w in zip(texts, plain, strict=True)]))
-        for words in plain:
-            yield next(heads) + (b"" if words is None else b"".join(map(found, words[1:])))
-
-
-def word_tokenizer(path: str) -> WordTokenizer:
-    """One per task: what it remembers goes with it, so that idle Python workers hold no words."""
-    return WordTokenizer(path)
+        for text in texts:
+            if self.ranks is not None and self._ranked(text):
+                yield np.asarray(self.ranks.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
+            else:
+                yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def cut(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -115,7 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     """Rows of ``PIECES``: every document's ids and ``end_id``, cut where longer than ``capacity``."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = word_tokenizer(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        words, last = TextTokenizer(tokenizer), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -254,22 +245,121 @@ class Step:
     times: int
 
 
-def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, width: int = 3, visits: int = 400, dives: int = 6) -> list[Step]:
-    """Pack ``histogram`` (length: documents) into few bins.
+def lower_bound(counts: dict[int, int], capacity: int = CAPACITY) -> int:
+    """Bins that no packing of ``counts`` can do without.
+
+    For each threshold k: items above ``capacity - k`` share a bin with nothing that is k or more, items over half a bin
+    not with each other, and what is left of the latter's bins is all that the items from k to half a bin can save.
+    """
+    if not counts:
+        return 0
+    size = np.array(sorted(counts), np.int64)
+    n = np.array([counts[k] for k in size.tolist()], np.int64)
+    upto_n, upto = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * size)])
+    half = int(np.searchsorted(size, capacity // 2, "right"))
+    k = np.concatenate([[0], size[:half]])
+    low, high = np.searchsorted(size, k, "left"), np.searchsorted(size, capacity - k, "right")
+    single, paired = upto_n[-1] - upto_n[high], upto_n[high] - upto_n[half]
+    room = paired * capacity - (upto[high] - upto[half])
+    rest = np.maximum(upto[half] - upto[low] - room, 0)
+    return int((single + paired + -(-rest // capacity)).max())
+
+
+def _taken(counts: dict[int, int], uses: Counter, times: int) -> dict[int, int]:
+    left = dict(counts)
+    for k, u in uses.items():
+        left[k] -= u * times
+        if not left[k]:
+            del left[k]
+    return left
+
+
+def _choices(counts: dict[int, int], capacity: int, width: int, visits: int, after: tuple = ()) -> list[tuple[tuple[int, ...], int]]:
+    """(items, how many bins) to go on with: undominated fillings around the largest length, least waste first.
+
+    Each for as many bins as there are items, half as many, and so on to one; of a single filling there is no other use.
+    Bins are in no order, so those with one largest length are filled in the order of their fillings: none comes that
+    would stand before ``after``, the items of the bins filled last.
+    """
+    lengths = sorted(counts)
+    first = lengths[-1]
+    counts = counts | {first: counts[first] - 1}
+    options = [(first, *rest) for rest in fillings(capacity - first, lengths, counts, width, visits)]
+    counts[first] += 1
+    place = lambda items: (-sum(items), items)
+    if after and after[0] == first:
+        options = [items for items in options if place(items) >= place(after)]
+    out = []
+    for items in sorted(options, key=place):
+        most = min(counts[k] // u for k, u in Counter(items).items())
+        while most:
+            out.append((items, most))
+            most = most // 2 if len(options) > 1 else 0
+    return out
+
 
-    Branch and bound over bin completions: take the largest length left, enumerate undominated fillings of
-    the rest of its bin, use one for several bins at once (half of what the counts allow, so that lengths
-    stay mixed), go on.  A branch is cut when its waste so far exceeds what any better packing may
-    waste.  The first descent takes the best fit each time and is the incumbent; at most ``dives`` descents are
-    made, and none after one that reaches the lower bound.  Work depends on the number of different lengths,
-    not of documents.
+def branch_and_bound(counts: dict[int, int], capacity: int, incumbent: list[Step], nodes: int, width: int = 6, visits: int = 300) -> list[Step]:
+    """A packing with fewer bins than ``incumbent``, or that itself.
+
+    An explicit stack holds the choices still open at every bin filled so far, so that a branch that is cut goes back to the
+    last of them.  A branch is cut when its bins and the least that the rest needs are no fewer than the best packing's, when
+    its waste exceeds what a better packing may waste, or when its rest was reached before with as few bins.
+    With ``nodes`` spent the best packing so far stands: exact where the search ends before, else as good as found.
+    """
+    total = sum(k * n for k, n in counts.items())
+    best, best_bins = incumbent, sum(s.times for s in incumbent)
+    bound, reached = lower_bound(counts, capacity), {}
+    steps: list[Step] = []
+    stack = [(counts, 0, 0, iter(_choices(counts, capacity, width, visits)))] if counts else []
+    while stack and nodes > 0 and best_bins > bound:
+        held, bins, waste, choices = stack[-1]
+        chosen = next(choices, None)
+        if chosen is None:
+            stack.pop()
+            if steps:
+                steps.pop()
+            continue
+        items, times = chosen
+        nodes -= 1
+        rest = _taken(held, Counter(items), times)
+        bins, waste = bins + times, waste + times * (capacity - sum(items))
+        if waste > (best_bins - 1) * capacity - total or bins + lower_bound(rest, capacity) >= best_bins:
+            continue
+        if not rest:
+            best, best_bins = [*steps, Step(items, times)], bins
+            continue
+        # The items matter, as they say which fillings may follow.
+        key = (items, tuple(sorted(rest.items())))
+        if reached.get(key, bins + 1) <= bins:
+            continue
+        reached[key] = bins
+        steps.append(Step(items, times))
+        stack.append((rest, bins, waste, iter(_choices(rest, capacity, width, visits, items))))
+    return best
+
+
+def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, width: int = 3, visits: int = 400, dives: int = 6, nodes: int = NODES) -> list[Step]:
+    """Pack ``histogram`` (length: documents) into few bins, by bin completion.
+
+    Take the largest length left, enumerate undominated fillings of the rest of its bin, use one for several bins at once,
+    go on.  First come at most ``dives`` descents (of ``width`` fillings found in ``visits`` steps or more each): one takes the
+    best fit each time, the others leave it now and then.  The best of them is the incumbent of ``branch_and_bound``, which
+    looks at ``nodes`` choices at most.  None of this goes on once the lower bound is reached.  Work depends
+    on the number of different lengths, not of documents.
     """
+    counts = {k: n for k, n in histogram.items() if n > 0}
+    bound = lower_bound(counts, capacity)
+    best = _descents(counts, capacity, width, visits, dives, bound)
+    return best if sum(s.times for s in best) <= bound else branch_and_bound(counts, capacity, best, nodes)
+
+
+def _descents(histogram: dict[int, int], capacity: int, width: int, visits: int, dives: int, bound: int) -> list[Step]:
+    """The best packing of some descents without return."""
     total = sum(k * n for k, n in histogram.items())
-    bound = -(-total // capacity)
     best: list[Step] | None = None
     best_bins = float("inf")
     for dive in range(dives):
-        counts = {k: n for k, n in histogram.items() if n > 0}
+        counts = dict(histogram)
         lengths = sorted(counts)
         steps: list[Step] = []
         bins = waste = turn = 0
@@ -286,6 +376,7 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, width: in
             items = (first, *rest)
             uses = Counter(items)
             most = min(counts[k] // u for k, u in uses.items())
+            # Half of what the counts allow, so that lengths stay mixed.
             times = max(1, (most + 1) // 2)
             for k, u in uses.items():
                 counts[k] -= u * times

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm import language, pii
 from lamina.llm.decontamination import BenchmarkIndex, contaminated, drop_contaminated
-from lamina.llm.packing import pack_documents, word_tokenizer
+from lamina.llm.packing import TextTokenizer, pack_documents
 from lamina.llm.queries import _url_rules, tokenizer_path
 from lamina.llm.secret_scan import coverage, find_secrets, places
 from lamina.llm.urls import Rule, filter_urls
@@ -90,7 +90,7 @@ def test_packing(spark):
     rows = fx.corpus()
     docs = fx.frame(spark, rows, repeat=2)
     out = pack_documents(docs, tokenizer_path(), capacity=256).collect()
-    tokenizer = word_tokenizer(tokenizer_path()).tokenizer
+    tokenizer = TextTokenizer(tokenizer_path()).tokenizer
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows}
     copies = Counter([i for i, _ in rows] + [i for i, _ in rows[:2]])
     for i, tokens in ids.items():

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 
 from lamina.llm import jaccard, packing, suffixes, words
 from lamina.llm.packed import KeyFilter, bucket_of, buckets_for, runs
+from lamina.llm.queries import tokenizer_path
 from tests.llm.fixtures import edited, sentence, shingle_set, words_of
 
 
@@ -120,3 +122,67 @@ def test_only_the_first_piece_is_short(n):
     pieces = packing.cut(n)
     assert sum(k for _, k in pieces) == n and all(k == 2048 for _, k in pieces[1:])
     assert [s for s, _ in pieces] == [sum(k for _, k in pieces[:i]) for i in range(len(pieces))]
+
+
+def held(steps, capacity=2048):
+    """Documents of each length in the packing, and its bins."""
+    assert all(sum(s.items) <= capacity and s.times > 0 for s in steps)
+    lengths: Counter = Counter()
+    for s in steps:
+        for k in s.items:
+            lengths[k] += s.times
+    return dict(lengths), sum(s.times for s in steps)
+
+
+def fewest_bins(items, capacity):
+    best = len(items)
+
+    def go(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(items):
+            best = len(bins)
+            return
+        for room in sorted({r for r in bins if r >= items[i]}):
+            k = bins.index(room)
+            go(i + 1, [*bins[:k], room - items[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, capacity - items[i]])
+
+    items = sorted(items, reverse=True)
+    go(0, [])
+    return best
+
+
+def test_branches_find_what_descents_miss():
+    histogram = {700: 3000, 690: 500, 660: 700, 1400: 900, 1300: 300}
+    assert held(packing.complete_bins(histogram, nodes=0)) == (histogram, 2975)
+    assert held(packing.complete_bins(histogram)) == (histogram, 2913)
+    assert packing.lower_bound(histogram) <= 2913
+
+
+def test_small_packings_are_exact():
+    rng = random.Random(1)
+    for _ in range(150):
+        capacity = rng.choice([10, 20, 37, 100])
+        items = [rng.randrange(1, capacity + 1) if rng.random() < 0.5 else rng.randrange(max(1, capacity // 5), max(2, capacity // 2)) for _ in range(rng.randrange(1, 12))]
+        lengths, bins = held(packing.complete_bins(dict(Counter(items)), capacity), capacity)
+        least = fewest_bins(items, capacity)
+        assert lengths == dict(Counter(items)) and packing.lower_bound(lengths, capacity) <= least == bins, items
+
+
+def test_lower_bound_of_nothing_and_of_large_items():
+    assert packing.lower_bound({}) == 0 and packing.complete_bins({}) == []
+    assert packing.lower_bound({1400: 900, 1300: 300}) == 1200
+
+
+def test_ranks_give_the_ids_of_the_tokenizer(spark):
+    tokenizer = packing.TextTokenizer(tokenizer_path())
+    assert tokenizer.ranks is not None
+    texts = [r[0] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    rng = random.Random(5)
+    texts += ["".join(chr(rng.choice([rng.randrange(0x250), rng.randrange(128), 32, 10, 39, 115])) for _ in range(30)) for _ in range(2000)]
+    texts += ["", " ", "a <|endoftext|> b", "x" * 5000, " " * 5000, "中文 ok", "it's 3'll\u00a0\u0085x"]
+    for text, ids in zip(texts, tokenizer.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.tokenizer.encode(text, add_special_tokens=False).ids, text[:50]
+    assert list(np.frombuffer(next(tokenizer.encode(["<|endoftext|>"])), "<u4")) == [50256]
