@@ -11,7 +11,7 @@ from lamina.functions.text import record_hash
 from lamina.operators.cleaning import drop_lineage
 from lamina.operators.lineage import add_lineage, hashed_columns, lineage_report, with_ingestion_date
 from lamina.session import work_dir
-from lamina.sources import landing, tables
+from lamina.sources import inference, landing, tables
 from lamina.sources.startables import READERS, read_entity
 from lamina.streaming.files import ingest, stream_landing
 
@@ -123,6 +123,45 @@ def _(spark, sf):
     return landing.scan_csv(spark, _two_orders(spark, sf), ENTITIES["doctors"]).drop("_rescued_data", "_source_file")
 
 
+def _widening_loads(spark, sf):
+    """Claims in three loads whose undeclared column holds small numbers, then large ones, then amounts."""
+    spec, claims = ENTITIES["insurance_claims"], read_entity(spark, sf, "insurance_claims")
+    folder, checkpoint, bronze = work_dir(spark, "widening"), work_dir(spark, "checkpoint"), work_dir(spark, "bronze")
+    types = f"{checkpoint}-types"
+    month = F.month(F.col("ClaimDate").cast("date"))
+    forms = (F.length("ClaimID").cast("string"), F.lit("3000000000"), F.col("ClaimAmount").cast("decimal(18,2)").cast("string"))
+    for k, form in enumerate(forms):
+        load = claims.where(F.pmod(month, F.lit(3)) == k).withColumn("Extra", form)
+        load.write.mode("append").options(header="true", **PADDED).csv(folder)
+        ingest(spark, folder, spec, bronze, checkpoint, f"{LOAD}{k}", lambda: AS_OF_TIME, types=types).awaitTermination()
+    return spark.read.option("mergeSchema", "true").parquet(bronze), types
+
+
+@query(
+    "s03_widening_column",
+    """SELECT ClaimID, CAST(CASE month(CAST(ClaimDate AS DATE)) % 3 WHEN 0 THEN length(ClaimID) WHEN 1 THEN 3000000000
+                             ELSE CAST(ClaimAmount AS DECIMAL(18,2)) END AS DOUBLE) AS Extra FROM raw_insurance_claims WHERE ClaimDate IS NOT NULL""",
+)
+def _(spark, sf):
+    """An undeclared column that widens twice, read under the type that all its loads fit."""
+    stored, types = _widening_loads(spark, sf)
+    rows = inference.apply_types(stored, inference.noted(spark, types)[1])
+    if not dict(rows.dtypes)["Extra"].startswith("decimal"):
+        raise RuntimeError(f"Extra was read as {dict(rows.dtypes)['Extra']}")
+    return rows.select("ClaimID", "Extra")
+
+
+@query(
+    "s03_type_history",
+    """SELECT 1 AS version, 'Extra' AS "column", 'int' AS type UNION ALL SELECT 2, 'Extra', 'bigint'
+       UNION ALL SELECT 3, 'Extra', 'decimal(' || CAST(greatest(10, max(length(CAST(CAST(trunc(ClaimAmount) AS BIGINT) AS VARCHAR)))) + 2 AS VARCHAR) || ',2)'
+       FROM raw_insurance_claims WHERE month(CAST(ClaimDate AS DATE)) % 3 = 2""",
+)
+def _(spark, sf):
+    _, types = _widening_loads(spark, sf)
+    return inference.type_history(spark, types).drop("noted_by")
+
+
 @query("s08_stream_new_column", "SELECT *, NULL AS Pager FROM raw_doctors UNION ALL SELECT *, 'P' || DoctorID FROM raw_doctors")
 def _(spark, sf):
     """Files that come later have a column more; the stream goes on from its checkpoint."""

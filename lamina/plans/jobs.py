@@ -28,6 +28,7 @@ from lamina.operators.lineage import add_lineage, batch_id, lineage_report
 from lamina.operators.merge import check_source, merge_changed
 from lamina.plans import marts, suites, views
 from lamina.session import path_exists
+from lamina.sources import inference
 from lamina.sources.landing import rescued_rows, scan, split_bad_records
 from lamina.sources.snapshots import (
     commits,
@@ -39,7 +40,7 @@ from lamina.sources.snapshots import (
     write_snapshot,
 )
 from lamina.sources.tables import register_layer
-from lamina.streaming.files import ingest, write_batch
+from lamina.streaming.files import ingest, write_typed
 
 # The marts that are clustered, and by what.
 MART_CLUSTERING = {
@@ -150,8 +151,12 @@ def _note_schema(lake: Lake, name: str, batch: DataFrame) -> None:
 
 
 def read_bronze(spark: SparkSession, lake: Lake, name: str, since: dt.date | None = None) -> DataFrame:
-    """Bronze rows, all of them or those ingested from a day on; other days are not read."""
+    """Bronze rows, all of them or those ingested from a day on; other days are not read.
+
+    Columns that the contract does not declare have the type that all loads together ask for.
+    """
     rows = spark.read.schema(_bronze_schema(spark, lake, name)).parquet(lake.path("bronze", name))
+    rows = inference.apply_types(rows, inference.noted(spark, lake.path("ops/bronze_types", name))[1])
     return rows.where(F.col(INGESTION_DATE) >= F.lit(since)) if since else rows
 
 
@@ -165,7 +170,7 @@ def _bring_in(
         checkpoint = lake.path("checkpoints", name)
         stream = ingest(
             spark, landing, spec, target, checkpoint, run.run_id, lambda: run.at, fmt, bad_target=bad_target, counts=seen,
-            note=lambda df: _note_schema(lake, name, df), **options,
+            note=lambda df: _note_schema(lake, name, df), types=lake.path("ops/bronze_types", name), **options,
         )
         stream.awaitTermination()
         return
@@ -176,7 +181,7 @@ def _bring_in(
         stamped, broken = split_bad_records(stamped)
         bad = write_counted(broken, f"{bad_target}/{BATCH_ID}={batch}")
     _note_schema(lake, name, stamped)
-    seen["inserted"] = write_batch(stamped, target, batch)
+    seen["inserted"] = write_typed(stamped, target, batch, spec, lake.path("ops/bronze_types", name))
     seen["read"] = seen["inserted"] + bad
 
 

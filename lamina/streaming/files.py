@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lamina.contracts import BATCH_ID, INGESTION_DATE, RESCUED, Entity
+from lamina.contracts import BATCH_ID, INGESTION_DATE, LINEAGE, RESCUED, Entity
 from lamina.operators.lineage import add_lineage, batch_id
 from lamina.operators.monitoring import counting
+from lamina.sources import inference
 from lamina.sources.landing import csv_options, json_elements, located, records, scan, split_bad_records, typed_json
 
 # How much one trigger takes, and how often a continuous one fires.
@@ -29,13 +30,15 @@ def stream_landing(
     fmt: str = "csv",
     files_per_trigger: int = FILES_PER_TRIGGER,
     multi_line: bool | None = None,
+    types: str | None = None,
 ) -> DataFrame:
     """Landing files, present and future, as a streaming frame with their names.
 
     The CSV files already there give the column order; a file that later departs
     from it fails the batch rather than shifting values between columns.  ``ingest`` takes files of any header.
     JSON files may each have their form and are read whole, unless ``multi_line`` is false: then
-    all have a value a line.
+    all have a value a line.  Columns of CSV files that ``spec`` does not declare have the types noted at ``types``
+    when the stream starts, else they are text.
     """
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
     if fmt == "csv":
@@ -50,7 +53,7 @@ def stream_landing(
     else:
         raise ValueError(f"unsupported landing format {fmt!r}")
     raw = reader.schema(f"{declared}, `{RESCUED}` string").format(fmt).load(path)
-    return located(raw)
+    return inference.apply_types(located(raw), inference.noted(spark, types)[1] if types else {})
 
 
 def stream_file_names(spark: SparkSession, path: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
@@ -67,6 +70,17 @@ def write_batch(df: DataFrame, target: str, batch: str) -> int:
     return seen.get.get("rows") or 0
 
 
+def write_typed(df: DataFrame, target: str, batch: str, spec: Entity, types: str | None) -> int:
+    """``write_batch``; with ``types`` what undeclared columns hold is noted there, seen in the same pass."""
+    extra = [c for c in df.columns if c not in spec.columns and c not in LINEAGE]
+    if types is None or not extra:
+        return write_batch(df, target, batch)
+    df, watch = inference.watching(df, extra)
+    written = write_batch(df, target, batch)
+    inference.note(df.sparkSession, types, inference.watched(watch, extra), batch)
+    return written
+
+
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
     """The id that a stream keeps in its checkpoint; a new checkpoint means a new id."""
     return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
@@ -86,6 +100,7 @@ def ingest(
     bad_target: str | None = None,
     counts: dict[str, int] | None = None,
     note: Callable[[DataFrame], None] | None = None,
+    types: str | None = None,
     **options: object,
 ) -> StreamingQuery:
     """Start appending new landing files to a bronze table.
@@ -95,7 +110,8 @@ def ingest(
     stream's id from its checkpoint and a number, so a batch that is replayed after a failure overwrites what
     it wrote before, and a stream with a new checkpoint, or another stream into the same table,
     never does.  With ``bad_target`` rows that do not fit the schema go there instead.  ``counts`` gets the rows
-    ``read`` and ``inserted`` added; ``note`` is called with each batch before it is written.
+    ``read`` and ``inserted`` added; ``note`` is called with each batch before it is written.  ``types`` is where
+    the types of undeclared columns are kept (see ``inference``).
     """
 
     def handle(batch: DataFrame, number: int) -> None:
@@ -108,10 +124,10 @@ def ingest(
         if note is not None:
             note(stamped)
         if bad_target is None:
-            written = write_batch(stamped, target, name)
+            written = write_typed(stamped, target, name, spec, types)
         else:
             good, bad = split_bad_records(stamped)
-            written = write_batch(good, target, name)
+            written = write_typed(good, target, name, spec, types)
             counted, seen = counting(bad)
             counted.write.mode("overwrite").parquet(f"{bad_target}/{BATCH_ID}={name}")
             bad_rows = seen.get.get("rows") or 0
