@@ -197,8 +197,8 @@ def _(spark, sf):
 
 @query("d11_scd2_changelog_chunked", f"SELECT {_LOG_COLUMNS} FROM versions", versions=_LOG)
 def _(spark, sf):
-    """Same history with the timeline cut so that no task holds more than a few rows of a key."""
-    return from_log(spark, sf, max_rows=16)
+    """Same history with the log cut into ranges so that no window holds more than some rows of a key."""
+    return from_log(spark, sf, max_rows=60)
 
 
 _MOMENT = dt.datetime(2024, 1, 15, 12)

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from lamina.contracts import CURRENT, END, HISTORY, START, VERSION
 from lamina.functions.times import moment
 from lamina.operators.merge import as_list, check_source, differs, not_older
+from lamina.session import stored
 
 # Texts that count as "current" besides a true boolean.
 TRUE_TEXTS = ("true", "True", "1", "yes", "Y")
-CHUNK_UNITS = ("year", "month", "day", "hour", "minute", "second")
 
 
 def is_current(column: str = CURRENT) -> Column:
@@ -147,68 +147,118 @@ def apply_history(
     )
 
 
-def chunk_unit(log: DataFrame, keys: Sequence[str], at: str, max_rows: int) -> str:
-    """Coarsest calendar unit in which no key has more than ``max_rows`` changes."""
-    for unit in CHUNK_UNITS[:-1]:
-        counts = log.groupBy(*keys, F.date_trunc(unit, at)).count()
-        if (counts.agg(F.max("count")).first()[0] or 0) <= max_rows:
-            return unit
-    return CHUNK_UNITS[-1]
+#: Times a log is dealt into twice as many ranges where a key still has too many rows in one.
+RANGE_TRIES = 4
 
 
-def history_from_log(
-    log: DataFrame,
-    keys: str | Sequence[str],
-    tracked: Sequence[str],
-    at: str,
-    sequence: str,
-    max_rows: int = 5_000_000,
-    unit: str | None = None,
-) -> DataFrame:
-    """History of a change log holding many changes per key.
+def in_ranges(log: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int) -> DataFrame:
+    """The stored log with ``_chunk``: numbers of ranges in the order of keys and ``order``.
 
-    A window over a key would put all its changes into one task.  The timeline is
-    cut into calendar chunks instead, the coarsest that keep a key's chunk within
-    ``max_rows``; windows run inside (key, chunk), and one summary row per chunk
-    carries the last state, version count and next start across its border.
+    Spark samples where ranges end, so each holds about as many rows as another, whatever share of the log one key has.
+    Ranges are made narrower until no key has more than ``max_rows`` rows in one, unless these are
+    equal in all of ``order``.
     """
-    keys = as_list(keys)
-    unit = unit or chunk_unit(log, keys, at, max_rows)
-    part = [*keys, "_chunk"]
-    inside = Window.partitionBy(*part).orderBy(at, sequence)
-    across = Window.partitionBy(*keys).orderBy("_chunk")
+    parts = 2 * -(-log.count() // max_rows)
+    for _ in range(RANGE_TRIES):
+        ranges = log.repartitionByRange(max(1, parts), *keys, *order).withColumn("_chunk", F.spark_partition_id())
+        ranges = stored(ranges, "log-ranges")
+        if (ranges.groupBy(*keys, "_chunk").count().agg(F.max("count")).first()[0] or 0) <= max_rows:
+            break
+        parts *= 2
+    return ranges
 
-    # Drop rows equal to the one before them; the first of a chunk stays for now.
-    steps = log.select(
-        *keys, at, sequence, F.struct(*tracked).alias("_state"), F.date_trunc(unit, at).alias("_chunk")
-    ).withColumns({"_prior": F.lag("_state").over(inside), "_n": F.row_number().over(inside)})
-    moved = steps.where((F.col("_n") == 1) | ~F.col("_state").eqNullSafe(F.col("_prior")))
 
-    # The first of a chunk is a change unless the chunk before ended in its state.
-    ends = moved.groupBy(*part).agg(F.max_by("_state", F.struct(at, sequence)).alias("_last"))
-    ends = ends.withColumns(
-        {"_before": F.lag("_last").over(across), "_leads": F.row_number().over(across) == 1}
-    ).drop("_last")
-    real = moved.join(ends, part).where(
-        (F.col("_n") > 1) | F.col("_leads") | ~F.col("_state").eqNullSafe(F.col("_before"))
-    )
+def _opens(first: Column, prior: Column) -> Column:
+    """Whether the first state of a stretch is a change after the state before it; there may be none."""
+    return prior.isNull() | ~first.eqNullSafe(prior)
+
 
-    # Number versions and find where each ends, again with one summary row per chunk.
-    spans = real.groupBy(*part).agg(F.count("*").alias("_size"), F.min(at).alias("_opens"))
-    spans = spans.select(
-        *part,
-        F.coalesce(F.sum("_size").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
-        F.lead("_opens").over(across).alias("_next"),
+def settled(nodes: DataFrame, keys: Sequence[str], fan: int) -> DataFrame:
+    """For stretches of a key's timeline, what stands around each: (keys, _chunk, _before, _offset, _next).
+
+    ``nodes`` sum up a stretch: ``_first`` and ``_last`` state, ``_at`` of the first, ``_n`` changes inside and ``_change`` time of
+    the first of these.  Two stretches that follow each other sum up to one of the same form, in any grouping.  So
+    ``fan`` of them at a time become one of a level above, up to one per key; on the way back each learns the
+    state before it, how many versions came before and when the next one starts.  No window holds more
+    than ``fan`` rows of a key.
+    """
+    most = nodes.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    top = most <= fan
+    if not top:
+        nodes = nodes.withColumn("_group", F.floor(F.col("_chunk") / fan).cast("int"))
+    group = [*keys] if top else [*keys, "_group"]
+    order = Window.partitionBy(*group).orderBy("_chunk")
+    upto, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    prior = F.lag("_last").over(order)
+    if top:
+        nodes = nodes.withColumns({"_outer": F.lit(None).cast(nodes.schema["_last"].dataType), "_passed": F.lit(0).cast("long"), "_then": F.lit(None).cast(nodes.schema["_at"].dataType)})
+    else:
+        within = nodes.withColumn("_prior", prior)
+        opens = F.col("_prior").isNotNull() & ~F.col("_first").eqNullSafe(F.col("_prior"))
+        change = F.when(opens, F.col("_at")).otherwise(F.col("_change"))
+        above = within.groupBy(*group).agg(
+            F.min_by("_first", "_chunk").alias("_first"),
+            F.min_by("_at", "_chunk").alias("_at"),
+            F.max_by("_last", "_chunk").alias("_last"),
+            F.sum(F.col("_n") + opens.cast("long")).alias("_n"),
+            F.min_by(change, F.when(change.isNotNull(), F.col("_chunk"))).alias("_change"),
+        )
+        above = stored(above.withColumnRenamed("_group", "_chunk"), "log-level")
+        outer = settled(above, keys, fan)
+        outer = outer.select(*keys, F.col("_chunk").alias("_group"), F.col("_before").alias("_outer"), F.col("_offset").alias("_passed"), F.col("_next").alias("_then"))
+        nodes = nodes.join(outer, group)
+    nodes = nodes.withColumn("_before", F.coalesce(prior, F.col("_outer")))
+    opens = _opens(F.col("_first"), F.col("_before"))
+    nodes = nodes.withColumns({"_real": F.col("_n") + opens.cast("long"), "_from": F.when(opens, F.col("_at")).otherwise(F.col("_change"))})
+    return nodes.select(
+        *keys,
+        "_chunk",
+        "_before",
+        (F.col("_passed") + F.coalesce(F.sum("_real").over(upto), F.lit(0))).alias("_offset"),
+        F.coalesce(F.first("_from", ignorenulls=True).over(after), F.col("_then")).alias("_next"),
     )
-    numbered = real.withColumns({"_rank": F.row_number().over(inside), "_until": F.lead(at).over(inside)})
-    end = F.coalesce("_until", "_next")
-    return numbered.join(spans, part).select(
+
+
+def history_from_log(log: DataFrame, keys: str | Sequence[str], tracked: Sequence[str], at: str, sequence: str, max_rows: int = 5_000_000) -> DataFrame:
+    """History of a change log holding many changes per key; rows without a key are left out.
+
+    A window over a key would put all its changes into one task.  Where a key has more than ``max_rows``, the log is cut
+    into ranges of about equal size, in which windows run, and what stands around each range comes from
+    summaries merged level by level (``settled``).  Keys with few changes are not cut finer for it.
+    """
+    keys = as_list(keys)
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    steps = log.where(known).select(*keys, at, sequence, F.struct(*tracked).alias("_state"))
+    cut = (steps.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > max_rows
+    steps = in_ranges(steps, keys, [at, sequence], max_rows) if cut else steps
+    part = [*keys, "_chunk"] if cut else keys
+    inside = Window.partitionBy(*part).orderBy(at, sequence)
+    # Drop rows equal to the one before them; the first of a range stays for now.
+    steps = steps.withColumns({"_prior": F.lag("_state").over(inside), "_n": F.row_number().over(inside)})
+    moved = steps.where((F.col("_n") == 1) | ~F.col("_state").eqNullSafe(F.col("_prior")))
+    offset, following = F.lit(0), F.lit(None).cast(log.schema[at].dataType)
+    if cut:
+        moved = stored(moved.drop("_prior"), "log-changes")
+        first, later = F.col("_n") == 1, F.col("_n") > 1
+        nodes = moved.groupBy(*part).agg(
+            F.max_by("_state", F.when(first, F.lit(1))).alias("_first"),
+            F.max(F.when(first, F.col(at))).alias("_at"),
+            F.max_by("_state", F.struct(at, sequence)).alias("_last"),
+            F.count_if(later).alias("_n"),
+            F.min(F.when(later, F.col(at))).alias("_change"),
+        )
+        around = stored(settled(stored(nodes, "log-summaries"), keys, max(2, max_rows)), "log-borders")
+        moved = moved.join(around, part).where((F.col("_n") > 1) | _opens(F.col("_state"), F.col("_before")))
+        offset, following = F.col("_offset"), F.col("_next")
+    numbered = moved.withColumns({"_rank": F.row_number().over(inside), "_until": F.lead(at).over(inside)})
+    end = F.coalesce("_until", following)
+    return numbered.select(
         *keys,
         "_state.*",
         F.col(at).alias(START),
         end.alias(END),
         end.isNull().alias(CURRENT),
-        (F.col("_offset") + F.col("_rank")).cast("int").alias(VERSION),
+        (offset + F.col("_rank")).cast("int").alias(VERSION),
     )
 
 

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -143,11 +145,11 @@ changes = st.lists(st.tuples(st.sampled_from("ab"), st.sampled_from("xyz"), st.i
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(log=changes, unit=st.sampled_from(["year", "day", "hour"]))
-def test_chunked_log_equals_brute_force(spark, log, unit):
+@given(log=changes, most=st.sampled_from([1000, 3, 2]))
+def test_chunked_log_equals_brute_force(spark, log, most):
     rows = [(k, v, T0 + dt.timedelta(hours=7 * t), i) for i, (k, v, t) in enumerate(log)]
     df = spark.createDataFrame(rows, "id string, val string, at timestamp, seq int")
-    got = sorted(tuple(r) for r in h.history_from_log(df, "id", ["val"], "at", "seq", unit=unit).select(
+    got = sorted(tuple(r) for r in h.history_from_log(df, "id", ["val"], "at", "seq", max_rows=most).select(
         "id", "val", "EffectiveStartDate", F.coalesce("EffectiveEndDate", F.lit(dt.datetime(9999, 1, 1))), "VersionNumber").collect())
     want = []
     for key in {r[0] for r in rows}:
@@ -170,11 +172,22 @@ def test_log_replayed_load_by_load_gives_the_same_history(spark):
     assert sorted(map(repr, state.select(*direct.columns).collect())) == sorted(map(repr, direct.collect()))
 
 
-def test_chunk_unit_gets_finer_with_more_changes_per_key(spark):
-    df = spark.range(400).select(F.lit("hot").alias("id"), F.timestamp_seconds(F.col("id") * 3600 + 1704067200).alias("at"))
-    assert h.chunk_unit(df, ["id"], "at", 1000) == "year"
-    assert h.chunk_unit(df, ["id"], "at", 30) == "day"
-    assert h.chunk_unit(df, ["id"], "at", 1) == "hour"
+def test_one_key_with_most_of_a_log(spark):
+    """No window holds more than ``max_rows`` rows of any key, and the summaries are merged over several levels."""
+    rng = random.Random(4)
+    rows = [("hot" if i % 10 else f"cold{i % 70}", rng.choice("ab"), i) for i in range(2000)]
+    df = spark.createDataFrame([(k, v, day(0) + dt.timedelta(seconds=n // 3), n) for k, v, n in rows], "id string, val string, at timestamp, seq int")
+    placed = h.in_ranges(df, ["id"], ["at", "seq"], 9)
+    per_task = placed.groupBy("id", "_chunk").count()
+    assert per_task.agg(F.max("count")).first()[0] <= 9 and per_task.where("id = 'hot'").count() > 9 * 9
+    direct, cut = (sorted(map(repr, h.history_from_log(df, "id", ["val"], "at", "seq", n).collect())) for n in (5000, 9))
+    assert direct == cut and len(direct) > 800
+    bounded = [w for w in re.findall(r"windowspecdefinition\(([^)]*)\)", plan_of(h.history_from_log(df, "id", ["val"], "at", "seq", 9)))]
+    assert bounded and all("_chunk" in w for w in bounded)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().analyzed().toString()
 
 
 def test_valid_at_and_changes_between(spark):
