@@ -30,9 +30,6 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Beyond these letters the libraries' tables of letters and digits may be of different age.
 _BEYOND = re.compile("[^\x00-\u024f]")
-#: Longest stretch without a break that is merged by rank; others go to the tokenizer itself.
-LONGEST_PIECE = 400
-_LONG_BLANK = re.compile(rf"\s{{{LONGEST_PIECE}}}")
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -67,8 +64,8 @@ def rank_encoding(path: str):
 class TextTokenizer:
     """Token ids of whole texts, as little-endian 32-bit bytes, by the tokenizer file at ``path``.
 
-    Texts of Latin letters without very long words and without added tokens are merged by rank; all others go to
-    the tokenizer.  Both give the same ids.  Nothing is remembered from text to text.
+    Texts of Latin letters without added tokens are merged by rank; all others go to the tokenizer.  Both give the
+    same ids.  Nothing is remembered from text to text.
     """
 
     def __init__(self, path: str):
@@ -81,14 +78,12 @@ class TextTokenizer:
         self.added = re.compile("|".join(added)) if added else None
 
     def _ranked(self, text: str) -> bool:
-        if not text.isascii() and _BEYOND.search(text) or self.added and self.added.search(text):
-            return False
-        return max(map(len, text.split()), default=0) < LONGEST_PIECE and not _LONG_BLANK.search(text)
+        return (text.isascii() or not _BEYOND.search(text)) and not (self.added and self.added.search(text))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             if self.ranks is not None and self._ranked(text):
-                yield np.asarray(self.ranks.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
+                yield np.array(self.ranks.encode_ordinary(text), "<u4").tobytes()
             else:
                 yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
