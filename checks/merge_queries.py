@@ -17,6 +17,7 @@ from lamina.operators import history as h
 from lamina.operators import layout
 from lamina.operators.joins import broadcast_join
 from lamina.operators.merge import merge, merge_changed
+from lamina.operators.quality import ConstraintViolated
 from lamina.session import work_dir
 from lamina.sources import snapshots
 from lamina.sources.startables import customer_state, read_entity, status_changes
@@ -264,6 +265,81 @@ def _(spark, sf):
     return h.changes_between(*loads(spark, sf), KEY)
 
 
+_IMAGE = f"CustomerID, OrderID, Status, CAST(Amount AS DOUBLE) AS Amount, {ts('OrderedAt')} AS OrderedAt"
+_THREE = {
+    **LOADS,
+    "v2": """SELECT coalesce(s.CustomerID, t.CustomerID) AS CustomerID, coalesce(s.OrderID, t.OrderID) AS OrderID, coalesce(s.Status, t.Status) AS Status,
+                  CASE WHEN s.CustomerID IS NULL THEN t.Amount ELSE s.Amount END AS Amount, coalesce(s.OrderedAt, t.OrderedAt) AS OrderedAt
+           FROM t FULL JOIN s ON t.CustomerID = s.CustomerID WHERE s.CustomerID IS NULL OR t.CustomerID IS NULL OR t.Status IS DISTINCT FROM s.Status
+           UNION ALL SELECT t.* FROM t JOIN s ON t.CustomerID = s.CustomerID WHERE t.Status IS NOT DISTINCT FROM s.Status""",
+}
+
+
+def three_loads(spark, sf, base):
+    """A table loaded, merged with later orders, and merged with a third of itself anew: every fifth order voided, the P ones deleted."""
+    first, second = loads(spark, sf)
+    snapshots.write_snapshot(merge(None, first, KEY, images=True).actions, base, FIRST_LOAD, "merge")
+    held = snapshots.read_snapshot(spark, base)
+    snapshots.write_snapshot(merge_changed(held, second, KEY, TRACKED, images=True).actions, base, SECOND_LOAD, "merge")
+    held = snapshots.read_snapshot(spark, base)
+    third = held.where("OrderID % 3 = 0").withColumn("Status", F.when(F.col("OrderID") % 5 == 0, F.lit("V")).otherwise(F.col("Status")))
+    done = merge(held, third, KEY, delete_when="t.Status = 'P'", update_when="t.Status <> s.Status", images=True)
+    snapshots.write_snapshot(done.actions, base, SECOND_LOAD + dt.timedelta(days=1), "merge")
+
+
+@query(
+    "d14_feed_of_three_loads",
+    f"""SELECT {_IMAGE}, 'insert' AS _change_type, 1 AS _commit_version FROM t
+        UNION ALL SELECT {_IMAGE}, 'insert', 2 FROM s WHERE CustomerID NOT IN (SELECT CustomerID FROM t)
+        UNION ALL SELECT {_IMAGE}, 'update_preimage', 2 FROM t WHERE EXISTS (SELECT 1 FROM s WHERE s.CustomerID = t.CustomerID AND s.Status IS DISTINCT FROM t.Status)
+        UNION ALL SELECT {_IMAGE}, 'update_postimage', 2 FROM s WHERE EXISTS (SELECT 1 FROM t WHERE s.CustomerID = t.CustomerID AND s.Status IS DISTINCT FROM t.Status)
+        UNION ALL SELECT {_IMAGE}, 'delete', 3 FROM v2 WHERE OrderID % 3 = 0 AND Status = 'P'
+        UNION ALL SELECT {_IMAGE}, 'update_preimage', 3 FROM v2 WHERE OrderID % 15 = 0 AND Status <> 'P'
+        UNION ALL SELECT {_IMAGE}, 'update_postimage', 3 FROM (SELECT * REPLACE ('V' AS Status) FROM v2 WHERE OrderID % 15 = 0 AND Status <> 'P')""",
+    **_THREE,
+)
+def _(spark, sf):
+    """What three loads changed, as the loads themselves stored it."""
+    base = work_dir(spark, "feed")
+    three_loads(spark, sf, base)
+    return snapshots.read_changes(spark, base, 1).drop("_commit_timestamp")
+
+
+@query(
+    "d14_snapshot_beside_its_feed",
+    f"""SELECT {_IMAGE} FROM (SELECT * REPLACE (CASE WHEN OrderID % 15 = 0 THEN 'V' ELSE Status END AS Status) FROM v2 WHERE NOT (OrderID % 3 = 0 AND Status = 'P'))""",
+    **_THREE,
+)
+def _(spark, sf):
+    base = work_dir(spark, "feed")
+    three_loads(spark, sf, base)
+    return snapshots.read_snapshot(spark, base)
+
+
+@query(
+    "d16_write_refused",
+    f"""SELECT {_COLUMNS}, (SELECT 'amount_bound: ' || count(*) || ' rows; unique_CustomerID: ' || 2 * count(*) || ' rows'
+                            FROM s WHERE Status = 'F' AND Amount > 100) AS Refused FROM t""",
+    **LOADS,
+)
+def _(spark, sf):
+    """A load that breaks the table's constraints is refused and the old version stays; a clean one goes in after it."""
+    base, (first, second) = work_dir(spark, "constrained"), loads(spark, sf)
+    snapshots.write_snapshot(first, base, FIRST_LOAD)
+    snapshots.add_constraints(spark, base, {"amount_bound": "Amount IS NULL OR Amount > -1"}, ["CustomerID"])
+    twice = second.where("Status = 'F' AND Amount > 100")
+    bad = second.unionByName(twice.withColumn("Amount", -F.col("Amount")))
+    try:
+        snapshots.write_snapshot(bad, base, SECOND_LOAD)
+    except ConstraintViolated as problem:
+        refused = str(problem)
+    left = stored(snapshots.read_snapshot(spark, base), "left").withColumn("Refused", F.lit(refused))
+    snapshots.write_snapshot(second, base, SECOND_LOAD)
+    if snapshots.last_version(spark, base) != 2:
+        raise RuntimeError("the clean load was not committed as version 2")
+    return left
+
+
 @query(
     "d15_cluster",
     f"""SELECT InvoiceID, PatientID, AppointmentID, CAST(TotalAmount AS DOUBLE) AS TotalAmount, PaymentStatus,

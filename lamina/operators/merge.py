@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lamina.operators.joins import fits_broadcast
 
 ACTION = "_action"
+BEFORE = "_before"
 
 
 class MergeKeyError(ValueError):
@@ -55,13 +56,16 @@ def not_older(column: str) -> Column:
 
 @dataclass(frozen=True)
 class MergeResult:
-    """Rows of both sides with the action taken: kept, inserted, updated or deleted."""
+    """Rows of both sides with the action taken: kept, inserted, updated or deleted.
+
+    With images an updated row has what it was before, as a struct.
+    """
 
     actions: DataFrame
 
     @property
     def snapshot(self) -> DataFrame:
-        return self.actions.where(F.col(ACTION) != "deleted").drop(ACTION)
+        return self.actions.where(F.col(ACTION) != "deleted").drop(ACTION, BEFORE)
 
     def counts(self) -> DataFrame:
         return self.actions.groupBy(F.col(ACTION).alias("Action")).agg(F.count("*").alias("Rows"))
@@ -101,18 +105,20 @@ def merge(
     update_when: Column | str | None = None,
     update_set: Mapping[str, str] | None = None,
     insert: bool = True,
+    images: bool = False,
 ) -> MergeResult:
     """Upsert ``source`` into ``target``.
 
     Conditions are SQL over the aliases ``t`` and ``s``.  A matched row is first
     tested for deletion, then for update; an update takes every source column, or
     only ``update_set`` (target column to SQL).  Columns the target lacks are
-    added.  A missing target yields the source.
+    added.  A missing target yields the source.  ``images`` adds the row before an update, for the change feed.
     """
     keys = as_list(keys)
     check_source(source, keys)
     if target is None:
-        return MergeResult(source.withColumn(ACTION, F.lit("inserted")))
+        fresh = source.withColumn(ACTION, F.lit("inserted"))
+        return MergeResult(fresh.withColumn(BEFORE, F.lit(None).cast(source.schema)) if images else fresh)
     pairs = _pairs(target, source, keys, match_also, fits_broadcast(source))
     both = F.col("t").isNotNull() & F.col("s").isNotNull()
     remove = F.expr(delete_when) if delete_when else F.lit(False)
@@ -127,7 +133,7 @@ def merge(
     acted = pairs.withColumn(ACTION, action)
     if not insert:
         acted = acted.where(F.col(ACTION) != "inserted")
-    columns = []
+    columns, earlier = [], []
     for name in [*target.columns, *[c for c in source.columns if c not in target.columns]]:
         held = F.col(f"t.`{name}`") if name in target.columns else F.lit(None)
         sent = F.col(f"s.`{name}`") if name in source.columns else F.lit(None)
@@ -137,7 +143,9 @@ def merge(
             updated = sent if name in source.columns else held
         value = F.when(F.col(ACTION) == "updated", updated).when(F.col(ACTION) == "inserted", sent).otherwise(held)
         columns.append(value.cast(kinds[name]).alias(name))
-    return MergeResult(acted.select(*columns, ACTION))
+        earlier.append(held.cast(kinds[name]).alias(name))
+    before = [F.when(F.col(ACTION) == "updated", F.struct(*earlier)).alias(BEFORE)] if images else []
+    return MergeResult(acted.select(*columns, ACTION, *before))
 
 
 def merge_changed(
@@ -146,6 +154,7 @@ def merge_changed(
     keys: str | Sequence[str],
     compared: Sequence[str] | None = None,
     newest_by: str | None = None,
+    images: bool = False,
 ) -> MergeResult:
     """Keep only the present state per key (type 1): update where a compared column differs.
 
@@ -157,5 +166,5 @@ def merge_changed(
         for name in added:  # a column new to the target counts as null before
             target = target.withColumn(name, F.lit(None).cast(source.schema[name].dataType))
         guard = not_older(newest_by) if newest_by else F.lit(True)
-        return merge(target, source, keys, update_when=differs(shared) & guard)
-    return merge(target, source, keys, update_when=not_older(newest_by) if newest_by and target is not None else None)
+        return merge(target, source, keys, update_when=differs(shared) & guard, images=images)
+    return merge(target, source, keys, update_when=not_older(newest_by) if newest_by and target is not None else None, images=images)

@@ -32,6 +32,7 @@ from lamina.sources import inference
 from lamina.sources.landing import rescued_rows, scan, split_bad_records
 from lamina.sources.snapshots import (
     commits,
+    keeps_feed,
     last_version,
     read_history,
     read_snapshot,
@@ -70,12 +71,13 @@ class Lake:
 
 @dataclass(frozen=True)
 class Run:
-    """What identifies one run: its id, the moment it works for, a clock, and parallelism."""
+    """What identifies one run: its id, the moment it works for, a clock, and parallelism; and whether silver keeps a change feed."""
 
     run_id: str
     at: dt.datetime
     clock: Clock = utc_now
     workers: int = 8
+    feed: bool = False
 
 
 class Ledger:
@@ -249,7 +251,7 @@ def _merge_in(spark: SparkSession, lake: Lake, run: Run, name: str, rows: DataFr
     """Bring cleaned rows into the silver table of an entity; returns the commit."""
     spec, base = ENTITIES[name], lake.path("silver", name)
     if name != HISTORY_ENTITY:
-        merged = merge_changed(read_snapshot(spark, base), rows, spec.key, spec.compared, spec.modified_by)
+        merged = merge_changed(read_snapshot(spark, base), rows, spec.key, spec.compared, spec.modified_by, images=run.feed)
         return write_snapshot(merged.actions, base, run.at, "scd1")
     check_source(rows, [spec.key])
     held = read_history(spark, base)
@@ -424,7 +426,8 @@ def monitoring_job(spark: SparkSession, lake: Lake, run: Run, maintenance: bool
 def register_all(spark: SparkSession, lake: Lake, databases: Mapping[str, str] | None = None) -> dict[str, str]:
     """Make every stored table readable by name, by layer; temporary views by default.
 
-    The patients' history spans many folders, so it is always a temporary view; so are the views over the marts.
+    The patients' history spans many folders, so it is always a temporary view; so are the views over the marts, and
+    silver tables that keep a change feed.
     Registering again after a later run shows what that run stored.
     """
     databases = databases or {}
@@ -435,11 +438,16 @@ def register_all(spark: SparkSession, lake: Lake, databases: Mapping[str, str] |
         "gold": [*MART_NAMES],
     }
     for layer, names in current.items():
-        paths = {}
+        paths, done = {}, {}
         for name in names:
-            version = last_version(spark, lake.path(layer, name))
-            paths[name] = f"{lake.path(layer, name)}/version={version}"
-        done = register_layer(spark, paths, databases.get(layer))
+            base = lake.path(layer, name)
+            version = last_version(spark, base)
+            if layer == "silver" and version and keeps_feed(spark, base, version):
+                read_snapshot(spark, base).createOrReplaceTempView(name)
+                done[name] = "SUCCESS"
+            else:
+                paths[name] = f"{base}/version={version}"
+        done |= register_layer(spark, paths, databases.get(layer))
         report |= {f"{layer}.{k}": v for k, v in done.items()}
     history = read_history(spark, lake.path("silver", HISTORY_ENTITY))
     if history is not None:
