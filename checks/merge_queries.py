@@ -9,14 +9,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.oracle_ctes import ts
+from checks.oracle_ctes import d, ts
 from checks.registry import query
 from checks.silver import silver, stored
 from lamina.contracts import ENTITIES
 from lamina.operators import history as h
 from lamina.operators import layout
 from lamina.operators.joins import broadcast_join
-from lamina.operators.merge import merge, merge_changed
+from lamina.operators.merge import merge, merge_between, merge_changed
 from lamina.operators.quality import ConstraintViolated
 from lamina.session import work_dir
 from lamina.sources import snapshots
@@ -89,6 +89,30 @@ def _(spark, sf):
     return merge(target, source, KEY, delete_when="s.Status = 'P' AND t.Status = 'P'").counts()
 
 
+_TARIFFS = """SELECT date_trunc('month', PaymentDate) AS FromDate, date_trunc('month', PaymentDate) + INTERVAL 1 MONTH AS ToDate,
+                     CAST(month(PaymentDate) AS VARCHAR) AS Tariff
+              FROM raw_billing WHERE PaymentDate IS NOT NULL AND month(PaymentDate) % 3 <> 0 GROUP BY 1, 2, 3
+              UNION ALL SELECT TIMESTAMP '2300-01-01', NULL, 'later' UNION ALL SELECT NULL, TIMESTAMP '1900-01-01', 'earlier'"""
+
+
+@query(
+    "d01_merge_validity_interval",
+    f"""SELECT InvoiceID, coalesce(PaymentStatus || '/' || Tariff, PaymentStatus) AS PaymentStatus, CAST(NULL AS VARCHAR) AS Tariff,
+               CAST(NULL AS VARCHAR) AS FromDate, CAST(NULL AS VARCHAR) AS ToDate
+        FROM raw_billing b LEFT JOIN tariffs f ON b.PaymentDate >= f.FromDate AND b.PaymentDate < f.ToDate
+        UNION ALL SELECT NULL, NULL, Tariff, {d('CAST(FromDate AS DATE)')}, {d('CAST(ToDate AS DATE)')} FROM tariffs WHERE Tariff IN ('later', 'earlier')""",
+    tariffs=_TARIFFS,
+)
+def _(spark, sf):
+    """Invoices take the tariff in whose months they fall; tariffs that no invoice falls in are added."""
+    bills = read_entity(spark, sf, "billing").select("InvoiceID", "PaymentStatus", F.col("PaymentDate").cast("date").alias("PaymentDate"))
+    month = F.trunc("PaymentDate", "month")
+    tariffs = bills.where(F.month("PaymentDate") % 3 != 0).select(month.alias("FromDate"), F.add_months(month, 1).alias("ToDate"), F.month("PaymentDate").cast("string").alias("Tariff")).distinct()
+    open_ends = spark.createDataFrame([(dt.date(2300, 1, 1), None, "later"), (None, dt.date(1900, 1, 1), "earlier")], tariffs.schema)
+    done = merge_between(bills, tariffs.unionByName(open_ends), "PaymentDate", "FromDate", "ToDate", update_set={"PaymentStatus": "concat(t.PaymentStatus, '/', s.Tariff)"})
+    return done.snapshot.drop("PaymentDate")
+
+
 _SCD1 = f"""SELECT CustomerID, {_side('t')} FROM pairs WHERE s_id IS NULL OR (t_id IS NOT NULL AND t_st IS NOT DISTINCT FROM s_st)
         UNION ALL SELECT CustomerID, {_side('s')} FROM pairs WHERE s_id IS NOT NULL AND (t_id IS NULL OR t_st IS DISTINCT FROM s_st)"""
 

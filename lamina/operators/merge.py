@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.operators.joins import fits_broadcast
+from lamina.session import stored
 
 ACTION = "_action"
 BEFORE = "_before"
@@ -120,6 +121,20 @@ def merge(
         fresh = source.withColumn(ACTION, F.lit("inserted"))
         return MergeResult(fresh.withColumn(BEFORE, F.lit(None).cast(source.schema)) if images else fresh)
     pairs = _pairs(target, source, keys, match_also, fits_broadcast(source))
+    return _resolved(pairs, target, source, delete_when, update_when, update_set, insert, images)
+
+
+def _resolved(
+    pairs: DataFrame,
+    target: DataFrame,
+    source: DataFrame,
+    delete_when: str | None,
+    update_when: Column | str | None,
+    update_set: Mapping[str, str] | None,
+    insert: bool,
+    images: bool,
+) -> MergeResult:
+    """What becomes of pairs ``(t, s)``, however they were matched."""
     both = F.col("t").isNotNull() & F.col("s").isNotNull()
     remove = F.expr(delete_when) if delete_when else F.lit(False)
     change = F.expr(update_when) if isinstance(update_when, str) else update_when
@@ -168,3 +183,82 @@ def merge_changed(
         guard = not_older(newest_by) if newest_by else F.lit(True)
         return merge(target, source, keys, update_when=differs(shared) & guard, images=images)
     return merge(target, source, keys, update_when=not_older(newest_by) if newest_by and target is not None else None, images=images)
+
+
+def _number(column: Column, kind: str) -> Column:
+    """A place on a line of doubles, in the order of the column's values."""
+    if kind.startswith("timestamp"):
+        column = F.unix_micros(column.cast("timestamp"))
+    elif kind == "date":
+        column = F.unix_date(column)
+    return column.cast("double")
+
+
+def _within(value: Column, low: Column, high: Column) -> Column:
+    return (low.isNull() | (value >= low)) & (high.isNull() | (value < high))
+
+
+def interval_hits(points: DataFrame, spans: DataFrame, point: str, low: str, high: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(_point, _span): ids of rows with ``low <= point < high`` and equal ``keys``; a null bound is open.
+
+    Points and spans have ids of these names and are stored.  A span belongs to the band whose width is the power of two above
+    its length, and lies in two of the band's buckets or three; a point lies in one bucket of every band there is.  So
+    both sides meet by equality, whatever the lengths, and rows within a bucket are checked.
+    """
+    kinds = dict(points.dtypes)
+    at = _number(F.col(f"`{point}`"), kinds[point])
+    least, most = points.agg(F.min(at), F.max(at)).first()
+    if least is None:
+        return points.select("_point", F.lit(None).cast("long").alias("_span")).limit(0)
+    bounds = dict(spans.dtypes)
+    start = F.coalesce(_number(F.col(f"`{low}`"), bounds[low]), F.lit(least))
+    end = F.coalesce(_number(F.col(f"`{high}`"), bounds[high]), F.lit(most + 1))
+    # Ends beyond all points make no buckets.
+    start, end = F.greatest(start, F.lit(least)), F.least(end, F.lit(most + 1))
+    banded = spans.select("*", start.alias("_start"), end.alias("_end")).where("_start < _end")
+    banded = banded.withColumn("_band", F.ceil(F.log2(F.col("_end") - F.col("_start"))).cast("int"))
+    bands = sorted(r[0] for r in banded.select("_band").distinct().collect())  # at most a few hundred powers of two
+    width = F.pow(F.lit(2.0), F.col("_band"))
+    buckets = F.sequence(F.floor(F.col("_start") / width), F.floor(F.col("_end") / width))
+    banded = banded.select("_span", *[F.col(f"`{k}`").alias(f"_s_{k}") for k in keys], F.col(f"`{low}`").alias("_low"), F.col(f"`{high}`").alias("_high"), "_band", F.explode(buckets).alias("_bucket"))
+    placed = points.where(at.isNotNull()).select("_point", *[F.col(f"`{k}`").alias(f"_p_{k}") for k in keys], F.col(f"`{point}`").alias("_value"), at.alias("_at"))
+    placed = placed.withColumn("_in", F.explode(F.array(*[F.lit(b) for b in bands]).cast("array<int>")))
+    placed = placed.withColumn("_place", F.floor(F.col("_at") / F.pow(F.lit(2.0), F.col("_in"))))
+    on = (F.col("_in") == F.col("_band")) & (F.col("_place") == F.col("_bucket")) & _within(F.col("_value"), F.col("_low"), F.col("_high"))
+    for k in keys:
+        on = on & (F.col(f"_p_{k}") == F.col(f"_s_{k}"))
+    return placed.join(banded, on).select("_point", "_span")
+
+
+def merge_between(
+    target: DataFrame,
+    source: DataFrame,
+    point: str,
+    low: str,
+    high: str,
+    keys: str | Sequence[str] = (),
+    *,
+    delete_when: str | None = None,
+    update_when: Column | str | None = None,
+    update_set: Mapping[str, str] | None = None,
+    insert: bool = True,
+    images: bool = False,
+) -> MergeResult:
+    """``merge`` where a target row matches the source row whose span ``[low, high)`` holds its ``point``.
+
+    Equality of ``keys`` may be asked for as well, but need not.  A source row may match many target rows; a target row that
+    matches several source rows is refused, as there is no single outcome.  Null points and empty spans match nothing; a
+    null bound is open.  Both sides are stored with row ids, and only ids, keys and bounds are matched.
+    """
+    keys = as_list(keys)
+    t = stored(_side(target, "t").withColumn("_point", F.monotonically_increasing_id()), "merge-target")
+    s = stored(_side(source, "s").withColumn("_span", F.monotonically_increasing_id()), "merge-source")
+    points = t.select("_point", F.col(f"t.`{point}`").alias(point), *[F.col(f"t.`{k}`").alias(k) for k in keys])
+    spans = s.select("_span", F.col(f"s.`{low}`").alias(low), F.col(f"s.`{high}`").alias(high), *[F.col(f"s.`{k}`").alias(k) for k in keys])
+    hits = stored(interval_hits(points, spans, point, low, high, keys), "merge-hits")
+    many = hits.groupBy("_point").count().where("count > 1").count()
+    if many:
+        raise MergeKeyError(f"{many} target rows are within several source spans")
+    matched = t.join(hits, "_point", "left").join(s, "_span", "left").select("t", "s")
+    fresh = s.join(hits.select("_span").distinct(), "_span", "left_anti").select(F.lit(None).cast(t.schema["t"].dataType).alias("t"), "s")
+    return _resolved(matched.unionByName(fresh), target, source, delete_when, update_when, update_set, insert, images)

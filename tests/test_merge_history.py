@@ -230,3 +230,36 @@ def test_history_table_reads_back_at_any_version(spark, folder):
     assert now == [("1", "A", 1, False), ("1", "A2", 2, False), ("1", "A3", 3, True), ("2", "B", 1, True), ("3", "C", 1, True)]
     before = sorted((r["id"], r["val"], r["IsCurrent"]) for r in read_history(spark, folder, version=2).collect())
     assert before == [("1", "A", False), ("1", "A2", True), ("2", "B", True), ("3", "C", True)]
+
+
+@pytest.mark.parametrize("kind", ["int", "decimal(10,2)", "date", "timestamp", "double"])
+@pytest.mark.parametrize("keyed", [True, False])
+def test_spans_meet_the_points_within_them(spark, kind, keyed):
+    rng = random.Random(6)
+    turn = (lambda n: day(n).date()) if kind == "date" else day if kind == "timestamp" else (lambda n: n)
+    points = [(i, rng.choice("ab"), rng.choice([None, rng.randrange(-300, 300)])) for i in range(200)]
+    spans = []
+    for i in range(60):
+        start = rng.randrange(-400, 400)
+        spans.append((i, rng.choice("ab"), rng.choice([None, start, start, start]), rng.choice([None, start + rng.choice([-5, 0, 1, 3, 40, 700])])))
+    value = lambda n: None if n is None else turn(n)
+    base = "date" if kind == "date" else "timestamp" if kind == "timestamp" else "int"
+    left = spark.createDataFrame([(i, k, value(n)) for i, k, n in points], f"_point long, k string, p {base}").withColumn("p", F.col("p").cast(kind))
+    right = spark.createDataFrame([(i, k, value(a), value(b)) for i, k, a, b in spans], f"_span long, k string, a {base}, b {base}")
+    right = right.withColumns({c: F.col(c).cast(kind) for c in "ab"})
+    got = sorted(tuple(r) for r in m.interval_hits(left, right, "p", "a", "b", ["k"] if keyed else []).collect())
+    assert got == sorted(
+        (i, j) for i, k, n in points for j, q, a, b in spans if n is not None and (k == q or not keyed) and (a is None or n >= a) and (b is None or n < b)
+    )
+    assert "NestedLoop" not in m.interval_hits(left, right, "p", "a", "b")._jdf.queryExecution().executedPlan().toString()
+    assert m.interval_hits(left.limit(0), right, "p", "a", "b").isEmpty() and m.interval_hits(left, right.limit(0), "p", "a", "b").isEmpty()
+
+
+def test_merge_between_spans(spark):
+    held = spark.createDataFrame([("x", 5, "old"), ("x", 50, "old"), ("y", 7, "old"), ("y", None, "old")], "k string, p int, val string")
+    sent = spark.createDataFrame([("x", 0, 10, "new"), ("y", 7, 8, "gone"), ("x", 90, None, "added")], "k string, lo int, hi int, val string")
+    done = m.merge_between(held, sent, "p", "lo", "hi", "k", delete_when="s.val = 'gone'", update_set={"val": "s.val"}, images=True)
+    rows = {(r["k"], r["p"]): (r["val"], r["_action"], r["_before"] and r["_before"]["val"]) for r in done.actions.collect()}
+    assert rows == {("x", 5): ("new", "updated", "old"), ("x", 50): ("old", "kept", None), ("y", 7): ("old", "deleted", None), ("y", None): ("old", "kept", None), ("x", None): ("added", "inserted", None)}
+    with pytest.raises(m.MergeKeyError, match="1 target rows"):
+        m.merge_between(held, sent.where("lo = 0").unionByName(sent.where("lo = 0")), "p", "lo", "hi", "k")
