@@ -146,6 +146,30 @@ def _(spark, sf):
     return done["monitoring"]["audit_summary"].drop("AvgSeconds", "LastRun")
 
 
+_LOG_COUNTS = """SELECT PipelineName, 'INFO' AS LogLevel, count(*) AS "count" FROM steps GROUP BY 1
+    UNION ALL SELECT 'data_quality', 'WARNING', count(*) FROM steps WHERE PipelineName = 'data_quality' AND RowsDeleted > 0
+    UNION ALL SELECT 'maintenance', 'INFO', 1"""
+
+
+@query("j06_log_counts", _LOG_COUNTS, r=ALL_RESULTS, steps=_STEPS)
+def _(spark, sf):
+    """Log figures of the monitoring page, over the rows that the jobs logged."""
+    _, done = lake_at(spark, sf, "monitoring", "j06_log_counts")
+    return done["monitoring"]["log_counts"]
+
+
+@query(
+    "j06_problem_logs",
+    """SELECT 'data_quality' AS PipelineName, TableName AS Module, 'WARNING' AS LogLevel, '{"rows": ' || RowsDeleted || '}' AS Details
+       FROM steps WHERE PipelineName = 'data_quality' AND RowsDeleted > 0""",
+    r=ALL_RESULTS,
+    steps=_STEPS,
+)
+def _(spark, sf):
+    _, done = lake_at(spark, sf, "monitoring", "j06_problem_logs")
+    return done["monitoring"]["problem_logs"].select("PipelineName", "Module", "LogLevel", "Details")
+
+
 @query("o01_step_counts", _STEPS, r=ALL_RESULTS)
 def _(spark, sf):
     """Rows that every step of every job reports, counted while they were read and written."""

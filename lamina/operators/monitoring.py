@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import traceback
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,12 @@ AUDIT_SCHEMA = (
     "ExecutionTimeSeconds double, ErrorMessage string, Environment string"
 )
 
+# The columns of the log table.
+LOG_SCHEMA = (
+    "LogID string, RunID string, PipelineName string, Module string, LogLevel string, Message string, Details string, "
+    "ExceptionType string, StackTrace string, LoggedAt timestamp"
+)
+
 # How many rows the monitoring page shows.
 AUDIT_SHOWN = 50
 PROBLEMS_SHOWN = 100
@@ -66,6 +75,33 @@ def audit_row(
     return spark.createDataFrame([values], AUDIT_SCHEMA)
 
 
+def log_entry(
+    run_id: str,
+    pipeline: str,
+    module: str,
+    level: str,
+    message: str,
+    at: dt.datetime,
+    number: int,
+    details: Mapping | None = None,
+    problem: BaseException | None = None,
+) -> tuple:
+    """One row of ``LOG_SCHEMA``; its id names the run, the pipeline and the entry's number."""
+    trace = "".join(traceback.format_exception(problem)) if problem else None
+    return (
+        f"{run_id}:{pipeline}:{number}",
+        run_id,
+        pipeline,
+        module,
+        level,
+        message,
+        json.dumps(dict(details), default=str) if details else None,
+        type(problem).__name__ if problem else None,
+        trace,
+        utc(at),
+    )
+
+
 def audit_summary(audit: DataFrame) -> DataFrame:
     return (
         audit.groupBy("PipelineName", "Status")

@@ -81,11 +81,12 @@ class Run:
 
 
 class Ledger:
-    """Audit rows of one job, a handful, appended in one write when the job ends."""
+    """Audit and log rows of one job, a handful, appended in one write each when the job ends."""
 
     def __init__(self, spark: SparkSession, lake: Lake, run: Run, job: str) -> None:
         self.spark, self.lake, self.run, self.job = spark, lake, run, job
         self.rows: list[DataFrame] = []
+        self.logs: list[tuple] = []
 
     def __enter__(self) -> Ledger:
         return self
@@ -94,6 +95,13 @@ class Ledger:
         if self.rows:
             rows = reduce(DataFrame.unionByName, self.rows)
             rows.coalesce(1).write.mode("append").parquet(self.lake.path("ops", "audit"))
+        if self.logs:
+            logs = self.spark.createDataFrame(self.logs, monitoring.LOG_SCHEMA)
+            logs.coalesce(1).write.mode("append").parquet(self.lake.path("ops", "logs"))
+
+    def log(self, level: str, module: str, message: str, details: Mapping | None = None, problem: BaseException | None = None) -> None:
+        entry = monitoring.log_entry(self.run.run_id, self.job, module, level, message, self.run.clock(), len(self.logs), details, problem)
+        self.logs.append(entry)
 
     @contextmanager
     def step(self, name: str) -> Iterator[dict]:
@@ -104,8 +112,10 @@ class Ledger:
             yield seen
         except Exception as problem:
             self._add(name, started, "FAILED", seen, str(problem))
+            self.log("ERROR", name, str(problem), seen, problem)
             raise
         self._add(name, started, "SUCCESS", seen, None)
+        self.log("INFO", name, "step finished", seen)
 
     def _add(self, name: str, started: dt.datetime, status: str, seen: dict, error: str | None) -> None:
         counts = [seen.get(k, 0) for k in ("read", "inserted", "updated", "deleted")]
@@ -372,6 +382,8 @@ def store_quality(
         seen["read"] = spark.read.parquet(path).agg(F.max("TotalCount")).first()[0] or 0
         bad = quality.quarantine(tables[name], rules[name], name, run_id, run.at, keys).drop("RunID", "Entity")
         seen["deleted"] = write_counted(bad, f"{lake.path('ops', 'dq_failed')}/{where}")
+        if ledger and seen["deleted"]:
+            ledger.log("WARNING", name, "rows failed rules and were put aside", {"rows": seen["deleted"]})
 
     together(run, {n: lambda n=n: one(n) for n in rules})
     kept = spark.read.parquet(lake.path("ops", "dq_results"))
@@ -417,6 +429,9 @@ def monitoring_job(spark: SparkSession, lake: Lake, run: Run, maintenance: bool
         "versions": version_log(spark, base),
         "quality_trend": quality.trend(spark.read.parquet(lake.path("ops", "dq_results"))),
     }
+    if path_exists(spark, lake.path("ops", "logs")):
+        logs = spark.read.parquet(lake.path("ops", "logs"))
+        page |= {"problem_logs": monitoring.problem_logs(logs), "log_counts": monitoring.log_counts(logs)}
     newest = last_version(spark, base)
     if newest and newest > 1:
         page["previous_patients"] = read_history(spark, base, version=newest - 1)
@@ -453,7 +468,7 @@ def register_all(spark: SparkSession, lake: Lake, databases: Mapping[str, str] |
     if history is not None:
         history.createOrReplaceTempView(HISTORY_ENTITY)
     report[f"silver.{HISTORY_ENTITY}"] = "SKIPPED" if history is None else "SUCCESS"
-    ops = register_layer(spark, {n: lake.path("ops", n) for n in ("audit", "dq_results", "dq_failed")}, databases.get("ops"))
+    ops = register_layer(spark, {n: lake.path("ops", n) for n in ("audit", "logs", "dq_results", "dq_failed")}, databases.get("ops"))
     report |= {f"ops.{k}": v for k, v in ops.items()}
     built = {n: read_snapshot(spark, lake.path("gold", n)) for n in MART_NAMES}
     built["patients_current"] = read_snapshot(spark, lake.path("silver", "patients_current"))

@@ -63,6 +63,12 @@ def test_one_failing_entity_does_not_stop_the_others(spark, lake, done):
     assert report["doctors"] == "SUCCESS" and report["parrots"].startswith("FAILED: unknown entity")
     audit = spark.read.parquet(lake.path("ops", "audit")).where("RunID = 'run3'")
     assert {r["TableName"]: r["Status"] for r in audit.collect()} == {"doctors": "SUCCESS", "parrots": "FAILED"}
+    logged = {r["Module"]: r for r in spark.read.parquet(lake.path("ops", "logs")).where("RunID = 'run3'").collect()}
+    assert (logged["doctors"]["LogLevel"], logged["parrots"]["LogLevel"], logged["parrots"]["ExceptionType"]) == ("INFO", "ERROR", "ValueError")
+    assert "unknown entity" in logged["parrots"]["StackTrace"] and logged["doctors"]["StackTrace"] is None
+    page = jobs.monitoring_job(spark, lake, run, maintenance=False)
+    assert page["problem_logs"].where("Module = 'parrots'").count() == 1
+    assert page["log_counts"].where("PipelineName = 'bronze' AND LogLevel = 'ERROR'").first()["count"] == 1
     with pytest.raises(ValueError):
         jobs.bronze_job(spark, lake, run, entities=["parrots"], stop_on_error=True)
 
@@ -85,7 +91,7 @@ def test_critical_failures_stop_the_job_after_results_are_kept(spark, lake, done
 
 def test_all_tables_register(spark, lake, done):
     report = jobs.register_all(spark, lake)
-    assert set(report.values()) == {"SUCCESS"} and len(report) == 7 + 7 + 1 + 14 + 3 + 11
+    assert set(report.values()) == {"SUCCESS"} and len(report) == 7 + 7 + 1 + 14 + 4 + 11
     assert spark.sql("SELECT count(*) FROM patient_summary").first()[0] > 0
 
 
