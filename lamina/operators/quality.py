@@ -2,7 +2,7 @@
 
 A rule says which rows fail.  Three kinds exist because they need different
 plans: a predicate on one row, uniqueness of a key, and presence of a key in a
-reference.  All predicates of a suite share one aggregation.  Key rules first
+reference.  All predicates of a suite share one aggregation.  Key rules
 count rows per key (combined on the map side), so repeated keys cost one row
 each when data moves, and only the key columns move.
 """
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions.times import moment
+from lamina.operators.joins import fits_broadcast
+from lamina.session import stored
 
 
 class CriticalFailures(ValueError):
@@ -120,15 +122,16 @@ def constraints(checks: Mapping[str, str], primary_key: Sequence[str] = ()) -> l
 
 
 # --- evaluation -------------------------------------------------------------
-def _entry(rule: str | Rule, key: Column) -> Column:
-    return F.struct(F.lit(rule if isinstance(rule, str) else rule.name).alias("RuleName"), key.alias("_key"))
+def _key_columns(df: DataFrame, rule: Rule, of: str = "") -> list[Column]:
+    """The columns that make up a row's key under a rule, in the types they are compared in."""
+    columns = [F.col(f"{of}`{c}`") for c in rule.columns]
+    return columns if isinstance(rule, UniqueRule) else [columns[0].cast(rule.reference.schema[rule.reference_column].dataType)]
 
 
-def _key_of(df: DataFrame, rule: Rule) -> Column:
-    """The key a row has under a rule, as text; null where the rule does not apply."""
+def _key_text(rule: Rule, columns: Sequence[Column]) -> Column:
     if isinstance(rule, UniqueRule):
-        return F.to_json(F.struct(*[F.col(c) for c in rule.columns]))
-    return F.col(rule.columns[0]).cast(rule.reference.schema[rule.reference_column].dataType).cast("string")
+        return F.to_json(F.struct(*[k.alias(c) for k, c in zip(columns, rule.columns, strict=True)]))
+    return columns[0].cast("string")
 
 
 def _key_rules(rules: Sequence[Rule]) -> list[Rule]:
@@ -136,27 +139,23 @@ def _key_rules(rules: Sequence[Rule]) -> list[Rule]:
 
 
 def offending_keys(df: DataFrame, rules: Sequence[Rule]) -> DataFrame | None:
-    """(RuleName, _key, n): keys that break a key rule, and the rows that hold each; None without key rules.
+    """(RuleName, _hash, _key, n): keys that break a key rule, and the rows that hold each; None without key rules.
 
-    One pass over the key columns counts the rows per rule and key, combined on the map side.  Store the
-    result where both counts and quarantine need it.
+    Each rule counts rows by its own columns in their own types, combined on the map side, so it reads and moves nothing
+    else; only keys that offend are written as text.  Store the result where both counts and quarantine need it.
     """
-    keyed = _key_rules(rules)
-    if not keyed:
-        return None
-    entries = df.select(F.inline(F.array(*[_entry(r, _key_of(df, r)) for r in keyed]))).where("_key IS NOT NULL")
-    counts = entries.groupBy("RuleName", "_key").agg(F.count("*").alias("n"))
-    repeated = counts.where(F.col("RuleName").isin([r.name for r in keyed if isinstance(r, UniqueRule)]) & (F.col("n") > 1))
-    references = [r for r in keyed if isinstance(r, ReferenceRule)]
-    if not references:
-        return repeated
-    known = [
-        r.reference.select(F.lit(r.name).alias("RuleName"), F.col(r.reference_column).cast("string").alias("_key")).where("_key IS NOT NULL")
-        for r in references
-    ]
-    held = counts.where(F.col("RuleName").isin([r.name for r in references]))
-    orphans = held.join(reduce(DataFrame.unionByName, known).distinct(), ["RuleName", "_key"], "left_anti")
-    return repeated.unionByName(orphans)
+    parts = []
+    for rule in _key_rules(rules):
+        names = [f"_k{i}" for i in range(len(rule.columns))]
+        held = df.select(*[k.alias(n) for k, n in zip(_key_columns(df, rule), names, strict=True)])
+        if isinstance(rule, UniqueRule):
+            bad = held.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1")
+        else:
+            known = rule.reference.select(F.col(rule.reference_column).alias("_k0")).where("_k0 IS NOT NULL").distinct()
+            bad = held.where("_k0 IS NOT NULL").groupBy("_k0").agg(F.count("*").alias("n")).join(known, "_k0", "left_anti")
+        key = [F.col(n) for n in names]
+        parts.append(bad.select(F.lit(rule.name).alias("RuleName"), F.xxhash64(*key).alias("_hash"), _key_text(rule, key).alias("_key"), "n"))
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def _counts(df: DataFrame, rules: Sequence[Rule], offending: DataFrame | None = None) -> DataFrame:
@@ -219,22 +218,37 @@ def quarantine(
 ) -> DataFrame:
     """One row per failing row and rule, carrying the row as JSON.
 
-    One pass: each row is exploded into the row rules it fails and its keys under the key rules, of which only
-    the offending ones stay.  ``offending`` as in ``evaluate``.
+    Each row yields the row rules it fails and, for each key rule, a hash of its key.  The keys that offend are sent to the rows
+    if they are few (measured), so no row moves; else rows meet them by hash.  What meets is compared as
+    text.  ``offending`` as in ``evaluate``.
     """
     _distinct_names(rules)
     kept = [c for c in df.columns if not c.startswith("__")] or df.columns
     keyed = _key_rules(rules)
-    hits = [F.when(r.predicate(df), _entry(r, F.lit(None).cast("string"))) for r in rules if isinstance(r, RowRule)]
-    hits += [F.when(_key_of(df, r).isNotNull(), _entry(r, _key_of(df, r))) for r in keyed]
-    found = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.inline(F.array_compact(F.array(*hits))))
+    entry = lambda rule, key: F.struct(F.lit(rule.name).alias("RuleName"), key.cast("long").alias("_hash"))
+    row_hits = [F.when(r.predicate(df), entry(r, F.lit(None))) for r in rules if isinstance(r, RowRule)]
+    key_hits = [entry(r, F.xxhash64(*_key_columns(df, r))) for r in keyed]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row")
+    held = sorted({c for r in keyed for c in r.columns})
+    keys = F.struct(*[F.col(f"`{c}`") for c in held]).alias("_keys") if held else F.lit(None).alias("_keys")
+
+    def rows(hits: list[Column]) -> DataFrame:
+        return df.select(row, keys, F.inline(F.array_compact(F.array(*hits))))
+
     if keyed:
-        bad = offending_keys(df, rules) if offending is None else offending
-        bad = bad.select("RuleName", "_key", F.lit(True).alias("_bad"))
-        # Row rules have no key; a hash in its place spreads their rows and meets no offending key.
-        found = found.withColumn("_hit", F.col("_key").isNull())
-        found = found.withColumn("_key", F.coalesce("_key", F.concat(F.lit("\u0000"), F.xxhash64("_row").cast("string"))))
-        found = found.join(bad, ["RuleName", "_key"], "left").where("_hit OR _bad")
+        bad = stored(offending_keys(df, rules), "offending-keys") if offending is None else offending
+        texts = {r.name: _key_text(r, _key_columns(df, r, "_keys.")) for r in keyed}
+        text = F.coalesce(*[F.when(F.col("RuleName") == name, value) for name, value in texts.items()])
+        bad = bad.select("RuleName", "_hash", "_key")
+        if fits_broadcast(bad):
+            found = rows([*row_hits, *key_hits]).join(F.broadcast(bad), ["RuleName", "_hash"], "left")
+            found = found.where(F.col("_hash").isNull() | (F.col("_key").isNotNull() & (F.col("_key") == text)))
+        else:
+            found = rows(key_hits).join(bad, ["RuleName", "_hash"]).where(F.col("_key") == text)
+            if row_hits:
+                found = found.select("_row", "RuleName").unionByName(rows(row_hits).select("_row", "RuleName"))
+    else:
+        found = rows(row_hits)
     severity = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.severity))])
     columns = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.array(*[F.lit(c) for c in r.columns]).cast("array<string>"))])
     return found.select(
