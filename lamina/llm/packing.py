@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -88,6 +89,12 @@ class TextTokenizer:
                 yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@functools.cache
+def text_tokenizer(path: str) -> TextTokenizer:
+    """One per Python worker, of a fixed size."""
+    return TextTokenizer(path)
+
+
 def cut(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document; only the first may be shorter than ``capacity``."""
     if total <= capacity:
@@ -101,7 +108,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     """Rows of ``PIECES``: every document's ids and ``end_id``, cut where longer than ``capacity``."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = TextTokenizer(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        words, last = text_tokenizer(tokenizer), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

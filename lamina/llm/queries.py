@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lamina.llm import oracles
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -53,7 +55,7 @@ def _url_rules():
     )
 
 
-@query("op5_url_filter")
+@query("op5_url_filter", oracles.URL_FILTER)
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.urls import filter_urls
 
@@ -87,21 +89,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op3_jaccard_join")
+@query("op3_jaccard_join", oracles.JACCARD_JOIN)
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.jaccard import similar_documents
 
-    return similar_documents(table(spark, sf_dir, "documents"))
+    return similar_documents(table(spark, sf_dir, "documents")).drop("set_id")
 
 
-@query("op7_substring_dedup")
+@query("op7_substring_dedup", oracles.SUBSTRING_DEDUP)
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.substrings import repeated_words
 
     return repeated_words(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
-@query("op8_suffix_dedup")
+@query("op8_suffix_dedup", oracles.SUFFIX_DEDUP)
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.suffixes import repeated_bytes
 
@@ -166,14 +168,14 @@ def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-@query("op11_periodic_runs")
+@query("op11_periodic_runs", oracles.PERIODIC_RUNS)
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.periodic import periodic_runs, run_digests, with_planted_periods
 
     return run_digests(periodic_runs(with_planted_periods(table(spark, sf_dir, "documents"))))
 
 
-@query("op12_spelling_variants")
+@query("op12_spelling_variants", oracles.SPELLING_VARIANTS)
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.spelling import spelling_variants
 
