@@ -8,6 +8,7 @@ from checks.mart_queries import dbl, revenue
 from checks.oracle_ctes import mean2, r2
 from checks.registry import AS_OF_DATE, query
 from checks.silver import SilverTables, silver, stored
+from lamina.functions.sketches import rank_error, rank_span
 from lamina.plans import marts, views
 
 
@@ -97,7 +98,6 @@ VIEW_SQL = {
                   CAST(sum(UniquePatients) AS BIGINT) AS UniquePatients
            FROM appointment_analytics GROUP BY 1""",
     ),
-    "v08_average_billing_approx": (views.average_billing, None),
     "v09_lab_trends": (views.lab_trends, "SELECT * FROM laboratory_trends"),
     "v10_prescription_trends": (views.prescription_trends, "SELECT * FROM pharmacy_sales"),
     "v11_executive_kpis": (
@@ -186,6 +186,39 @@ def _(spark, sf):
     return views.average_billing_exact({"revenue_analytics": amounts})
 
 
+_CHECKED_SQL = _BILLING_SQL.replace("quantile_cont(CAST(TotalAmount AS DOUBLE), 0.5) AS MedianInvoiceAmount", "true AS MedianRankWithinBound")
+
+
+@query("v08_average_billing_approx", _CHECKED_SQL)
+def _(spark, sf):
+    """The view with its sketched median; the rank that the median really has is counted and held against the bound."""
+    amounts = stored(revenue(spark, sf).select("TotalAmount"), "revenue")
+    figures = stored(views.average_billing({"revenue_analytics": amounts}), "figures")
+    below, upto = rank_span("TotalAmount", F.lit(float(figures.first()["MedianInvoiceAmount"])))
+    # The sketch keeps 10,000 steps; half a cent of rounding moves no rank further than to a neighbour.
+    within = amounts.agg(((below <= 0.5 + 2e-4) & (upto >= 0.5 - 2e-4)).alias("MedianRankWithinBound"))
+    return figures.withColumn("MedianRankWithinBound", F.lit(within.first()[0])).drop("MedianInvoiceAmount")
+
+
+@query(
+    "v08_monthly_median_of_daily_sketches",
+    """SELECT PaymentYear, PaymentMonth, count(TotalAmount) AS InvoiceCount, true AS RankWithinBound
+       FROM (SELECT year(PaymentDate) AS PaymentYear, month(PaymentDate) AS PaymentMonth, TotalAmount FROM revenue_analytics)
+       WHERE TotalAmount IS NOT NULL GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    """Monthly medians from stored daily sketches, each rank counted in the month's invoices."""
+    amounts = stored(revenue(spark, sf).select("PaymentDate", "TotalAmount"), "revenue")
+    days = stored(views.daily_billing_sketches({"revenue_analytics": amounts}), "daily-sketches")
+    month = {"PaymentYear": F.year("PaymentDate"), "PaymentMonth": F.month("PaymentDate")}
+    medians = stored(views.median_of_days(days.withColumns(month), list(month)), "medians")
+    below, upto = rank_span("TotalAmount", F.col("MedianInvoice"))
+    bound = 3 * rank_error()  # three times what 99 of 100 keep
+    met = amounts.withColumns(month).join(F.broadcast(medians.drop("InvoiceCount")), list(month))
+    checked = met.groupBy(*month).agg(((below <= 0.5 + bound + 1 / F.count("*")) & (upto >= 0.5 - bound - 1 / F.count("*"))).alias("RankWithinBound"))
+    return medians.drop("MedianInvoice").join(checked, list(month))
+
+
 @query(
     "v07_daily_appointments_exact",
     """SELECT CAST(CAST(AppointmentDate AS DATE) AS VARCHAR) AS AppointmentDay, count(*) AS TotalAppointments,

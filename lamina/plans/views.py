@@ -7,13 +7,14 @@ plain ``spark.sql`` text reads them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions.quantiles import exact_median
+from lamina.functions.sketches import merged_quantiles, quantile_sketches
 from lamina.plans.marts import department_revenue
 
 Marts = Mapping[str, DataFrame]
@@ -155,6 +156,16 @@ def average_billing_exact(m: Marts) -> DataFrame:
     return _billing_figures(revenue, F.lit(median).cast("decimal(13,3)"))
 
 
+def daily_billing_sketches(m: Marts) -> DataFrame:
+    """A quantile sketch of the invoices of each payment day, to be stored; new days add rows."""
+    return quantile_sketches(m["revenue_analytics"], ["PaymentDate"], "TotalAmount")
+
+
+def median_of_days(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Invoices and median of any days whose sketches are stored; no invoice is read."""
+    return merged_quantiles(sketches, [0.5], by).select(*by, F.col("Rows").alias("InvoiceCount"), F.round(F.col("Quantiles")[0], 2).alias("MedianInvoice"))
+
+
 @_view
 def lab_trends(m: Marts) -> DataFrame:
     return m["laboratory_trends"].orderBy(F.desc("AbnormalRatePct"), "TestName")
