@@ -15,12 +15,22 @@ FILE_BYTES = 512 * 1024 * 1024
 SAMPLE_ROWS = 20_000
 
 
-def range_splits(df: DataFrame, columns: Sequence[str], buckets: int) -> list[list[object]]:
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows, and their size as JSON: text is measured and other values are taken at twelve bytes."""
+    widths = [F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) if kind == "string" else F.lit(12) for name, kind in df.dtypes]
+    names = sum(len(c) + 6 for c in df.columns)
+    rows, size = df.agg(F.count("*"), F.sum(reduce(Column.__add__, widths, F.lit(names)).cast("long"))).first()
+    return rows, size or 0
+
+
+def range_splits(df: DataFrame, columns: Sequence[str], buckets: int, rows: int | None = None) -> list[list[object]]:
     """For each column, lower bounds of ``buckets`` ranges holding about equally many of its distinct values.
 
-    One pass over these columns draws a bounded random sample of rows, whatever their types; its values give all bounds.
+    One pass over these columns draws about ``SAMPLE_ROWS`` rows, whatever their types and number; its values give all bounds.
     """
-    drawn = df.select(*[F.col(f"`{c}`") for c in columns]).orderBy(F.rand(17)).limit(SAMPLE_ROWS).collect()
+    rows = df.count() if rows is None else rows
+    picked = df.select(*[F.col(f"`{c}`") for c in columns])
+    drawn = (picked.sample(SAMPLE_ROWS / rows, 17) if rows > SAMPLE_ROWS else picked).collect()
     out = []
     for i in range(len(columns)):
         values = sorted({row[i] for row in drawn if row[i] is not None})
@@ -30,10 +40,11 @@ def range_splits(df: DataFrame, columns: Sequence[str], buckets: int) -> list[li
 
 
 def files_for(df: DataFrame, file_bytes: int = FILE_BYTES) -> int:
-    """How many files the rows fill: their size as JSON, text measured and other values taken at twelve bytes."""
-    widths = [F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) if kind == "string" else F.lit(12) for name, kind in df.dtypes]
-    names = sum(len(c) + 6 for c in df.columns)
-    size = df.agg(F.sum(reduce(Column.__add__, widths, F.lit(names)).cast("long"))).first()[0] or 0
+    """How many files the rows fill."""
+    return _files(measured(df)[1], file_bytes)
+
+
+def _files(size: int, file_bytes: int) -> int:
     return max(1, -(-size // file_bytes))
 
 
@@ -57,14 +68,15 @@ def cluster(df: DataFrame, columns: Sequence[str], files: int | None = None, bit
 
     By default the number of ranges follows from the size of the table.
 
-    Reads the table twice before it is rewritten (a sample of the columns, and the size), so pass a stored
+    Reads the table twice before it is rewritten (its size, and a sample of the columns), so pass a stored
     table.  The columns themselves and a row hash follow the curve value in the range
     key, so a value shared by many rows is still divided over files.
     """
     present = [c for c in columns if c in df.columns]
     if not present:
         raise ValueError("no clustering column is in the table")
-    splits = range_splits(df, present, 2**bits)
+    rows, size = measured(df)
+    splits = range_splits(df, present, 2**bits, rows)
     placed = df.withColumns({"_z": z_value(present, splits, bits), "_h": F.xxhash64(*df.columns)})
     order = ["_z", *present, "_h"]
-    return placed.repartitionByRange(files or files_for(df, file_bytes), *order).sortWithinPartitions(*order).drop("_z", "_h")
+    return placed.repartitionByRange(files or _files(size, file_bytes), *order).sortWithinPartitions(*order).drop("_z", "_h")
