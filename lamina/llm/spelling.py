@@ -26,7 +26,7 @@ FORM_RATIO = 5
 RADIUS = 2
 #: Words that one search task holds, about.
 CELL_WORDS = 8_000
-#: Words whose letter counts place the borders between tasks; any borders give the same result.
+#: About so many words (twice as many at most), drawn by hash, place the borders between tasks; any borders give the same result.
 BORDER_SAMPLE = 40_000
 #: Different words that a counting task holds before it hands them on.
 HELD_WORDS = 200_000
@@ -372,7 +372,8 @@ def near_words(words: DataFrame, cell_words: int = CELL_WORDS) -> DataFrame:
     ``best`` is the most frequent near word, of equally frequent ones the first in code-point order.
     """
     total = words.count()
-    picked = words.select("word").orderBy(F.xxhash64("word"), "word").limit(BORDER_SAMPLE)
+    one_in = max(1, total // BORDER_SAMPLE)
+    picked = words.select("word").where(F.pmod(F.xxhash64("word"), F.lit(one_in)) == 0).orderBy("word")
     borders = Borders([r["word"] for r in picked.collect()], total, cell_words)
     found = _dealt(words.select("word", "n"), borders).groupBy("length", "leaf", "deal").applyInArrow(_search, FOUND)
     best = F.min(F.struct((-F.col("best_n")).alias("less"), F.col("best").alias("best")))
