@@ -143,3 +143,29 @@ SPELLING_VARIANTS = f"""
     chain(word, root, on_to) AS (SELECT word, word, form FROM f UNION ALL SELECT chain.word, f.word, f.form FROM chain JOIN f ON f.word = chain.on_to)
     SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, root FROM chain WHERE on_to IS NULL) USING (word)
 """
+
+
+def _shingle_list(words: str) -> str:
+    return f"CASE WHEN len({words}) >= 5 THEN list_transform(range(1, len({words}) - 3), lambda i: array_to_string({words}[i:i + 4], ' ')) WHEN len({words}) > 0 THEN [array_to_string({words}, ' ')] ELSE [] END"
+
+
+DECONTAMINATION = f"""
+    WITH dw AS (SELECT doc_id, {words("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+    iw AS (SELECT item_id, {words("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM benchmark),
+    ds AS (SELECT doc_id, len(w) AS words, {_shingle_list("w")} AS g FROM dw),
+    d AS (SELECT doc_id, words, len(g) AS n, unnest(g) AS s, unnest(range(len(g))) AS p FROM ds),
+    i AS (SELECT item_id, len(g) AS m, unnest(g) AS s FROM (SELECT item_id, {_shingle_list("w")} AS g FROM iw)),
+    ic AS (SELECT item_id, m, s, count(*) AS c FROM i GROUP BY ALL),
+    -- Every window, as long as the item or the whole text, that a shared shingle lies in.
+    h AS (
+        SELECT doc_id, item_id, words, m, least(n, m) AS size, s, c, unnest(range(greatest(0, p - least(n, m) + 1), least(p, n - least(n, m)) + 1)) AS start
+        FROM d JOIN ic USING (s)
+    ),
+    g AS (SELECT doc_id, item_id, words, m, size, start, s, least(count(*), c) AS c FROM h GROUP BY doc_id, item_id, words, m, size, start, s, c),
+    r AS (
+        SELECT doc_id, item_id, start, least(words, size + 4) AS n_words, CAST(sum(c) AS DOUBLE) / CAST(size + m - sum(c) AS DOUBLE) AS similarity
+        FROM g GROUP BY doc_id, item_id, words, m, size, start
+    )
+    SELECT doc_id, item_id, start, n_words, similarity FROM r WHERE similarity >= 0.75
+    QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""

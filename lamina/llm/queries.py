@@ -82,11 +82,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
-@query("op10_benchmark_decontamination")
+@query("op10_benchmark_decontamination", oracles.DECONTAMINATION)
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.decontamination import contaminated
 
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("distance")
 
 
 @query("op3_jaccard_join", oracles.JACCARD_JOIN)
