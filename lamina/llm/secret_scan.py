@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.staging import doc_text, stage
-from lamina.llm.words import joined, spans
 
 #: Labelled findings that the forest is fitted on, at most about this many of each label.
 TRAINING_ROWS = 10_000
-#: Words of the dictionary: the most frequent ones of 3 to 8 bytes in the whole corpus.
-DICTIONARY_WORDS = 5_000
+#: Words of the dictionary: those that make up this share of all word occurrences of the corpus, so at most 100,000 of them.
+DICTIONARY_SHARE = 1e-5
+#: And occur at least this often, so that a small table's every string is no word.
+LEAST_OCCURRENCES = 3
 THRESHOLD = 0.5
 #: Characters before and after a candidate that are looked at.
 CONTEXT = 48
@@ -36,48 +38,36 @@ _KNOWN = re.compile(r"^(AKIA|ASIA|ghp_|gho_|github_pat_|sk-|xox[abprs]-|glpat-|A
 _CLASS = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "0123456789"}})
 
 FEATURES = ("length", "transitions", "case_changes", "digit_share", "upper_share", "distinct_share", "entropy", "hex", "coverage", "slashes", "dots", "path_around", "known_prefix", "name_before", "assigned", "quoted_after", "word_before", "word_after")
+#: What the seed rule goes by to call a finding true, and what follows from an assignment (a quote after, no word before):
+#: a forest taught by that rule does not see it.
+SEEDED_BY = ("known_prefix", "name_before", "assigned", "quoted_after", "word_before")
 CANDIDATES = "doc_id long, start int, end int, masked string, " + ", ".join(f"{f} float" for f in FEATURES)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of 3 to 8 bytes, lower-cased, with their number in this task."""
-    known, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def dictionary(docs: DataFrame, share: float = DICTIONARY_SHARE) -> frozenset[str]:
+    """Words of any length that make up ``share`` of all occurrences or more; at most 1 / ``share`` words reach the driver.
 
-    def added(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        every, inverse = np.unique(np.concatenate([known, words]), return_inverse=True)
-        return every, np.bincount(inverse, np.concatenate([total, counts]), minlength=len(every)).astype(np.int64)
-
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            data, _ = joined([t.encode("utf-8", "replace").lower() for t in batch.column(0).slice(at, 500).to_pylist()])
-            starts, ends = spans(data)
-            n = ends - starts
-            take = (n >= 3) & (n <= 8)
-            loads = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
-            masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-            known, total = added(*np.unique(loads[starts[take]] & masks[n[take]], return_counts=True))
-    yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(total)], ["word", "n"])
+    A word is three letters or more, lower-cased, that stand alone but for quotes, brackets and marks around them.
+    """
+    alone = F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![^\s\"'(\[])\p{L}{3,}+(?=[\"')\].,;:!?]*+(?:\s|$))"), F.lit(0))
+    counted = stage(docs.select(F.explode(alone).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "secret-words")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    frequent = counted.where(F.col("n") >= max(LEAST_OCCURRENCES, share * total))
+    return frozenset(r["word"] for r in frequent.select("word").collect())
 
 
-def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> frozenset[str]:
-    """The most frequent short words of all texts; ties go by content.  A fixed number reaches the driver."""
-    counted = docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(words).collect()
-    found = (int(r["word"]).to_bytes(8, "little", signed=True).rstrip(b"\0").decode("utf-8", "ignore") for r in top)
-    return frozenset(w for w in found if len(w) >= 3 and w.isalpha())
+@lru_cache(maxsize=4)
+def _lengths(words: frozenset[str]) -> list[int]:
+    return sorted({len(w) for w in words}, reverse=True)
 
 
 def coverage(candidate: str, words: frozenset[str]) -> float:
     """Share of the characters that lie in dictionary words, taking the longest word at each place."""
-    low, at, covered = candidate.lower(), 0, 0
-    while at < len(low) - 2:
-        for n in range(min(8, len(low) - at), 2, -1):
-            if low[at : at + n] in words:
-                covered += n
-                at += n
-                break
-        else:
-            at += 1
+    low, at, covered, lengths = candidate.lower(), 0, 0, _lengths(words)
+    while at < len(low):
+        n = next((n for n in lengths if at + n <= len(low) and low[at : at + n] in words), 0)
+        covered += n
+        at += n or 1
     return covered / max(1, len(low))
 
 
@@ -206,7 +196,8 @@ def find_secrets(docs: DataFrame, labels: DataFrame | None = None, id_col: str =
     """Rows (doc_id, start, end, masked, score, is_secret): every candidate, places in code points.
 
     ``labels`` (doc_id, start, end, label 0 or 1) are findings that people have judged; without them those of
-    ``seed_labels`` are used.  The forest is fitted on a sample of them bounded by ``TRAINING_ROWS`` per label and
+    ``seed_labels`` are used, and the forest does not see ``SEEDED_BY``: it learns what strings that are given a secret's name
+    look like, and so judges those without a name too.  The forest is fitted on a sample of them bounded by ``TRAINING_ROWS`` per label and
     chosen by hash; ``is_secret``: its score reaches ``THRESHOLD``.  If the labels are all alike, that label is the
     score; without any, the score is null and every candidate counts as a secret.  Null text has no
     candidates, repeated rows give repeated findings, an empty table gives none.
@@ -218,13 +209,14 @@ def find_secrets(docs: DataFrame, labels: DataFrame | None = None, id_col: str =
     else:
         judged = labels.select(F.col("doc_id"), F.col("start").cast("int"), F.col("end").cast("int"), F.col("label").cast("double")).where("label is not null")
         known = found.join(judged.dropDuplicates(["doc_id", "start", "end"]), ["doc_id", "start", "end"])
+    seen = [f for f in FEATURES if labels is not None or f not in SEEDED_BY]
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     score = F.lit(None).cast("double") if not counts else F.lit(float(next(iter(counts))))
     if len(counts) == 2:
         draw = F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 20)) / F.lit(float(1 << 20))
         share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, TRAINING_ROWS / n)))])
         sample = stage(known.where(draw < share[F.col("label")]), "secret-training")
-        assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+        assemble = VectorAssembler(inputCols=seen, outputCol="features")
         model = RandomForestClassifier(numTrees=20, maxDepth=6, seed=11).fit(assemble.transform(sample).select("features", "label"))
         found = model.transform(assemble.transform(found))
         score = vector_to_array("probability")[1]
