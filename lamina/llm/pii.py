@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from lamina.llm.staging import doc_text, stage
 
 KINDS = ("email", "ip", "card", "phone")
-#: Labelled candidates that the trees are fitted on, at most about this many; as many again calibrate.
-TRAINING_ROWS = 20_000
+#: Share of the labelled candidates, drawn by hash, that the trees are fitted on; all others calibrate.
+FITTED = 0.5
 #: Share of true findings that held-out candidates above a kind's threshold must have.
 PRECISION = 0.98
 BINS = 50
@@ -162,20 +162,21 @@ def with_features(spans: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame) -> tuple:
     """(model, thresholds by kind) from rows (span, ok, label, draw), or (None, {}) without examples of both labels.
 
-    ``draw`` in [0, 1) is a hash: what lies in the first part is fitted on, the second part calibrates.
-    The number of rows used is bounded by ``TRAINING_ROWS`` each.
+    ``draw`` in [0, 1) is a hash: what lies in the first part is fitted on, the second part calibrates, so every row has its use.
+    Features are flags and small counts, so rows with the same ones are counted, and the trees take the counts as
+    weights: what is fitted on grows with the different combinations, not with the rows.
     """
-    count = labelled.count()
-    share = min(0.5, TRAINING_ROWS / max(1, count))
-    rows = stage(with_features(labelled.where(F.col("draw") < 2 * share)), "pii-training")
-    assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    fitted = assemble.transform(rows.where(F.col("draw") < share)).select("features", "label")
+    fitting = (F.col("draw") < FITTED).alias("fitting")
+    rows = stage(with_features(labelled).groupBy(fitting, "label", *FEATURES).agg(F.count("*").cast("double").alias("n")), "pii-training")
+    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+    fitted = assembled.where("fitting").select("features", "label", "n")
     if {r["label"] for r in fitted.select("label").distinct().collect()} != {0.0, 1.0}:
         return None, {}
-    model = GBTClassifier(maxIter=10, maxDepth=3, seed=7, stepSize=0.2).fit(fitted)
-    held = model.transform(assemble.transform(rows.where(F.col("draw") >= share)))
+    model = GBTClassifier(maxIter=10, maxDepth=3, seed=7, stepSize=0.2, weightCol="n").fit(fitted)
+    held = model.transform(assembled.where("NOT fitting"))
     score = vector_to_array("probability")[1]
-    counted = held.groupBy(F.col("span.kind").alias("kind"), F.floor(score * BINS).cast("int").alias("bin")).agg(F.sum("label").alias("good"), F.count("*").alias("n"))
+    kind = F.coalesce(*[F.when(F.col(f"is_{k}") == 1.0, F.lit(k)) for k in KINDS])
+    counted = held.groupBy(kind.alias("kind"), F.floor(score * BINS).cast("int").alias("bin")).agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n"))
     bins = {(r["kind"], r["bin"]): (r["good"], r["n"]) for r in counted.collect()}
     thresholds = {}
     for kind in KINDS:

@@ -127,3 +127,17 @@ def test_pipeline_of_nothing_and_of_repeated_rows(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/twice/benchmark.parquet")
     out = corpus_pipeline.run(spark, f"{tmp_path}/twice").collect()
     assert Counter(r["doc_id"] for r in out) == Counter([0, 1, 2, 3, 4, 5, None])
+
+
+def test_trees_of_personal_data_are_fitted_on_every_labelled_match(spark):
+    """All of 90,000 labelled rows fit or calibrate, and as a few weighted rows."""
+    span = F.struct(F.lit("phone").alias("kind"), F.lit("555").alias("match"), F.when(F.col("id") % 3 == 0, "part ").otherwise("call ").alias("before"), F.lit("").alias("after"))
+    rows = spark.range(90_000).select(span.alias("span"), F.lit(True).alias("ok"), (F.col("id") % 3 != 0).cast("double").alias("label"), (F.col("id") / 90_000).alias("draw"))
+    seen = []
+    staged, pii.stage = pii.stage, lambda df, name: seen.append(staged(df, name)) or seen[-1]
+    try:
+        model, thresholds = pii.fit(rows)
+    finally:
+        pii.stage = staged
+    assert seen[0].agg(F.sum("n")).first()[0] == 90_000 and seen[0].count() == 4
+    assert model is not None and set(thresholds) == {"phone"}
