@@ -34,6 +34,22 @@ def test_full_run_query_makes_one_lake(spark, monkeypatch):
     assert len(made) == 1
 
 
+def test_rows_meet_only_rules_that_failed(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(1, 5), (1, None), (2, 7)], "id int, v int")
+    rules = quality.not_null(["id", "v"]) + quality.unique(["id"]) + quality.in_range("v", low=0)
+    met, whole = [], quality.quarantine
+    monkeypatch.setattr(quality, "quarantine", lambda df, rules, *a: met.append([r.name for r in rules]) or whole(df, rules, *a))
+    lake, run = jobs.Lake(str(tmp_path)), jobs.Run("r", AT)
+    jobs.store_quality(spark, lake, run, {"e": df}, {"e": rules})
+    assert met == [["not_null_v", "unique_id"]]
+    bad = spark.read.parquet(lake.path("ops", "dq_failed"))
+    assert sorted((r["RuleName"], r["Payload"]) for r in bad.collect()) == [
+        ("not_null_v", '{"id":1}'), ("unique_id", '{"id":1,"v":5}'), ("unique_id", '{"id":1}')
+    ]
+    jobs.store_quality(spark, lake, run, {"e": df.where("id = 2")}, {"e": rules}, "clean")
+    assert spark.read.parquet(lake.path("ops", "dq_failed")).where("RunID = 'clean'").isEmpty()
+
+
 def test_checked_source_is_not_counted_again(spark, monkeypatch):
     monkeypatch.setattr(merge, "check_source", lambda *a: 1 / 0)
     held = spark.createDataFrame([(1, "x"), (2, "y")], "id int, val string")
