@@ -50,9 +50,27 @@ def test_rows_meet_only_rules_that_failed(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(lake.path("ops", "dq_failed")).where("RunID = 'clean'").isEmpty()
 
 
+def test_clustering_moves_no_hash(spark):
+    df = spark.range(50).select((F.col("id") % 7).alias("a"), F.col("id").cast("string").alias("b"))
+    out = layout.cluster(df, ["a", "b"], 3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression"):].splitlines()[1:]
+    assert below and not any("_h" in line or "xxhash64" in line for line in below)
+    assert out.columns == ["a", "b"] and sorted(out.collect()) == sorted(df.collect())
+
+
 def test_checked_source_is_not_counted_again(spark, monkeypatch):
     monkeypatch.setattr(merge, "check_source", lambda *a: 1 / 0)
     held = spark.createDataFrame([(1, "x"), (2, "y")], "id int, val string")
     sent = spark.createDataFrame([(2, "z"), (3, "w")], "id int, val string")
     rows = merge.merge_changed(held, sent, "id", ["val"], checked=True).snapshot.collect()
     assert sorted(map(tuple, rows)) == [(1, "x"), (2, "z"), (3, "w")]
+
+
+def test_sums_beside_members_are_the_two_step_ones(spark):
+    rows = [("A", "p", "1.50", True), ("A", "p", "2.50", False), ("A", None, None, True), (None, "q", "4.00", True), (None, "r", "1.00", False), ("B", None, "2.00", False)]
+    df = spark.createDataFrame(rows, "g string, m string, v string, paid boolean").withColumn("v", F.col("v").cast("decimal(12,2)"))
+    partial = {"total": F.sum("v"), "n": F.count("v"), "paid": amount_where(F.col("paid"), F.col("v"))}
+    names = ["g", "_members", *[f"_{n}" for n in partial]]
+    two = {tuple(r) for r in marts._two_step(df, ["g"], "m", partial).select(*names).collect()}
+    assert two == {tuple(r) for r in marts._beside(df, "g", "m", partial).select(*names).collect()} and len(two) == 3
