@@ -6,10 +6,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from checks import job_queries
+from checks import job_queries, source_queries
+from lamina.contracts import ENTITIES
 from lamina.functions.measures import amount_where
 from lamina.operators import layout, merge, quality
 from lamina.plans import jobs, marts
+from lamina.sources import landing
 
 AT = dt.datetime(2025, 6, 30)
 SF = "/root/testdata/sf0.001"
@@ -74,3 +76,12 @@ def test_sums_beside_members_are_the_two_step_ones(spark):
     names = ["g", "_members", *[f"_{n}" for n in partial]]
     two = {tuple(r) for r in marts._two_step(df, ["g"], "m", partial).select(*names).collect()}
     assert two == {tuple(r) for r in marts._beside(df, "g", "m", partial).select(*names).collect()} and len(two) == 3
+
+
+def test_landed_files_of_jobs_are_packed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source_queries, "READERS", {"doctors": source_queries.READERS["doctors"]})
+    lake = jobs.Lake(str(tmp_path))
+    source_queries.land_all(spark, SF, lake)
+    files = [p.name for p in (tmp_path / "landing" / "doctors").glob("part-*")]
+    assert files and all(f.endswith(".csv.gz") for f in files)
+    assert landing.scan_csv(spark, lake.path("landing", "doctors"), ENTITIES["doctors"]).count() == 10
