@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from lamina.llm.components import connected_components
 from lamina.llm.staging import col, doc_text, maybe_in, spare, stage
-from lamina.llm.words import mixed, shingles, windows, word_hashes
+from lamina.llm.words import mixed, shingles, slices, windows, word_hashes
 
 SHINGLE = 5
 #: Similarity as a fraction, 75 / 100: sets of sizes x and y are linked when they differ in at most (x + y) / 7 elements.
@@ -27,7 +27,6 @@ NEXT_PIVOTS = 8
 LINKS_PER_TASK = 2_000_000
 #: Rows compared with one pivot in one task, about.
 PIVOT_ROWS = 2_000
-BATCH = 1_000
 
 U64 = np.uint64
 
@@ -157,8 +156,7 @@ def chosen(e: Emission, owner: np.ndarray, place: np.ndarray, sig: np.ndarray, s
 
 def _batches(batches: Iterator[pa.RecordBatch], id_at: int = 0, text_at: int = 1) -> Iterator[tuple[list, np.ndarray, np.ndarray, pa.RecordBatch]]:
     for batch in batches:
-        for at in range(0, batch.num_rows, BATCH):
-            part = batch.slice(at, BATCH)
+        for part in slices(batch, text_at):
             s, offsets = shingle_sets([(t or "").encode("utf-8").lower() for t in part.column(text_at).to_pylist()])
             yield part.column(id_at).to_pylist(), s, offsets, part
 
@@ -268,9 +266,9 @@ def _compared(rows: DataFrame, linked) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pivot = None, b""
-        for batch in batches:
+        for few in (x for batch in batches for x in slices(batch, 4)):
             out = []
-            for b, part, role, a, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for b, part, role, a, value in zip(*(c.to_pylist() for c in few.columns), strict=True):
                 if role == 0:
                     now, pivot = (b, part), value
                 elif now == (b, part) and linked(value, pivot):
@@ -386,9 +384,9 @@ def _rest_plausible(reps: DataFrame, named: DataFrame) -> DataFrame:
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-        for batch in batches:
+        for few in (x for batch in batches for x in slices(batch, 5)):
             out = []
-            for pivot, block, role, a, part, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for pivot, block, role, a, part, value in zip(*(c.to_pylist() for c in few.columns), strict=True):
                 if now != (pivot, block):
                     now, held = (pivot, block), []
                 size, sketch = int.from_bytes(value[:8], "big"), value[8:]

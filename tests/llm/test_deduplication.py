@@ -5,14 +5,16 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lamina.llm.components import connected_components
 from lamina.llm.exact import blocks_for, drop_exact_copies, exact_copies
-from lamina.llm.jaccard import keep_one_of_similar, similar_documents
+from lamina.llm.jaccard import _batches, keep_one_of_similar, similar_documents, set_ids
 from lamina.llm.substrings import repeated_words
 from lamina.llm.suffixes import ENTRY, _one_of_each, contexts, repeated_bytes, repeated_strings
+from lamina.llm.words import SLICE_BYTES, slices
 from tests.llm import fixtures as fx
 
 ROWS = fx.corpus()
@@ -124,3 +126,15 @@ def test_one_group_of_a_third_of_all_rows(spark):
     parts = similar_documents(docs).groupBy("component_id").agg(F.count("*").alias("n")).collect()
     assert sorted((r["component_id"], r["n"]) for r in parts if r["n"] > 1) == [(0, 70)]
     assert repeated_words(docs).agg(F.sum("n_removed")).first()[0] == 39 * 60 + 30 * 60
+
+
+def test_a_task_works_on_bounded_text():
+    texts = [" ".join(f"w{i}x{k}" for k in range(20_000)) for i in range(30)] + [None, "", "a few words", "x" * (2 * SLICE_BYTES), "y"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    seen = [(ids, set_ids(s, at).tolist(), sum(len(t or "") for t in part.column(1).to_pylist())) for ids, s, at, part in _batches([batch.slice(2)])]
+    assert [i for ids, _, _ in seen for i in ids] == list(range(2, len(texts)))
+    assert all(size <= SLICE_BYTES or len(ids) == 1 for ids, _, size in seen)
+    alone = [set_ids(s, at)[0] for i in range(2, len(texts)) for _, s, at, _ in _batches([batch.slice(i, 1)])]
+    assert [n for _, names, _ in seen for n in names] == alone
+    assert [p.num_rows for p in slices(pa.RecordBatch.from_arrays([pa.array(["a"] * 2_500)], ["text"]), 0)] == [1_000, 1_000, 500]
+    assert not list(slices(batch.slice(0, 0), 1))
