@@ -144,3 +144,17 @@ def test_year_month_is_that_of_the_format(spark):
     df = spark.createDataFrame([(d,) for d in days], "d string").select(F.col("d").cast("date").alias("d"))
     rows = df.select(marts._year_month("d").alias("a"), F.date_format("d", "yyyy-MM").alias("b")).collect()
     assert [r["a"] for r in rows] == [r["b"] for r in rows] and rows[0]["a"] == "2024-02" and rows[-1]["a"] is None
+
+
+def test_counting_bronze_moves_no_hash(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source_queries, "READERS", {"doctors": source_queries.READERS["doctors"]})
+    lake = jobs.Lake(str(tmp_path))
+    source_queries.land_all(spark, SF, lake)
+    jobs.bronze_job(spark, lake, jobs.Run("r", AT), entities=["doctors"], stop_on_error=True)
+    bronze = jobs.read_bronze(spark, lake, "doctors")
+    bronze.write.mode("append").partitionBy("_batch_id", "ingestion_date").parquet(lake.path("bronze", "doctors"))
+    report = jobs.bronze_report(spark, lake, ["doctors"])
+    assert report.columns == ["Entity", "Rows", "RowsMissingLineage", "DistinctHashes", "RepeatedRows", "RescuedRows"]
+    assert [tuple(r) for r in report.collect()] == [("doctors", 20, 0, 10, 10, 0)]
+    plan = report.select("Entity", "Rows", "RowsMissingLineage")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "Aggregate [_load_id" not in plan and "scalar-subquery" not in plan
