@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import datetime as dt
 import gzip
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from checks import job_queries, source_queries
 from lamina.contracts import ENTITIES
 from lamina.functions.measures import amount_where
 from lamina.operators import layout, merge, quality
+from lamina.operators.cleaning import keep_latest
 from lamina.operators.lineage import add_lineage
 from lamina.plans import jobs, marts
+from lamina.session import FREE_SHUFFLES, freeing_shuffles
 from lamina.sources import landing
 from lamina.streaming.files import write_typed
 
@@ -158,3 +162,70 @@ def test_counting_bronze_moves_no_hash(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in report.collect()] == [("doctors", 20, 0, 10, 10, 0)]
     plan = report.select("Entity", "Rows", "RowsMissingLineage")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan and "Aggregate [_load_id" not in plan and "scalar-subquery" not in plan
+
+
+def shuffle_files(spark):
+    files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_shuffles_of_jobs_are_freed_at_once(spark, tmp_path):
+    held = spark.range(20).repartition(3)
+    held.write.parquet(f"{tmp_path}/kept")
+    before = shuffle_files(spark)
+    with freeing_shuffles(spark):
+        spark.range(20).repartition(3, "id").join(held, "id").write.parquet(f"{tmp_path}/freed")
+    for _ in range(50):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(FREE_SHUFFLES) == "false"
+    assert spark.read.parquet(f"{tmp_path}/freed").count() == 20 and held.count() == 20
+    with pytest.raises(ZeroDivisionError), freeing_shuffles(spark):
+        1 / 0
+    assert spark.conf.get(FREE_SHUFFLES) == "false"
+
+
+def test_merge_moves_a_side_dealt_out_by_key_once(spark, monkeypatch):
+    monkeypatch.setattr(merge, "fits_broadcast", lambda df: 1 / 0)
+    sent = keep_latest(spark.createDataFrame([(2, "z"), (2, "a"), (3, "w")], "id int, val string"), ["id"])
+    held = spark.createDataFrame([(1, "x"), (2, "y")], "id int, val string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = merge.merge_changed(held, sent, "id", ["val"], checked=True, small=False)
+        plan = done.actions._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2
+        rows = [tuple(r) for r in done.actions.orderBy("id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == [(1, "x", "kept"), (2, "a", "updated"), (3, "w", "inserted")]
+
+
+def test_silver_stages_only_what_is_read_again_and_leaves_nothing_staged(spark, tmp_path, monkeypatch):
+    lake, wrote = jobs.Lake(str(tmp_path)), []
+    source_queries.land_all(spark, SF, lake)
+    whole = jobs.write_counted
+    monkeypatch.setattr(jobs, "write_counted", lambda df, path: wrote.append(path.rsplit("/", 1)[1]) or whole(df, path))
+    run, later = jobs.Run("r1", AT), jobs.Run("r2", AT + dt.timedelta(days=1))
+    jobs.bronze_job(spark, lake, run, stop_on_error=True)
+    first = jobs.silver_job(spark, lake, run)
+    assert not set(wrote) & set(ENTITIES)
+    again = jobs.silver_job(spark, lake, later)
+    assert set(ENTITIES) <= set(wrote)
+    monkeypatch.setattr(jobs, "MAX_ROWS", 0)
+    wrote.clear()
+    third = jobs.silver_job(spark, lake, jobs.Run("r3", AT + dt.timedelta(days=2)))
+    assert set(wrote) & set(ENTITIES) == set(jobs.CHECKED)
+    for name in ENTITIES:
+        rows = first[f"clean_{name}"]["inserted"]
+        assert rows and first[f"clean_{name}"]["read"] == jobs.read_bronze(spark, lake, name).count()
+        assert first[f"clean_{name}"] == again[f"clean_{name}"] == third[f"clean_{name}"]
+        counts = [tuple(r[f"merge_{name}"][k] for k in ("rows", "inserted", "updated", "deleted")) for r in (first, again, third)]
+        assert counts == [(rows, rows, 0, 0), (rows, 0, 0, 0), (rows, 0, 0, 0)]
+    assert first["quality_appointments"] == again["quality_appointments"] == {"status": "SUCCESS"}
+    found = spark.read.parquet(lake.path("ops", "dq_results")).groupBy("Entity", "RuleName").agg(F.count_distinct("FailedCount", "TotalCount").alias("n"), F.count("*").alias("runs"))
+    assert found.where("n <> 1 OR runs <> 3").isEmpty() and found.count() == 15
+    bad = spark.read.parquet(lake.path("ops", "dq_failed")).groupBy("Entity", "RuleName", "Payload").count()
+    assert bad.where("count <> 3").isEmpty()
+    left = [str(p) for p in (tmp_path / "staging").rglob("*.parquet")]
+    assert left == []
