@@ -229,3 +229,47 @@ def test_silver_stages_only_what_is_read_again_and_leaves_nothing_staged(spark,
     assert bad.where("count <> 3").isEmpty()
     left = [str(p) for p in (tmp_path / "staging").rglob("*.parquet")]
     assert left == []
+
+
+def test_doctors_of_a_day_move_without_patients(spark):
+    at = [dt.datetime(2024, 1, d) for d in (1, 2)]
+    rows = [("P1", "D1", at[0], "x"), ("P1", "D1", at[0], "x"), ("P2", "D2", at[0], "x"), ("P1", "D3", at[0], "x"), (None, "D1", at[0], "x")]
+    rows += [("P1", None, at[0], "x"), ("P9", "D8", at[0], "x"), ("P9", "D9", at[0], "x"), ("P1", "D1", at[1], None), ("P1", "D1", at[1], None)]
+    visits = spark.createDataFrame(rows, "PatientID string, DoctorID string, AppointmentDate timestamp, Status string")
+    doctors = spark.createDataFrame([("D1", "A", "H"), ("D2", "A", "H"), ("D3", "B", None)], "DoctorID string, Department string, Hospital string")
+    out = marts.appointment_analytics(visits, doctors)
+    found = {(r["AppointmentDay"].day, r["Status"], r["Department"], r["Hospital"]): tuple(r)[4:] for r in out.collect()}
+    assert found == {(1, "x", "A", "H"): (4, 2, 2), (1, "x", "B", None): (1, 1, 1), (1, "x", None, None): (3, 2, 2), (2, None, "A", "H"): (2, 1, 1)}
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clustering_moves_no_derived_column(spark):
+    df = spark.range(50).select((F.col("id") % 7).alias("a"), (F.col("id") % 7 + 1).alias("c"), F.col("id").cast("string").alias("b"))
+    out = layout.cluster(df, ["a", "b"], 3, derived={"c": F.col("a") + 1})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression"):].splitlines()[1]
+    assert "[a#" in below and " b#" in below and "c#" not in below
+    assert out.columns == ["a", "c", "b"] and sorted(out.collect()) == sorted(df.collect())
+    period = spark.createDataFrame([(dt.date(2024, 2, 29),), (None,)], "PaymentDate date").withColumns(marts.payment_period())
+    assert [tuple(r)[1:] for r in period.collect()] == [(2024, 2, "2024-02"), (None, None, None)]
+    assert set(jobs.MART_DERIVED["revenue_analytics"]()) == {"PaymentYear", "PaymentMonth", "PaymentYearMonth"}
+
+
+def test_few_steps_run_at_once_over_a_large_lake(spark, tmp_path, monkeypatch):
+    lake, run = jobs.Lake(str(tmp_path)), jobs.Run("r", AT)
+    assert jobs.at_once(spark, lake, run) == run.workers
+    spark.range(9).write.parquet(lake.path("bronze", "doctors"))
+    assert jobs.at_once(spark, lake, run) == run.workers
+    monkeypatch.setattr(jobs, "LARGE_LAKE_BYTES", 100)
+    assert jobs.at_once(spark, lake, run) == jobs.FEW_STEPS < run.workers
+    assert jobs.at_once(spark, lake, jobs.Run("r", AT, workers=1)) == 1
+    running, most = [], []
+
+    def step():
+        running.append(1)
+        most.append(len(running))
+        time.sleep(0.1)
+        running.pop()
+
+    jobs.together(run, {str(i): step for i in range(6)}, jobs.at_once(spark, lake, run))
+    assert max(most) == jobs.FEW_STEPS
